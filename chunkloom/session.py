@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,20 @@ def session(app: str = "chunkloom", cores: str = "*", **conf: str) -> SparkSessi
     return builder.config(map=base | conf).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package where their path doesn't have it."""
+    root = Path(__file__).resolve().parent
+    context = spark.sparkContext
+    if str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_chunkloom", False):
+        return
+    name = f"{tempfile.mkdtemp(prefix='chunkloom-')}/chunkloom.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(name)
+    context._chunkloom = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
