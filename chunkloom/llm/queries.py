@@ -32,5 +32,19 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the test items that leaked into them."""
+    from .leaks import leaks
+
+    return leaks(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "eval_items", "item_id", "text"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that look the same and differ as strings."""
+    from .lookalikes import same_looks
+
+    return same_looks(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
