@@ -11,6 +11,20 @@ def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section contents and table markdowns that hold markup."""
+    from .markup import marked_parts
+
+    return marked_parts(_read(spark, sf_dir, "pipeline_output", "output_id", "sections", "tables"))
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as clean text with the number of marks taken out."""
+    from .markup import cleaned_parts
+
+    return cleaned_parts(_read(spark, sf_dir, "pipeline_output", "output_id", "sections", "tables"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines on which a literal credential begins."""
     from .credentials import credential_lines
@@ -46,5 +60,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looks(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_clean": p1_clean, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
