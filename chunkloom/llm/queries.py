@@ -25,6 +25,20 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned_parts(_read(spark, sf_dir, "pipeline_output", "output_id", "sections", "tables"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and sections with faults of scanning."""
+    from .scans import faulty_parts
+
+    return faulty_parts(_read(spark, sf_dir, "pipeline_output", "output_id", "title", "sections"))
+
+
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All titles and sections as continuous paragraphs."""
+    from .scans import repaired_parts
+
+    return repaired_parts(_read(spark, sf_dir, "pipeline_output", "output_id", "title", "sections"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines on which a literal credential begins."""
     from .credentials import credential_lines
@@ -60,5 +74,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looks(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_clean": p1_clean, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_clean": p1_clean, "p4_found": p4_found, "p4_repaired": p4_repaired, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
