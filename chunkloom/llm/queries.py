@@ -25,6 +25,27 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned_parts(_read(spark, sf_dir, "pipeline_output", "output_id", "sections", "tables"))
 
 
+def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import oversized
+
+    return oversized(_read(spark, sf_dir, "chunk_data", "chunk_id", "content", "start_line", "end_line"), _read(spark, sf_dir, "pipeline_output", "output_id", "sections"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and sections over their limit: those that come out in more than one piece."""
+    from .pieces import pieces
+
+    cut = pieces(_oversized(spark, sf_dir), texts=False).where("piece_no = 1")
+    return cut.select("item_kind", "item_id", "item_pos").distinct()
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces with their byte and line ranges."""
+    from .pieces import pieces
+
+    return pieces(_oversized(spark, sf_dir)).distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and sections with faults of scanning."""
     from .scans import faulty_parts
@@ -74,5 +95,10 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looks(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_clean": p1_clean, "p4_found": p4_found, "p4_repaired": p4_repaired, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_repaired": p4_repaired, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+SQL: dict[str, str] = {
+    "p2_found": """
+SELECT DISTINCT 'chunk' AS item_kind, chunk_id AS item_id, CAST(0 AS INTEGER) AS item_pos FROM chunk_data WHERE strlen(content) > 1500
+UNION SELECT DISTINCT 'section', CAST(output_id AS VARCHAR), CAST(pos - 1 AS INTEGER)
+FROM (SELECT output_id, sections, unnest(range(1, len(sections) + 1)) AS pos FROM pipeline_output) WHERE strlen(sections[pos].content) > 3000""",
+}
