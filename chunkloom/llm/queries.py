@@ -60,6 +60,23 @@ def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_parts(_read(spark, sf_dir, "pipeline_output", "output_id", "title", "sections"))
 
 
+def _not_handwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .provenance import not_handwritten
+
+    files = _read(spark, sf_dir, "file_metadata", "source_id", "filename", "file_type", "size_bytes", "line_count", "processed_at")
+    return not_handwritten(files, _read(spark, sf_dir, "chunk_data", "source_id", "filename", "content", "start_line", "metadata"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and configuration files nobody wrote by hand."""
+    return _not_handwritten(spark, sf_dir).select("source_id", "filename")
+
+
+def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files with what they are."""
+    return _not_handwritten(spark, sf_dir)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines on which a literal credential begins."""
     from .credentials import credential_lines
@@ -95,7 +112,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looks(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_repaired": p4_repaired, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 SQL: dict[str, str] = {
     "p2_found": """
 SELECT DISTINCT 'chunk' AS item_kind, chunk_id AS item_id, CAST(0 AS INTEGER) AS item_pos FROM chunk_data WHERE strlen(content) > 1500
