@@ -154,8 +154,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, threshold: float | None
             wanted = np.asarray([v for _, v in sent.value], np.float64)
             wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
             best: list[list[tuple]] = [[] for _ in ids]
+            named = pa.int64()
             for batch in batches:
-                names = batch.column(0).to_pylist()
+                names, named = batch.column(0).to_pylist(), batch.schema.field(0).type
                 vectors = batch.column(1).to_pylist()
                 good = [i for i, v in enumerate(vectors) if v is not None and len(v) == width and None not in v]
                 if not good:
@@ -169,7 +170,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, threshold: float | None
                     best[q] = sorted(best[q])[:k]
             flat = [(ids[q], n, -s) for q in range(len(ids)) for s, n in best[q]]
             if flat:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat, strict=True)], names=["query", key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat, strict=True), (named, named, pa.float64()), strict=True)], names=["query", key, "score"])
 
         return rows.select(key, vector).mapInArrow(run, f"query {kinds}, {key} {kinds}, score double")
 

@@ -87,9 +87,9 @@ def repeated_deliveries(
     roots = components(links, "own", "first").withColumnRenamed("node", "linked")
 
     rows = rows.where("node IS NOT NULL").select("delivery", "rank", "node")
-    table = rows.groupBy("node").agg(F.min("rank").alias("rank"), F.max("delivery").alias("most"))
-    table = table.join(roots, table.node == roots.linked, "left").select("node", "rank", "most", F.coalesce("root", "node").alias("root"))
-    message = table.groupBy("root").agg(F.min("rank").alias("kept"), F.min("rank.delivery").alias("least"), F.max("most").alias("most"))
+    table = rows.groupBy("node").agg(F.min("rank").alias("rank"), F.min("delivery").alias("least"), F.max("delivery").alias("most"))
+    table = table.join(roots, table.node == roots.linked, "left").select("node", "rank", "least", "most", F.coalesce("root", "node").alias("root"))
+    message = table.groupBy("root").agg(F.min("rank").alias("kept"), F.min("least").alias("least"), F.max("most").alias("most"))
     message = message.select("root", F.col("kept.delivery").alias("kept"), "least", "most").where("kept <> most OR kept <> least")
     repeated = table.select("node", "root").join(message, "root").select("node", "kept")
     return rows.select("delivery", "node").join(repeated, "node").where("delivery <> kept").select(F.col("delivery").alias("delivery_id"), "kept").distinct()
