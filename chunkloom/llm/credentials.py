@@ -70,7 +70,8 @@ def is_literal(value: str, quoted: bool, folder: str = TOKENIZERS) -> bool:
     unnatural = subword_length(value, folder) < UNNATURAL
     if _REFERENCE.match(value) and (digits < 3 or not quoted and not unnatural) and not (unnatural and digits):
         return bool(re.fullmatch(r"[A-Za-z]+[._][A-Za-z]+\d{2,}", value))
-    return digits >= 2 or digits == 1 and unnatural or unnatural and len(value) >= 9
+    mixed = not (value.rstrip(".").isalpha() and (value[1:].islower() or value.isupper()))
+    return digits >= 2 or digits == 1 and unnatural or unnatural and len(value) >= 9 and mixed
 
 
 def _lines(text: str) -> list[tuple[int, int]]:
@@ -126,6 +127,8 @@ def spans(text: str, folder: str = TOKENIZERS) -> list[tuple[int, int]]:
                         continue
                     span, quoted = bare.span(), False
                 raw = line[slice(*span)].rstrip("\\")
+                if m["sep"].strip() == "is" and not any(c.isdigit() for c in raw):
+                    continue  # a sentence about credentials
                 if re.match(r"(?i)(?:bearer|basic)\s", raw):
                     continue  # the header rule has it
                 if is_literal(raw, quoted, folder):

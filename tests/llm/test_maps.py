@@ -118,7 +118,7 @@ SECRETS = [
 CLEAN = [
     "password = 'changeme'", "api_key: ${API_KEY}", "token = os.environ['TOKEN']", "secret: vault://kv/data/app#pass", "API_KEY=YOUR_API_KEY", "password_file: /run/secrets/db_password", "token_header = 'x-auth-token'", "pwd = '********'", "auth_token = '<your-token-here>'", "# postgres://user:<password>@localhost/x",
     "key ids start with AKIA followed by sixteen characters", "commit = '76cfb795567f4c91dc856741ec11ddf731f10206'", "sha256: 4f49bdc01276525df1d9ff8aecf3f1413ed0cc6e4d6ca1d69720f84cf9e2ba3e", "tenant_id = '82c54de6-e4b0-462b-a0c7-0381733981f6'", "-----BEGIN PUBLIC KEY-----", "-----BEGIN CERTIFICATE-----",
-    "secret = read_secret(path)", "max_tokens = '719'", "password rules: at least 12 characters", "pub fn f(&self, key: &str) -> Option<u64> {", "integrity sha512-wkFop64GvdX2+W1jG/PFvOdhT9civ6ItIfgXexerKOq==", "logo = 'data:image/png;base64,oOnlZ4Mgen9uMIw065XhoT6mRpcqdGNw'", "password = ''", "apikey = env:AUTH_TOKEN",
+    "secret = read_secret(path)", "max_tokens = '719'", "password rules: at least 12 characters", "pub fn f(&self, key: &str) -> Option<u64> {", "integrity sha512-wkFop64GvdX2+W1jG/PFvOdhT9civ6ItIfgXexerKOq==", "logo = 'data:image/png;base64,oOnlZ4Mgen9uMIw065XhoT6mRpcqdGNw'", "password = ''", "apikey = env:AUTH_TOKEN", "before the credential is flattened.", "the token is unsigned.", "password: throttled.",
 ]
 
 
