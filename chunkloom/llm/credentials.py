@@ -16,7 +16,7 @@ from .vocab import TOKENIZERS, encoding
 UNNATURAL = 2.6
 
 #: A line without one of these holds no credential; they are tested before a text leaves the JVM.
-TRIGGERS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "akia", "asia", "bearer", "basic", "://", "eyj", "eya")
+TRIGGERS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "akia", "asia", "bearer", "basic", "://", "eyj", "eya", "pw ", "log in", " -u ", " --user")
 _ACCESS_ID = re.compile(r"(?<![A-Za-z0-9+/])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9+/])")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -27,7 +27,10 @@ _NAME = re.compile(
     r"""(?<![\w.-])(?P<name>[A-Za-z_][\w.-]{0,63})(?![\w.-])\\?["']?(?P<sep>\]?\s*(?::\s*[&\w' ]{1,24}?\s*=(?!=)|:=|=>|=(?!=)|:(?!:))\s*|\s+value=|\s+is\s+|>|\s+(?=["']))"""
 )
 _FLAG = re.compile(r"(?<!\S)--?(?P<name>[A-Za-z][\w-]{0,63})(?P<sep>[ =]+)")
-_QUOTED = re.compile(r"""(?:[rbuf]|\w{1,20}\()?\\?(["'`])(?P<value>(?:\\.|(?!\1)[^\\\n])*)\1?""")
+_USER = re.compile(r"(?:(?<=\s)-u|--user)[\s=]+['\"]?[\w.@-]+:([^\s'\"<>]+)")
+_WORDED = re.compile(r"(?i)\b(?:log ?in|sign in|authenticate|connect)\w* as \S+ (?:with|using) (\S+)|\b(?:pw|pwd|pass|passwd|password|passphrase|secret|token)\b (?:for|of|to)\b[^:=\n]{0,60}[:=]\s*(\S+)")
+_MORE = re.compile(r"""["'`][ \t]*[+.\\]?[ \t]*(?:\r?\n[ \t]*)?[+.]?[ \t]*(?=["'`])(["'`])([^"'`\n]*)(?=\1)""")
+_QUOTED = re.compile(r"""(?:[rbuf]|\w{0,20}\([ \t]*)?\\?(["'`])(?P<value>(?:\\.|(?!\1)[^\\\n])*)\1?""")
 _BARE = re.compile(r"""[^\s"'`,;&<>(){}\[\]|\\]+""")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 # Last words of names that hold a credential, and what may stand before "key".
@@ -88,8 +91,11 @@ def _lines(text: str) -> list[tuple[int, int]]:
     return sorted(starts.items())
 
 
-def spans(text: str, folder: str = TOKENIZERS) -> list[tuple[int, int]]:
-    """Offsets (start, end) of the literal credentials of a text, in order, not overlapping."""
+def spans(text: str, folder: str = TOKENIZERS, continued: bool = False) -> list[tuple[int, int]]:
+    """Offsets (start, end) of the literal credentials of a text, in order, not overlapping.
+
+    With ``continued`` the further literals that a credential is joined of come along.
+    """
     found: list[tuple[int, int]] = []
     done = -1
     for begin, end in _lines(text):
@@ -109,6 +115,13 @@ def spans(text: str, folder: str = TOKENIZERS) -> list[tuple[int, int]]:
         if "://" in line and "@" in line:
             own += [m.span(1) for m in _URL.finditer(line) if not _PLACEHOLDER.match(m[1]) and m[1].lower() not in ("password", "pass", "pwd", "secret", "token")]
         own += [m.span(1) for m in _HEADER.finditer(line) if not _PLACEHOLDER.match(m[1]) and any(c.isdigit() for c in m[1]) and subword_length(m[1], folder) < UNNATURAL]
+        if " -u" in line or "--user" in line:
+            own += [m.span(1) for m in _USER.finditer(line) if is_literal(m[1], True, folder)]
+        for m in _WORDED.finditer(line):
+            k = 1 if m[1] else 2
+            value = m[k].rstrip("\"',;.*/")
+            if sum(c.isdigit() for c in value) > 1 and is_literal(value, True, folder):
+                own.append((m.start(k), m.start(k) + len(value)))
         for pattern in (_NAME, _FLAG):
             at = 0
             while m := pattern.search(line, at):
@@ -138,13 +151,18 @@ def spans(text: str, folder: str = TOKENIZERS) -> list[tuple[int, int]]:
             if a >= last:
                 found.append((begin + a, begin + b))
                 last = b
+                at = begin + b
+                while continued and (m := _MORE.match(text, at)):
+                    found.append(m.span(2))
+                    at = m.end()
+                    last = max(last, at - begin)
     return found
 
 
 def redacted(text: str, folder: str = TOKENIZERS) -> str:
     """The text with every secret value blanked by as many asterisks; line breaks, and with them all offsets, stay."""
     out, at = [], 0
-    for a, b in spans(text, folder):
+    for a, b in spans(text, folder, True):
         out += [text[at:a], re.sub(r"[^\s]", "*", text[a:b])]
         at = b
     return "".join(out) + text[at:]
