@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import flat_rows
@@ -30,6 +30,8 @@ _FLAG = re.compile(r"(?<!\S)--?(?P<name>[A-Za-z][\w-]{0,63})(?P<sep>[ =]+)")
 _USER = re.compile(r"(?:(?<=\s)-u|--user)[\s=]+['\"]?[\w.@-]+:([^\s'\"<>]+)")
 _WORDED = re.compile(r"(?i)\b(?:log ?in|sign in|authenticate|connect)\w* as \S+ (?:with|using) (\S+)|\b(?:pw|pwd|pass|passwd|password|passphrase|secret|token)\b (?:for|of|to)\b[^:=\n]{0,60}[:=]\s*(\S+)")
 _MORE = re.compile(r"""["'`][ \t]*[+.\\]?[ \t]*(?:\r?\n[ \t]*)?[+.]?[ \t]*(?=["'`])(["'`])([^"'`\n]*)(?=\1)""")
+_BODY = re.compile(r"[_-]([A-Za-z0-9+/]{20,80}={0,2})(?![A-Za-z0-9+/_-])")
+_PREFIX = re.compile(r"(?<![\w/+.-])([a-z]{2,5})(?:_(?:live|prod|production|staging|secret|key))?$")
 _QUOTED = re.compile(r"""(?:[rbuf]|\w{0,20}\([ \t]*)?\\?(["'`])(?P<value>(?:\\.|(?!\1)[^\\\n])*)\1?""")
 _BARE = re.compile(r"""[^\s"'`,;&<>(){}\[\]|\\]+""")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -77,8 +79,25 @@ def is_literal(value: str, quoted: bool, folder: str = TOKENIZERS) -> bool:
     return digits >= 2 or digits == 1 and unnatural or unnatural and len(value) >= 9 and mixed
 
 
-def _lines(text: str) -> list[tuple[int, int]]:
-    """Bounds of the lines that hold a trigger word, in order."""
+@lru_cache(1 << 12)
+def _is_word(text: str, folder: str) -> bool:
+    return len(text) > 2 and len(encoding(folder=folder).encode_ordinary(" " + text)) == 1
+
+
+def prefixed_keys(text: str, folder: str = TOKENIZERS) -> list[tuple[int, int]]:
+    """Offsets of issued keys: a short prefix that is no word, perhaps its environment, and a long random body."""
+    found = []
+    for m in _BODY.finditer(text):
+        prefix = _PREFIX.search(text, max(0, m.start() - 20), m.start())
+        if prefix and not _is_word(prefix[1], folder):
+            body = m[1]
+            if any(c.isdigit() for c in body) and any(c.isalpha() for c in body) and subword_length(body, folder) < UNNATURAL and text[m.end() : m.end() + 1] not in (":", "."):
+                found.append((prefix.start(), m.end()))
+    return found
+
+
+def _lines(text: str, issued: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Bounds of the lines that hold a trigger word or an issued key, in order."""
     low = text.replace("\u0130", "I").lower()  # the one letter whose lower case is longer
     starts: dict[int, int] = {}
     for word in TRIGGERS:
@@ -88,6 +107,9 @@ def _lines(text: str) -> list[tuple[int, int]]:
             end = len(text) if end < 0 else end
             starts[text.rfind("\n", 0, at) + 1] = end
             at = low.find(word, end)
+    for at, _ in issued:
+        end = text.find("\n", at)
+        starts[text.rfind("\n", 0, at) + 1] = len(text) if end < 0 else end
     return sorted(starts.items())
 
 
@@ -98,7 +120,8 @@ def spans(text: str, folder: str = TOKENIZERS, continued: bool = False) -> list[
     """
     found: list[tuple[int, int]] = []
     done = -1
-    for begin, end in _lines(text):
+    issued = prefixed_keys(text, folder)
+    for begin, end in _lines(text, issued):
         if begin < done:
             continue
         line = text[begin:end]
@@ -109,6 +132,7 @@ def spans(text: str, folder: str = TOKENIZERS, continued: bool = False) -> list[
             found.append((begin + m.start(), until))
             done = until
             continue
+        own += [(a - begin, b - begin) for a, b in issued if begin <= a < end]
         own += [m.span() for m in _ACCESS_ID.finditer(line) if "EXAMPLE" not in m[0]]
         if "eyJ" in line or "eyA" in line:
             own += [m.span() for m in _JWT.finditer(line)]
@@ -169,11 +193,16 @@ def redacted(text: str, folder: str = TOKENIZERS) -> str:
 
 
 def _suspects(chunks: DataFrame, content: str) -> DataFrame:
+    return chunks.where(_suspect(content))
+
+
+def _suspect(content: str) -> Column:
+    """Whether a text holds a trigger word or the body of an issued key."""
     low = F.lower(content)
-    test = F.lit(False)
+    test = F.col(content).rlike("[_-][A-Za-z0-9+/]{20}")
     for word in TRIGGERS:
         test = test | low.contains(word)
-    return chunks.where(test)
+    return test
 
 
 def credential_lines(chunks: DataFrame, chunk_id: str = "chunk_id", content: str = "content", folder: str = TOKENIZERS) -> DataFrame:
@@ -205,7 +234,4 @@ def redact_chunks(chunks: DataFrame, content: str = "content", folder: str = TOK
     def blank(texts):  # noqa: ANN001, ANN202
         return texts.map(lambda t: redacted(t, folder) if t else t, na_action="ignore")
 
-    test = F.lit(False)
-    for word in TRIGGERS:
-        test = test | F.lower(F.col(content)).contains(word)
-    return chunks.withColumn(content, F.when(test, blank(F.col(content))).otherwise(F.col(content)))
+    return chunks.withColumn(content, F.when(_suspect(content), blank(F.col(content))).otherwise(F.col(content)))
