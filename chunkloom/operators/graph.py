@@ -90,6 +90,19 @@ def placeholders(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFra
     return nodes.unionByName(ends.join(nodes.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def linked_pages(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, links) after writing ``links`` (src, dst) between pages by url: a link whose source isn't there is dropped, a target that isn't is created."""
+    kept = links.join(pages.select(F.col("url").alias("src")), "src", "left_semi").select("src", "dst").distinct()
+    return placeholders(pages, kept, "url"), kept
+
+
+def graph_sync(chunks: DataFrame, file: Sequence[str], order: Sequence[str], chunk: str = "id") -> DataFrame:
+    """(src, dst, type, confidence): reading order and parenthood of all files, each edge once."""
+    one = next_chunk(chunks, file, order, chunk).select("src", "dst", F.lit("NEXT_CHUNK").alias("type"))
+    two = parent_of(chunks, file, order, chunk).select("src", "dst", F.lit("PARENT_OF").alias("type"))
+    return one.unionByName(two).distinct().withColumn("confidence", F.lit(1.0))
+
+
 def detached(nodes: DataFrame, edges: DataFrame, gone: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Nodes without those in ``gone`` and edges without the ones that touch them."""
     ids = gone.select(F.col(key).alias("_k")).distinct()

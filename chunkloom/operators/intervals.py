@@ -22,8 +22,22 @@ def islands(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return merged(rows.withColumn("hi", F.col("lo")), keys)
 
 
+#: Sequence numbers of a block, within which intervals are merged before whole keys are.
+BLOCK = 1 << 16
+
+
 def merged(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same numbers as disjoint intervals that don't touch. Empty intervals (hi < lo) vanish."""
+    """The same numbers as disjoint intervals that don't touch. Empty intervals (hi < lo) vanish.
+
+    Intervals are merged twice, first within blocks of their first number, then by
+    key. A key with a third of all numbers is so spread over its blocks, and what is
+    left for one task is no more than an interval a block and the true gaps.
+    """
+    blocked = _merged(intervals.withColumn("_block", F.floor(F.col("lo") / BLOCK)), [*keys, "_block"])
+    return _merged(blocked.drop("_block"), keys)
+
+
+def _merged(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
     own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = own.orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     marked = intervals.where("lo <= hi").select(*keys, "lo", "hi").withColumn("reach", F.max("hi").over(before))
@@ -46,7 +60,7 @@ def subtract(available: DataFrame, processed: DataFrame, keys: Sequence[str]) ->
     own = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("at")
     points = ends(available, 1, 0).unionByName(ends(processed, 0, 1)).groupBy(*keys, "at").agg(F.sum("a").alias("a"), F.sum("p").alias("p"))
     swept = points.select(*keys, F.col("at").alias("lo"), (F.lead("at").over(own) - 1).alias("hi"), F.sum("a").over(own).alias("a"), F.sum("p").over(own).alias("p"))
-    return merged(swept.where("a > 0 AND p = 0").select(*keys, "lo", "hi"), keys)
+    return _merged(swept.where("a > 0 AND p = 0").select(*keys, "lo", "hi"), keys)
 
 
 def pending_changes(snapshot: DataFrame, runs: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import text as T
-from ..operators import changes, chunking, events, graph, identity, limits, parsing
+from ..operators import changes, chunking, contracts, events, graph, identity, limits, parsing
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -388,6 +388,29 @@ def rx_reverse_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.join(files, ["source_id", "name"]).where("target <> filename").select("chunk_id", "target").distinct()
 
 
+@_query(f"""WITH p AS (SELECT chunk_id AS src, dst, 'NEXT_CHUNK' AS type FROM (SELECT chunk_id, lead(chunk_id) OVER (PARTITION BY source_id, filename ORDER BY start_line, chunk_id) AS dst FROM (SELECT DISTINCT chunk_id, source_id, filename, start_line FROM chunk_data WHERE start_line IS NOT NULL)) WHERE dst IS NOT NULL AND dst <> chunk_id
+UNION SELECT first, chunk_id, 'PARENT_OF' FROM (SELECT chunk_id, first_value(chunk_id) OVER (PARTITION BY source_id, filename ORDER BY start_line, chunk_id) AS first FROM (SELECT DISTINCT chunk_id, source_id, filename, start_line FROM chunk_data WHERE start_line IS NOT NULL)) WHERE first <> chunk_id)
+SELECT c.source_id, type, count(*) AS edges FROM p JOIN (SELECT DISTINCT chunk_id, source_id FROM chunk_data) c ON c.chunk_id = p.src GROUP BY ALL""")
+def rx_graph_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that a sync of every source writes, by type."""
+    chunks = _chunks(spark, sf_dir, "start_line").where("start_line IS NOT NULL")
+    edges = graph.graph_sync(chunks, ["source_id", "filename"], ["start_line"], "chunk_id")
+    return edges.join(chunks.select(F.col("chunk_id").alias("src"), "source_id").distinct(), "src").groupBy("source_id", "type").agg(F.count("*").alias("edges"))
+
+
+@_query("""WITH p AS (SELECT DISTINCT path AS url, 'page' AS kind FROM documents WHERE path IS NOT NULL AND doc_id % 3 = 0), l AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.path IS NOT NULL AND b.path IS NOT NULL AND a.path IN (SELECT url FROM p))
+SELECT url, any_value(kind) AS kind, count(dst) AS links FROM (SELECT url, kind FROM p UNION ALL SELECT DISTINCT dst, NULL FROM l WHERE dst NOT IN (SELECT url FROM p)) LEFT JOIN l ON src = url GROUP BY url""")
+def gr_web_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and the links between them: targets are created, links from unknown pages aren't."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "path"])
+    pages = docs.where("path IS NOT NULL AND doc_id % 3 = 0").select(F.col("path").alias("url"), F.lit("page").alias("kind")).distinct()
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("path").alias("dst"))
+    links = docs.join(after, "doc_id").where("path IS NOT NULL AND dst IS NOT NULL").select(F.col("path").alias("src"), "dst")
+    every, kept = graph.linked_pages(pages, links)
+    counts = kept.groupBy(F.col("src").alias("url")).agg(F.count("*").alias("links"))
+    return every.join(counts, "url", "left").select("url", "kind", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 # --- changes and tables --------------------------------------------------------------------------
 
 _V = """v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_key ORDER BY last_indexed_at DESC) AS rn FROM (SELECT DISTINCT source_id, filename, chunk_key, chunk_hash, tombstone, last_indexed_at FROM chunk_snapshot {0})) WHERE rn = 1)"""
@@ -634,6 +657,16 @@ def ev_validate_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunk_snapshot", ["id", "commit_id"]).distinct().select("id", events.violation("INGEST_COMPLETED").alias("problem"))
 
 
+@_query("SELECT doc_id, n_chars, 'raw' AS chunk_type, false AS pii_detected, CASE WHEN doc_id % 2 = 0 THEN 2 END AS dimension FROM documents")
+def ev_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes of the documents as JSON and back, with the defaults of what wasn't said."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "n_chars"])
+    vector = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(0.5), F.lit(1.5)).cast("array<float>"))
+    sent = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("chunk_text"), vector.alias("embedding"), F.col("n_chars").cast("string").alias("group_id"))
+    back = contracts.episodes_of(contracts.episode_json(sent))
+    return back.select(F.col("id").cast("bigint").alias("doc_id"), F.col("group_id").cast("bigint").alias("n_chars"), "chunk_type", "pii_detected", F.col("embedding_dimension").alias("dimension"))
+
+
 @_query()
 def ev_chunk_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk messages with their size check."""

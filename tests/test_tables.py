@@ -164,3 +164,35 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_windowed_requests(spark):
     rows = spark.createDataFrame([("2025-01-01 00:00:05", "c", "p"), ("2025-01-01 00:00:50", "c", "p")], "t string, client string, path string").withColumn("t", F.to_timestamp("t"))
     assert max(r.requests for r in windowed_requests(rows, "t", "client", "path").collect()) == 2
+
+
+def test_contracts(spark):
+    from chunkloom.operators import contracts as K
+
+    assert K.ChunkerConfig().problem() is None and "max" in K.ChunkerConfig(min_size=9, max_size=8).problem()
+    assert "confidence" in K.ChunkerConfig(confidence_threshold=1.5).problem() and "workers" in K.ChunkerConfig(workers=0).problem()
+    with pytest.raises(ValueError):
+        K.of_user(spark.range(1), " ")
+    rows = spark.createDataFrame([("structural", 0.5, None), ("structural", None, None), ("enhanced", 0.9, None), ("relationship", 0.1, None)], "tier string, quality double, enhanced_at timestamp")
+    got = [(r.tier, r.enhanced_at is not None) for r in K.advanced(rows, F.current_timestamp()).collect()]
+    assert got == [("enhanced", True), ("structural", False), ("relationship", False), ("relationship", False)]
+    message = spark.createDataFrame([('{"event_id": "e", "chunk_id": "c", "reason": "moved"}',), ("{broken",), ("{}",)], "value string")
+    assert [tuple(r) for r in K.extension_rows(message, "CHUNK_DEPRECATED").collect()] == [("e", "c", "moved", None)]
+    episodes = spark.createDataFrame([("i", "t", [0.1, 0.2], ["a"])], "id string, chunk_text string, embedding array<float>, acl_tags array<string>")
+    value = K.episode_json(episodes).first().value
+    assert json.loads(value)["embedding_dimension"] == 2 and "language" not in value
+    back = K.episodes_of(K.episode_json(episodes)).first()
+    assert (back.chunk_text, back.acl_tags, back.chunk_type, back.pii_detected) == ("t", ["a"], "raw", False)
+
+
+def test_publish_stream(spark, tmp_path):
+    from chunkloom.streaming.publish import publish_chunks
+
+    schema = "id string, source_id string, file_id string, chunk_type string, content string, language string, start_line int, end_line int, user_id string, is_dirty boolean"
+    rows = [("a", "s", "f", "t", "x", None, 1, 2, "u", True), ("b", "s", "f", "t", "y" * 20_000, None, 1, 2, "u", True), ("c", "s", "f", "t", "z", None, 1, 2, "u", False)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    publish_chunks(stream, str(tmp_path / "out"), str(tmp_path / "cp"), str(tmp_path / "dead")).awaitTermination()
+    sent = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert [m["chunks"][0]["id"] for m in sent] == ["a"] and sent[0]["headers"]["correlation_id"] == "s"
+    assert [json.loads(r.value)["error"] for r in spark.read.text(str(tmp_path / "dead")).collect()] == ["event too large"]
