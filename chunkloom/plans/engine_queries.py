@@ -328,7 +328,7 @@ _TARGETS = "t AS (SELECT path, max(doc_id) AS target_doc FROM documents WHERE pa
 
 @_query(rf"""WITH {_LINES}, {_TARGETS},
 m AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '\[[^\]]+\]\(([^)]+)\)', 1)) AS target FROM l WHERE contains(line, ']('))
-SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no, target_doc, 0.9 AS confidence FROM m JOIN t ON t.path = m.target WHERE target NOT LIKE 'http%' AND target_doc <> doc_id""")
+SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no, target_doc, CAST(0.9 AS DOUBLE) AS confidence FROM m JOIN t ON t.path = m.target WHERE target NOT LIKE 'http%' AND target_doc <> doc_id""")
 def rx_md_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown links resolved to documents; the last document of a path is its target."""
     found = graph.markdown_links(graph.lines(_linked(spark, sf_dir), ["doc_id"]), ["doc_id"]).where(~F.col("target").startswith("http"))
@@ -544,7 +544,7 @@ def gr_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""WITH RECURSIVE e AS (SELECT a, b FROM (SELECT doc_id AS a, doc_id // 2 AS b FROM documents WHERE doc_id > 1 UNION SELECT doc_id, doc_id + 7 FROM documents WHERE doc_id % 5 = 0)), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-d(node, dist) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT u.b, d.dist + 1 FROM d JOIN u ON u.a = d.node WHERE d.dist < 12), m AS (SELECT node, min(dist) AS dist FROM d GROUP BY node),
+d(node, dist) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT u.b, d.dist + 1 FROM d JOIN u ON u.a = d.node WHERE d.dist < 40), m AS (SELECT node, min(dist) AS dist FROM d GROUP BY node),
 g AS (SELECT max(doc_id) AS goal FROM documents), p(step, node) AS (SELECT m.dist, g.goal FROM g JOIN m ON m.node = g.goal UNION ALL
 SELECT p.step - 1, (SELECT min(u.a) FROM u JOIN m ON m.node = u.a AND m.dist = p.step - 1 WHERE u.b = p.node) FROM p WHERE p.step > 0)
 SELECT step, node FROM p""")
