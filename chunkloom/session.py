@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,7 +32,10 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_chunkloom", False):
         return
-    name = f"{tempfile.mkdtemp(prefix='chunkloom-')}/chunkloom.zip"
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://").removeprefix("file:")
+    folder = f"{shared}/chunkloom-{uuid.uuid4().hex}" if shared.startswith("/") else tempfile.mkdtemp(prefix="chunkloom-")
+    os.makedirs(folder, exist_ok=True)
+    name = f"{folder}/chunkloom.zip"
     with zipfile.ZipFile(name, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
