@@ -15,6 +15,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import small
+
 
 def islands(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """The runs of consecutive sequence numbers that ``rows`` holds; null numbers are left out, repeats count once."""
@@ -78,7 +80,7 @@ def pending_changes(snapshot: DataFrame, runs: DataFrame, ledger: DataFrame) ->
     Of records of one run the latest recorded_at holds, then the greatest state.
     """
     state = F.when(F.coalesce("tombstone", F.lit(False)), F.lit("-")).otherwise(F.coalesce(F.lower("chunk_hash"), F.lit("")))
-    done = F.broadcast(runs.where("status = 'succeeded'").select("run_id").distinct())
+    done = small(runs.where("status = 'succeeded'").select("run_id").distinct())
     record = (
         ledger.where("chunk_key IS NOT NULL").join(done, "run_id")
         .select("chunk_key", F.struct("run_id", "recorded_at", state.alias("state")).alias("record"))

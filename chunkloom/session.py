@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "chunkloom", cores: str = "*", **conf: str) -> SparkSession:
@@ -56,3 +57,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and continue from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, as it is otherwise; for narrow tables."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
