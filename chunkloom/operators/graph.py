@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import stem
-from ..session import cut
+from ..session import cut, small
 
 # Reference patterns as (language, link type, regular expression; group 1 is the target).
 REFERENCES = (
@@ -25,10 +25,40 @@ REFERENCES = (
 )
 
 
-def next_chunk(chunks: DataFrame, file: Sequence[str], order: Sequence[str], chunk: str = "id") -> DataFrame:
-    """(src, dst) of consecutive chunks of a file in reading order; a chunk doesn't follow itself."""
-    own = Window.partitionBy(*file).orderBy(*order)
-    return chunks.select(F.col(chunk).alias("src"), F.lead(chunk).over(own).alias("dst")).where("dst IS NOT NULL AND src <> dst")
+#: Chunks of one file up to which a single task puts them in order.
+FILE_ROWS = 2_000_000
+
+
+def next_chunk(chunks: DataFrame, file: Sequence[str], order: Sequence[str], chunk: str = "id", file_rows: int = FILE_ROWS) -> DataFrame:
+    """(src, dst) of consecutive chunks of a file in reading order; a chunk doesn't follow itself.
+
+    Files are windows as long as the largest has at most ``file_rows`` chunks. Beyond
+    that the chunks are sorted in ranges across all files, so that a file with a
+    third of them lies in many tasks, and the ends of the ranges are stitched.
+    """
+    rows = chunks.select(*file, *[c for c in order if c not in file], *([] if chunk in order else [chunk]))
+    largest = rows.groupBy(*file).count().agg(F.max("count")).first()[0]
+    if (largest or 0) <= file_rows:
+        own = Window.partitionBy(*file).orderBy(*order)
+        return rows.select(F.col(chunk).alias("src"), F.lead(chunk).over(own).alias("dst")).where("dst IS NOT NULL AND src <> dst")
+    keys = [*file, *order]
+    ranged = cut(rows.repartitionByRange(*[F.col(k) for k in keys]).withColumn("_range", F.spark_partition_id()))
+    own = Window.partitionBy("_range").orderBy(*keys)
+    following = F.lead(F.struct(*file, chunk)).over(own)
+    led = ranged.withColumns({"_next": following, "_first": F.row_number().over(own) == 1})
+    heads = led.where("_first").select("_range", F.struct(*file, chunk).alias("_head"))
+    ends = led.where("_next IS NULL").select("_range").distinct()
+    led = led.join(small(_next_heads(heads, ends)), "_range", "left").withColumn("_next", F.coalesce("_next", "_head"))
+    same = F.lit(True)
+    for k in file:
+        same = same & F.col(k).eqNullSafe(F.col(f"_next.{k}"))
+    return led.where(F.col("_next").isNotNull() & same).select(F.col(chunk).alias("src"), F.col(f"_next.{chunk}").alias("dst")).where("src <> dst")
+
+
+def _next_heads(heads: DataFrame, ends: DataFrame) -> DataFrame:
+    """(_range, _head): of each range the first row of the next one that has rows; a row per range, of which there are as many as shuffle partitions."""
+    own = Window.partitionBy(F.lit(0)).orderBy("_range")
+    return heads.select("_range", F.lead("_head").over(own).alias("_head")).join(ends, "_range", "left_semi")
 
 
 def parent_of(chunks: DataFrame, file: Sequence[str], order: Sequence[str], chunk: str = "id") -> DataFrame:

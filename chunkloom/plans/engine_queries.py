@@ -564,6 +564,16 @@ def vs_knn_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nearest(rows, rows.where("vec_id % 100 = 0"), 10, 0.2)
 
 
+@_query("""WITH n AS (SELECT DISTINCT chunk_id, source_id, filename, source_id || '|' || chunk_id || '|' || filename AS id FROM chunk_data)
+SELECT source_id, count(*) AS chunks FROM n WHERE NOT (source_id = 'atlas-monorepo' AND id LIKE '%.py') GROUP BY source_id""")
+def gr_delete_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes left after deleting those of a source whose composite id ends in a path."""
+    nodes = _chunks(spark, sf_dir).withColumn("id", N.composite_id(F.col("source_id"), F.col("chunk_id"), F.col("filename")))
+    gone = nodes.where((F.col("source_id") == "atlas-monorepo") & F.col("id").endswith(".py"))
+    left, _ = graph.detached(nodes, nodes.select(F.col("id").alias("src"), F.col("id").alias("dst")), gone)
+    return left.groupBy("source_id").agg(F.count("*").alias("chunks"))
+
+
 # --- lookups and roll-ups ------------------------------------------------------------------------
 
 
@@ -587,6 +597,20 @@ def lk_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunk_snapshot", ["id", "chunk_key", "tombstone", "source_id", "filename"]).where("source_id = 'atlas-monorepo' AND filename LIKE 'docs/%'").select("id", "chunk_key", "tombstone").distinct()
 
 
+@_query(f"SELECT chunk_id, content FROM {_CHUNKS} WHERE chunk_id IN (SELECT min(chunk_id) FROM chunk_data GROUP BY source_id)")
+def lk_chunk_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content of the first chunk by id of every source, looked up by id."""
+    wanted = table(spark, sf_dir, "chunk_data", ["chunk_id", "source_id"]).groupBy("source_id").agg(F.min("chunk_id").alias("chunk_id")).select("chunk_id")
+    return table(spark, sf_dir, "chunk_data", ["chunk_id", "content"]).join(wanted, "chunk_id", "left_semi").distinct()
+
+
+@_query("SELECT l_partkey AS entity, l_orderkey AS file, l_linenumber AS line FROM lineitem WHERE l_suppkey = 7")
+def lk_entities_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of a source by file and line; parts stand for entities, orders for files."""
+    rows = table(spark, sf_dir, "lineitem", ["l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"]).where("l_suppkey = 7")
+    return rows.select(F.col("l_partkey").alias("entity"), F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")).orderBy("file", "line")
+
+
 @_query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(?i).*o.*') ORDER BY p_name, p_partkey LIMIT 100")
 def lk_entities_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hundred entities whose name matches."""

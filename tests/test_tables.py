@@ -71,6 +71,22 @@ def test_links_fences_citations(spark):
     assert [(r.line_no, r.filename) for r in graph.fence_files(ls, ["id"]).collect()] == [(2, "f.py")]
 
 
+def test_reading_order_of_a_hot_file(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [("s", r.choice(["hot", "hot", "hot", "a", "b", None]), r.randrange(50), f"c{k:03d}") for k in range(300)]
+    df = spark.createDataFrame(rows, "source_id string, filename string, start int, id string")
+    plain = graph.next_chunk(df, ["source_id", "filename"], ["start", "id"])
+    spread = graph.next_chunk(df, ["source_id", "filename"], ["start", "id"], file_rows=10)
+    want = set()
+    for f in {x[1] for x in rows}:
+        own = sorted(x[2:] for x in rows if x[1] == f)
+        want |= {(a[1], b[1]) for a, b in zip(own, own[1:])}
+    assert {tuple(x) for x in plain.collect()} == want == {tuple(x) for x in spread.collect()}
+    assert graph.next_chunk(df.limit(0), ["source_id", "filename"], ["start", "id"]).count() == 0
+
+
 def test_references(spark):
     rows = [(1, "python", "from a.b import c\nimport os"), (2, "javascript", "import x from './m/y.js'; require('../z')"), (3, "c", '#include "k.h"\n#include <s.h>'), (4, None, "import x"), (5, "go", None)]
     got = {(r.id, r.link_type, r.name) for r in graph.references(spark.createDataFrame(rows, "id int, language string, content string"), ["id"]).collect()}
