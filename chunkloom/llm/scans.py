@@ -120,16 +120,14 @@ def _cuts(text: str) -> Iterator[re.Match[str]]:
     if not any(h in text for h in _HYPHENS):
         return
     for m in _CUT.finditer(text):
-        rest = text[m.end() :]
-        line = rest.split("\n", 1)[0]
-        while line and (is_page_number(line) or _head_shaped(line.rstrip("\r\f"))) or line.strip() == "" and rest:
-            if "\n" not in rest:
-                return
-            rest = rest.split("\n", 1)[1]
-            line = rest.split("\n", 1)[0]
-            if len(text) - len(rest) - m.end() > 400:
+        at = m.end()
+        while at < len(text) and at - m.end() < 400:  # past noise lines and blank ones
+            end = text.find("\n", at)
+            line = text[at : len(text) if end < 0 else end]
+            if line.strip() and not is_page_number(line) and not _head_shaped(line.rstrip("\r\f")):
                 break
-        if rest[:1].islower():
+            at += len(line) + 1
+        if text[at : at + 1].islower():
             yield m
 
 
