@@ -185,12 +185,13 @@ def _plain(kind: str, m: str) -> str:
 def clean(text: str, weights: dict[str, float] = WEIGHTS) -> tuple[str, int]:
     """(clean text, number of marks). Headings stay as # lines, list items as - lines, code fenced, formulas as they are.
 
-    Inside a code fence nothing counts as markup. A text without marks is returned
-    unchanged.
+    Inside a code fence nothing counts as markup. Line ends become line feeds; a text
+    without marks is returned unchanged.
     """
+    given, text = text, text.replace("\r\n", "\n")
     tagged = marks(text)
     if not tagged:
-        return text, 0
+        return given, 0
     first, last = content_region(text, tagged, weights)
     out, at, fenced = [], first, ""
     for a, b, kind in tagged:

@@ -39,7 +39,8 @@ def test_clean_keeps_structure():
     fenced = "a\n```py\nx = a**b # <b>\n```\n**c**"
     assert "x = a**b # <b>" in M.clean(fenced)[0] and M.clean(fenced)[0].endswith("c")
     assert "$a^2$" in M.clean("\\emph{so} $a^2$")[0] and M.clean("== H ==\nt")[0] == "## H\nt"
-    assert M.clean("plain text")[0] == "plain text"
+    assert M.clean("plain text\r\n")[0] == "plain text\r\n"
+    assert all(M.clean(t.replace("\n", "\r\n"))[1] for t in MARKED) and not any(M.clean(t.replace("\n", "\r\n"))[1] for t in PLAIN)
 
 
 def test_region_is_the_best_subsequence():
