@@ -118,4 +118,10 @@ SQL: dict[str, str] = {
 SELECT DISTINCT 'chunk' AS item_kind, chunk_id AS item_id, CAST(0 AS INTEGER) AS item_pos FROM chunk_data WHERE strlen(content) > 1500
 UNION SELECT DISTINCT 'section', CAST(output_id AS VARCHAR), CAST(pos - 1 AS INTEGER)
 FROM (SELECT output_id, sections, unnest(range(1, len(sections) + 1)) AS pos FROM pipeline_output) WHERE strlen(sections[pos].content) > 3000""",
+    "p9_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
+es AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM e WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM ds JOIN es USING (g)""",
 }
