@@ -62,9 +62,11 @@ def repeated_deliveries(
 ) -> DataFrame:
     """(delivery_id, kept) of every delivery but the one kept of its message.
 
-    The identifier tables are Spark's hash aggregates keyed by the complete
-    quotient key: partial tables are filled map side, so a hot identifier arrives
-    as one row per task, and the final table of a shard holds each identifier once.
+    The identifier tables are Spark's aggregates keyed by the complete quotient
+    key: partial tables are filled map side, so a hot identifier arrives as one row
+    per task, and the final table of a shard holds each identifier once. As the rank
+    (time, delivery) is a pair, Spark sorts these tables where it would hash them
+    for a single number.
     Retries link identifiers; their components are found on the links alone. The
     narrow table of keys is written once to the shared folder, as three steps read it.
 
