@@ -163,8 +163,10 @@ def shortest_path(edges: DataFrame, start: object, goal: object, max_steps: int
         frontier = seen.where(F.col("step") == step - 1).select(F.col("node").alias("a"))
         found = both.join(frontier, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")).join(seen.select("node"), "node", "left_anti")
         fresh = cut(found.select("node", "parent", F.lit(step).alias("step")))
-        if fresh.isEmpty() or step > max_steps:
+        if fresh.isEmpty():
             return spark.createDataFrame([], f"step int, node {kind}")
+        if step >= max_steps:
+            raise RuntimeError(f"shortest_path: more than {max_steps} steps")
         seen = cut(seen.unionByName(fresh))
     path, at = [], goal
     for k in range(step, -1, -1):

@@ -108,6 +108,8 @@ def test_shortest_path(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (4, 3), (3, 5), (7, 8), (5, 5), (5, 1), (5, 6)], "src int, dst int")
     path = lambda a, b: [r.node for r in graph.shortest_path(edges, a, b).orderBy("step").collect()]
     assert path(2, 6) == [2, 1, 5, 6] and path(1, 1) == [1] and path(1, 8) == []
+    with pytest.raises(RuntimeError):
+        graph.shortest_path(edges, 2, 6, max_steps=1)
 
 
 def test_nearest_ties_nulls_and_owner(spark):
