@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from ..session import cut
 
-#: Tokens of a shingle, rows of a band and bands of a signature; a pair of similarity 0.8 shares a band with probability 0.9997.
+#: Tokens of a shingle, rows of a band and bands of a signature; a pair of similarity 0.8 shares a band with probability 0.9998.
 SHINGLE, ROWS, BANDS = 5, 4, 16
-SIMILARITY = 0.8
+#: Least Jaccard similarity of a link, as a fraction.
+SIMILARITY = (4, 5)
+#: Members of a bucket above which it is compared block by block, so that a task holds no more at a time.
+HOT = 20_000
 #: Shingles a chunk must have to be compared, members and share of evidence that make a family's word count.
 LEAST_SHINGLES, LEAST_MEMBERS, SHARE = 12, 3, 0.6
 #: Lines at the top of a file in which a banner counts.
@@ -63,43 +66,56 @@ def _mask(token: str) -> str:
     return token
 
 
-class _Codes(dict):
-    """Code of a token by its mask; literal ones, and the separators of lists, are odd."""
+#: The letter that stands for a mask of several; all others are a single character that is no letter, and stand for themselves.
+_LETTERS = {m: chr(0x100 + k) for k, m in enumerate(sorted(_KEYWORDS))} | {m: m for m in "SNI"}
+_LITERAL = np.array([ord(c) for c in "SN,[]"], np.uint32)
 
-    def __missing__(self, token: str) -> int:
+
+class _Masks(dict):
+    """Letter of a token by its mask."""
+
+    def __missing__(self, token: str) -> str:
         mask = _mask(token)
-        code = int.from_bytes(hashlib.blake2b(mask.encode(), digest_size=8).digest(), "little") >> 1 << 1 | (mask in ("S", "N", ",", "[", "]"))
         if len(self) > 300_000:
             self.clear()
-        self[token] = code
-        return code
+        self[token] = letter = _LETTERS.get(mask, mask)
+        return letter
 
 
-_CODES = _Codes()
+_MASKS = _Masks()
 
 
-def masked(text: str) -> tuple[np.ndarray, float]:
-    """Codes of the tokens with identifiers, numbers and strings masked, comments left out; and the share of literal characters."""
+def masked(text: str) -> tuple[str, float]:
+    """The form, one letter per token with identifiers, numbers and strings masked, comments left out; and the share of literal characters."""
     tokens = _TOKEN.findall(text)
-    codes = np.fromiter(map(_CODES.__getitem__, tokens), np.uint64, len(tokens))
+    form = "".join(map(_MASKS.__getitem__, tokens))
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    return codes, float(sizes[(codes & np.uint64(1)).astype(bool)].sum() / max(1, sizes.sum()))
+    return form, float(sizes[np.isin(_points(form), _LITERAL)].sum() / max(1, sizes.sum()))
+
+
+def _points(form: str) -> np.ndarray:
+    return np.frombuffer(form.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def signature(codes: np.ndarray) -> np.ndarray | None:
-    """MinHash values (uint32) of the set of shingles; none for a text with too few."""
-    if len(codes) < LEAST_SHINGLES + SHINGLE - 1:
+def shingles(form: str) -> np.ndarray | None:
+    """The set of shingles as sorted codes; none for a form with too few."""
+    n = len(form) - SHINGLE + 1
+    if n < LEAST_SHINGLES:
         return None
-    n = len(codes) - SHINGLE + 1
-    shingles = np.zeros(n, np.uint64)
+    codes = _points(form).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    codes ^= codes >> np.uint64(29)
+    mixed = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
-        shingles = shingles * np.uint64(0x100000001B3) ^ codes[k : k + n]
-    shingles = np.unique(shingles)
-    if len(shingles) < LEAST_SHINGLES:
-        return None
+        mixed = mixed * np.uint64(0x100000001B3) ^ codes[k : k + n]
+    found = np.unique(mixed)
+    return found if len(found) >= LEAST_SHINGLES else None
+
+
+def signature(found: np.ndarray) -> np.ndarray:
+    """MinHash values (uint32) of a set of shingles."""
     least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        mixed = shingles[at : at + 4096, None] * _SALTS
+    for at in range(0, len(found), 4096):
+        mixed = found[at : at + 4096, None] * _SALTS
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
         least = np.minimum(least, mixed.min(0))
@@ -136,47 +152,149 @@ def evidence(text: str, head: bool, share: float) -> str | None:
 
 
 def chunk_features(chunks: DataFrame) -> DataFrame:
-    """One row per chunk: own evidence, literal share, signature and digest of the bare text."""
-    schema = "source_id string, filename string, own string, literal boolean, bare binary, signature binary"
+    """One row per chunk: own evidence, literal share, digest of the bare text, form and digest of its shingles (null for too few)."""
+    schema = "source_id string, filename string, own string, literal boolean, bare binary, shape binary, form string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for source, name, text, start, index in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 plain = _STRIP.sub("", text)
-                codes, share = masked(plain)
-                signed = signature(codes)
+                form, share = masked(plain)
+                found = shingles(form)
+                of = None if found is None else hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 bare = " ".join(plain.split())
                 digest = hashlib.blake2b(bare.encode("utf-8", "replace"), digest_size=16).digest() if text.count("\n") >= 15 and len(bare) > 300 else None
-                rows.append((source, name, evidence(text, index == "0" or not start or start == 1, share), share > 0.8, digest, None if signed is None else signed.tobytes()))
+                rows.append((source, name, evidence(text, index == "0" or not start or start == 1, share), share > 0.8, digest, of, None if of is None else form))
             if rows:
-                kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["source_id", "filename", "own", "literal", "bare", "signature"])
+                kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["source_id", "filename", "own", "literal", "bare", "shape", "form"])
 
     index = F.coalesce(F.get(F.map_values(F.map_filter("metadata", lambda k, _: k == "chunk_index")), F.lit(0)), F.lit(""))
     rows = chunks.where("content IS NOT NULL AND filename IS NOT NULL").select("source_id", "filename", "content", F.col("start_line").cast("int").alias("start_line"), index.alias("chunk_index"))
     return rows.mapInArrow(run, schema)
 
 
-def families(features: DataFrame) -> DataFrame:
-    """(signature, family) of all signatures: components of verified MinHash links.
+def _linked(inter: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
+    return inter * SIMILARITY[1] >= SIMILARITY[0] * (a + b - inter)
+
 
-    Chunks of one signature are one representative, so copies are never paired. In
-    every band bucket each representative is linked to the bucket's least one; a link
-    holds if the signatures agree in 0.8 of their places.
+def bucket_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links whose components are those of all pairs of ``sets`` with Jaccard >= 0.8.
+
+    The first member is compared with all others, its group is what is linked to it,
+    and the rest goes on with its own first member until none is left. As 1 - Jaccard
+    is a metric, a member of the rest can only be linked into the group if it is
+    within twice the allowed distance of the first, and then only to members at most
+    the allowed distance nearer to it; those are compared, too.
     """
-    width = ROWS * 4
-    reps = features.where("signature IS NOT NULL").select("signature").distinct()
-    bands = reps.select("signature", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring(F.col("signature"), b * width + 1, F.lit(width)))).alias("band", "key"))
-    least = bands.groupBy("band", "key").agg(F.min("signature").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = bands.join(least, ["band", "key"]).where("signature <> least").select("signature", "least").distinct()
-    agree = F.aggregate(
-        F.sequence(F.lit(0), F.lit(ROWS * BANDS - 1)), F.lit(0),
-        lambda n, k: n + (F.substring(F.col("signature"), k * 4 + 1, F.lit(4)) == F.substring(F.col("least"), k * 4 + 1, F.lit(4))).cast("int"),
-    )
-    links = pairs.where(agree >= int(SIMILARITY * ROWS * BANDS))
-    found = components(links, "signature", "least").withColumnRenamed("node", "signature")
-    return reps.join(found, "signature", "left").select("signature", F.coalesce("root", "signature").alias("family"))
+    sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(0, 1)] if _linked(np.int64(inter), sizes[0], sizes[1]) else []
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    flag = np.zeros(len(values), bool)
+    parent = list(range(len(sets)))
+    links: list[tuple[int, int]] = []
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    def link(a: int, b: int) -> None:
+        if root(a) != root(b):
+            parent[root(b)] = root(a)
+            links.append((a, b))
+
+    def common(one: int, many: np.ndarray, flat: np.ndarray | None = None) -> np.ndarray:
+        own = codes[starts[one] : starts[one + 1]]
+        flag[own] = True
+        flat = np.concatenate([codes[starts[m] : starts[m + 1]] for m in many]) if flat is None else flat
+        got = np.add.reduceat(flag[flat].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[many])[:-1]]))
+        flag[own] = False
+        return got
+
+    left, flat, allowed = np.arange(len(sets)), codes, 1 - SIMILARITY[0] / SIMILARITY[1] + 1e-9
+    while len(left) > 1:
+        first, rest = int(left[0]), left
+        inter = common(first, rest, flat)
+        into = _linked(inter, sizes[first], sizes[rest])
+        far = 1 - inter / (sizes[first] + sizes[rest] - inter)
+        group, near = rest[into], far[into]
+        for m in group:
+            link(first, int(m))
+        for y, d in zip(rest[~into & (far <= 2 * allowed)].tolist(), far[~into & (far <= 2 * allowed)], strict=True):
+            if root(y) != root(first):
+                low, high = sizes[y] * SIMILARITY[0], sizes[y] * SIMILARITY[1]
+                some = group[(near >= d - allowed) & (sizes[group] * SIMILARITY[1] >= low) & (sizes[group] * SIMILARITY[0] <= high)]
+                for at in range(0, len(some), 256):
+                    part = some[at : at + 256]
+                    hit = np.flatnonzero(_linked(common(y, part), sizes[y], sizes[part]))
+                    if len(hit):
+                        link(int(part[hit[0]]), y)
+                        break
+        flat = flat[np.repeat(~into, sizes[rest])]
+        left = rest[~into]
+    return links
+
+
+def _buckets(reps: DataFrame) -> DataFrame:
+    """(shape, bucket) of all bands of the signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for form in batch.column(1).to_pylist():
+                bands = signature(shingles(form)).reshape(BANDS, ROWS)
+                keys += [int.from_bytes(hashlib.blake2b(bytes([b]) + bands[b].tobytes(), digest_size=8).digest(), "little", signed=True) for b in range(BANDS)]
+            of = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
+            yield pa.RecordBatch.from_arrays([of, pa.array(keys, pa.int64())], names=["shape", "bucket"])
+
+    return reps.select("shape", "form").mapInArrow(run, "shape binary, bucket bigint")
+
+
+def _links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of rows (group, shape, form) that come sorted by group."""
+    group, names, sets, out = None, [], [], []
+    for batch in batches:
+        for key, name, form in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            if key != group:
+                out += [(names[a], names[b]) for a, b in bucket_links(sets)] if len(sets) > 1 else []
+                group, names, sets = key, [], []
+            names.append(name)
+            sets.append(shingles(form))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
+            out = []
+    out = [(names[a], names[b]) for a, b in bucket_links(sets)] if len(sets) > 1 else []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+
+def families(features: DataFrame, hot: int = HOT) -> DataFrame:
+    """(shape, family) of all shapes: components of the pairs that share a band and have Jaccard >= 0.8.
+
+    Chunks of one set of shingles are one representative, so copies are never paired.
+    Buckets of the same members are one. Every bucket gives the components of all its
+    pairs, verified on the shingles; a bucket of more than ``hot`` members is spread
+    over blocks, each pair of which is a group of its own.
+    """
+    reps = cut(features.where("shape IS NOT NULL").groupBy("shape").agg(F.min("form").alias("form")))
+    bands = cut(_buckets(reps))
+    same = [F.bit_xor(F.xxhash64("shape", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    kept = bands.groupBy("bucket").agg(F.count("*").alias("n"), *same).where("n > 1").groupBy("n", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    blocks = F.when(F.col("n") > hot, F.ceil(2 * F.col("n") / hot)).otherwise(1).cast("int")
+    own = F.pmod(F.xxhash64("shape"), F.col("blocks")).cast("int")
+    members = bands.join(kept, "bucket").select("shape", "bucket", blocks.alias("blocks")).withColumn("own", own)
+    pairs = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, F.col("own")) * F.col("blocks") + F.greatest(k, F.col("own")))
+    )
+    groups = members.select("shape", F.explode(F.transform(pairs, lambda p: F.xxhash64("bucket", p))).alias("group"))
+    rows = groups.join(reps, "shape").select("group", "shape", "form").repartition("group").sortWithinPartitions("group", "shape")
+    found = components(rows.mapInArrow(_links_of, "a binary, b binary"), "a", "b").withColumnRenamed("node", "shape")
+    return reps.join(found, "shape", "left").select("shape", F.coalesce("root", "shape").alias("family"))
 
 
 def not_handwritten(files: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -200,7 +318,7 @@ def not_handwritten(files: DataFrame, chunks: DataFrame) -> DataFrame:
     )
     features = cut(chunk_features(chunks))
     family = families(features)
-    known = features.where("signature IS NOT NULL").join(family, "signature")
+    known = features.where("shape IS NOT NULL").drop("form").join(family, "shape")
     stats = known.groupBy("family").agg(
         F.count("*").alias("n"), F.approx_count_distinct("source_id").alias("sources"), F.min(F.col("literal").cast("int")).alias("literal"),
         *[F.count_if(F.col("own") == k).alias(k) for k in ("generated", "vendored", "minified", "blob")],

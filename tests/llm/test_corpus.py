@@ -147,3 +147,39 @@ def test_pairs(spark):
     df = spark.createDataFrame([(d, t, "clash") for d, t in rows] * 2, "doc_id bigint, text string, look string")
     assert sorted(map(tuple, K.same_looks(df).collect())) == [(1, 2), (1, 4), (2, 3), (2, 4), (3, 4), (9, 10), (12, 13)]
     assert K.same_looks(df.limit(0)).count() == 0
+
+
+def test_families_are_those_of_all_pairs(spark):
+    r = random.Random(4)
+    marks = "+-*/%&|^~<>?!.;:="
+    texts = []
+    for _ in range(12):
+        head = [r.choice(marks) for _ in range(70)]  # shared, so that unlike texts meet in buckets
+        for _ in range(4):
+            own = head + [r.choice(marks) for _ in range(r.choice([8, 25, 60]))]
+            for _ in range(8):
+                own = list(own)
+                own[r.randrange(len(own))] = r.choice(marks)  # a chain: neighbours are alike, its ends needn't be
+                texts.append(" ".join(own))
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in map(str.split, texts)]
+    parent = list(range(len(texts)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for a, b in alike:
+        parent[root(a)] = root(b)
+    want = {frozenset(k for k in range(len(texts)) if root(k) == top) for top in range(len(texts)) if parent[top] == top}
+    features = V.chunk_features(spark.createDataFrame([("s", str(k), x, 1, None) for k, x in enumerate(texts)], CHUNKS))
+
+    def groups(family):
+        found = {}
+        for x in features.join(family, family.columns[0]).collect():
+            found.setdefault(bytes(x.family), set()).add(int(x.filename))
+        return set(map(frozenset, found.values()))
+
+    assert groups(V.families(features)) == want and 12 < len(want) < len(texts)
+    assert groups(V.families(features, hot=6)) == want  # buckets in blocks
