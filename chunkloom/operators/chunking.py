@@ -79,7 +79,7 @@ def packed_json(text: Column, limit: int = MAX_CHUNK) -> Column:
     null for a text that is no JSON container.
     """
     variant = F.try_parse_json(text)
-    kind = F.substring(F.ltrim(text), 1, 1)
+    kind = F.substring(utrim(text), 1, 1)
     items = F.transform(F.variant_get(variant, "$", "array<variant>"), lambda v: F.to_json(v))
     entries = F.transform(F.array_sort(F.map_entries(F.variant_get(variant, "$", "map<string,variant>"))["key"]), lambda k: k)
     pairs = F.transform(entries, lambda k: F.concat(F.to_json(F.map_from_arrays(F.array(k), F.array(F.element_at(F.variant_get(variant, "$", "map<string,variant>"), k))))))

@@ -189,23 +189,47 @@ chunk AS (SELECT doc_id, CAST(o - 1 AS INTEGER) AS ordinal, out[o] AS content FR
 """
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
+
+
 def _plain_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that aren't large JSON texts, as SQL has no packing of those."""
-    rows = table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
+    rows = _documents(spark, sf_dir)
     return rows.where(~((F.octet_length("text") > 1500) & T.utrim(F.col("text")).rlike(r"^[\[{]")))
 
 
 @_query(_FOLD + "SELECT c.doc_id, ordinal, sha256(content) AS hash, CASE WHEN strpos(text, content) > 0 THEN strlen(substr(text, 1, strpos(text, content) - 1)) ELSE 0 END AS start FROM chunk c JOIN documents d ON d.doc_id = c.doc_id")
 def ch_hybrid_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid chunks of the documents with hash and first byte offset."""
-    rows = chunking.hybrid_chunks(_plain_documents(spark, sf_dir), ["doc_id"])
+    """Hybrid chunks of the documents that aren't large JSON texts, with hash and first byte offset."""
+    return _hybrid(_plain_documents(spark, sf_dir))
+
+
+@_query()
+def ch_hybrid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all documents."""
+    return _hybrid(_documents(spark, sf_dir))
+
+
+def _hybrid(documents: DataFrame) -> DataFrame:
+    rows = chunking.hybrid_chunks(documents, ["doc_id"])
     return rows.select("doc_id", "ordinal", identity.content_hash(F.col("content")).alias("hash"), "start")
 
 
 @_query(_FOLD + "SELECT d.source, count(*) AS chunks, CAST(sum(strlen(content)) // count(*) AS BIGINT) AS avg_bytes FROM chunk c JOIN documents d ON d.doc_id = c.doc_id GROUP BY d.source")
 def ch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks per source and their average size, in whole bytes."""
-    rows = chunking.hybrid_chunks(_plain_documents(spark, sf_dir), ["doc_id", "source"])
+    """Chunks per source and their average size, in whole bytes, of the documents that aren't large JSON texts."""
+    return _stats(_plain_documents(spark, sf_dir))
+
+
+@_query()
+def ch_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all documents."""
+    return _stats(_documents(spark, sf_dir))
+
+
+def _stats(documents: DataFrame) -> DataFrame:
+    rows = chunking.hybrid_chunks(documents, ["doc_id", "source"])
     return rows.groupBy("source").agg(F.count("*").alias("chunks"), F.floor(F.sum(F.octet_length("content")) / F.count("*")).alias("avg_bytes"))
 
 
@@ -704,8 +728,18 @@ def ev_chunk_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_FOLD + """, e AS (SELECT d.source, c.doc_id, ordinal, content, lead(ordinal) OVER (PARTITION BY c.doc_id ORDER BY ordinal) AS following FROM chunk c JOIN documents d ON d.doc_id = c.doc_id)
 SELECT source, count(*) AS chunks, count(following) AS next_edges, count(DISTINCT sha256(content)) AS distinct_contents FROM e GROUP BY source""")
 def ch_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents to chunks with identity and reading order, rolled up by source."""
-    rows = chunking.hybrid_chunks(_plain_documents(spark, sf_dir), ["doc_id", "source"]).withColumn("filename", F.concat(F.lit("doc_"), F.col("doc_id")))
+    """Documents that aren't large JSON texts to chunks with identity and reading order, rolled up by source."""
+    return _flagship(_plain_documents(spark, sf_dir))
+
+
+@_query()
+def ch_flagship_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all documents."""
+    return _flagship(_documents(spark, sf_dir))
+
+
+def _flagship(documents: DataFrame) -> DataFrame:
+    rows = chunking.hybrid_chunks(documents, ["doc_id", "source"]).withColumn("filename", F.concat(F.lit("doc_"), F.col("doc_id")))
     known = identity.identified(rows, "source", "filename").select("source", "doc_id", "ordinal", "id", "chunk_hash")
     own = Window.partitionBy("doc_id").orderBy("ordinal")
     read = known.withColumn("following", F.lead("id").over(own))
