@@ -297,6 +297,17 @@ def ch_markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("output_id", "caption", identity.content_hash(F.col("markdown")).alias("hash"))
 
 
+@_query()
+def ch_markdown_tables_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables of an output announced in one text, read back in order; what is no pipe grid gives none."""
+    rows = table(spark, sf_dir, "pipeline_output", ["output_id", "tables"]).where(F.size("tables") > 0)
+    one = lambda t: F.concat(F.lit(f"{parsing.TABLE_MARK}\nCaption: "), F.coalesce(t["caption"], F.lit("")), F.lit("\n"), F.coalesce(t["markdown"], F.lit("")))
+    texts = rows.select("output_id", F.concat(F.lit("before\n"), F.array_join(F.transform("tables", one), "\nbetween\n"), F.lit("\nafter")).alias("text"))
+    texts = texts.where("text IS NOT NULL").distinct().withColumn("version", F.xxhash64("text"))
+    found = parsing.markdown_tables(texts, ["output_id", "version"])
+    return found.select("output_id", "pos", "caption", identity.content_hash(F.col("markdown")).alias("hash"))
+
+
 # --- identity ------------------------------------------------------------------------------------
 
 

@@ -39,3 +39,13 @@ def test_large_json_documents_are_chunked(spark, tmp_path):
     assert {tuple(r) for r in run(spark, tmp_path, "ch_stats_whole").select("source", "chunks", "avg_bytes").collect()} == {(s, len(c), sum(map(len, c)) // len(c)) for s, c in of.items()}
     got = run(spark, tmp_path, "ch_flagship_whole").select("source", "chunks", "next_edges", "distinct_contents").collect()
     assert {tuple(r) for r in got} == {(s, len(c), len(c) - 2, len(set(c))) for s, c in of.items()}
+
+
+def test_every_table_of_an_output_is_read(spark, tmp_path):
+    grid = lambda k: f"| a{k} | b |\n|---|---|\n| {k} | y |"
+    latex = "\\begin{tabular}{ll}\nx & y\n\\end{tabular}"
+    rows = [(1, [("one", grid(1)), (None, grid(2)), ("tex", latex), ("last", grid(3))]), (2, [("tex", latex), ("two", grid(4))]), (3, [("none", None)]), (4, []), (5, None)]
+    schema = "output_id bigint, tables array<struct<caption:string,markdown:string>>"
+    got = run(spark, tmp_path, "ch_markdown_tables_whole", pipeline_output=(rows * 2, schema)).collect()
+    want = [(1, 0, "one", 1), (1, 1, "", 2), (1, 2, "last", 3), (2, 0, "two", 4)]
+    assert sorted((r.output_id, r.pos, r.caption, r.hash) for r in got) == [(o, p, c, hashlib.sha256(grid(k).encode()).hexdigest()) for o, p, c, k in want]
