@@ -49,3 +49,14 @@ def test_every_table_of_an_output_is_read(spark, tmp_path):
     got = run(spark, tmp_path, "ch_markdown_tables_whole", pipeline_output=(rows * 2, schema)).collect()
     want = [(1, 0, "one", 1), (1, 1, "", 2), (1, 2, "last", 3), (2, 0, "two", 4)]
     assert sorted((r.output_id, r.pos, r.caption, r.hash) for r in got) == [(o, p, c, hashlib.sha256(grid(k).encode()).hexdigest()) for o, p, c, k in want]
+
+
+def test_stems_are_found_inside_longer_words(spark, tmp_path):
+    files = ["src/load.py", "a/save_page.generated.ts", "x/io.rs", "b/über.md", "c/日本.md", "d/-.md", "e/q.c", "f/load.rs", "g/loads.py"]
+    texts = ["preloading rows", "import save_page.generated; save_pages", "save_page-generated and studio", "größe übersicht", "日本語 text", "a-b q", "", None, "loads of save_page.generatedX"]
+    rows = [(f"c{k}", "s" if k != 3 else "t", f, t, 1, 2) for k, (f, t) in enumerate(zip(files, texts, strict=True))] + [("c9", "t", "z/other.md", "load über", 1, 2)]
+    stem = lambda f: f.rsplit("/", 1)[1].rsplit(".", 1)[0]
+    want = {(c, f) for c, s, own, t, *_ in rows for _, of, f, *_ in rows if s == of and f != own and stem(f) in (t or "")}
+    schema = "chunk_id string, source_id string, filename string, content string, start_line int, end_line int"
+    got = run(spark, tmp_path, "rx_reverse_contains", chunk_data=(rows * 2, schema)).select("chunk_id", "target").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 6
