@@ -443,9 +443,20 @@ def rx_graph_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""WITH p AS (SELECT DISTINCT path AS url, 'page' AS kind FROM documents WHERE path IS NOT NULL AND doc_id % 3 = 0), l AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.path IS NOT NULL AND b.path IS NOT NULL AND a.path IN (SELECT url FROM p))
 SELECT url, any_value(kind) AS kind, count(dst) AS links FROM (SELECT url, kind FROM p UNION ALL SELECT DISTINCT dst, NULL FROM l WHERE dst NOT IN (SELECT url FROM p)) LEFT JOIN l ON src = url GROUP BY url""")
 def gr_web_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages and the links between them: targets are created, links from unknown pages aren't."""
+    """Pages, of every third document, and the links between them: targets are created, links from unknown pages aren't."""
     docs = table(spark, sf_dir, "documents", ["doc_id", "path"])
-    pages = docs.where("path IS NOT NULL AND doc_id % 3 = 0").select(F.col("path").alias("url"), F.lit("page").alias("kind")).distinct()
+    return _web_links(docs, docs.where("doc_id % 3 = 0"))
+
+
+@_query()
+def gr_web_links_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the pages of all documents."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "path"])
+    return _web_links(docs, docs)
+
+
+def _web_links(docs: DataFrame, known: DataFrame) -> DataFrame:
+    pages = known.where("path IS NOT NULL").select(F.col("path").alias("url"), F.lit("page").alias("kind")).distinct()
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("path").alias("dst"))
     links = docs.join(after, "doc_id").where("path IS NOT NULL AND dst IS NOT NULL").select(F.col("path").alias("src"), "dst")
     every, kept = graph.linked_pages(pages, links)

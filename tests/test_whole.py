@@ -60,3 +60,14 @@ def test_stems_are_found_inside_longer_words(spark, tmp_path):
     schema = "chunk_id string, source_id string, filename string, content string, start_line int, end_line int"
     got = run(spark, tmp_path, "rx_reverse_contains", chunk_data=(rows * 2, schema)).select("chunk_id", "target").collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 6
+
+
+def test_pages_of_all_documents(spark, tmp_path):
+    from chunkloom.operators import graph
+
+    rows = [(1, "a"), (2, "b"), (3, None), (4, "c"), (5, "a"), (6, "d")]
+    got = run(spark, tmp_path, "gr_web_links_whole", documents=([(d, "s", p, "t") for d, p in rows], "doc_id bigint, source string, path string, text string"))
+    assert sorted(map(tuple, got.select("url", "kind", "links").collect())) == [("a", "page", 2), ("b", "page", 0), ("c", "page", 1), ("d", "page", 0)]
+    pages = spark.createDataFrame([("a", "page")], "url string, kind string")
+    every, kept = graph.linked_pages(pages, spark.createDataFrame([("a", "b"), ("x", "y"), ("x", "a")], "src string, dst string"))
+    assert sorted((r.url, r.kind) for r in every.collect()) == [("a", "page"), ("b", None)] and [tuple(r) for r in kept.select("src", "dst").collect()] == [("a", "b")]
