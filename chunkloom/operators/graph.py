@@ -251,17 +251,21 @@ def containing(chunks: DataFrame, files: DataFrame, gram: int = 4) -> DataFrame:
     word = F.lit(r"[0-9A-Za-z_]+")
     longest = F.aggregate(F.regexp_extract_all("name", word, F.lit(0)), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
     names = files.where("name <> ''").withColumn("part", longest)
-    parts = names.where("part <> ''").select("source_id", "part").distinct().withColumn("gram", F.substring("part", 1, gram))
+    parts = small(cut(names.where("part <> ''").select("source_id", "part").distinct().withColumn("gram", F.substring("part", 1, gram))))
+    lengths = [r[0] for r in parts.select(F.length("gram")).distinct().collect()] or [gram]
     words = chunks.select("chunk_id", "source_id", "filename", F.explode(F.array_distinct(F.regexp_extract_all("content", word, F.lit(0)))).alias("word"))
     grams = lambda n: F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i: F.substring(F.col("word"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    lengths = [r[0] for r in parts.select(F.length("gram")).distinct().collect()] or [gram]
     every = F.array_distinct(F.flatten(F.array(*[grams(n) for n in sorted(lengths)])))
     known = words.select("source_id", "word").distinct().select("source_id", "word", F.explode(every).alias("gram"))
-    hits = known.join(parts, ["source_id", "gram"]).where(F.col("word").contains(F.col("part"))).select("source_id", "word", "part")
-    found = words.join(hits.join(names, ["source_id", "part"]), ["source_id", "word"]).where("target <> filename")
-    plain = found.where("name = part").select("chunk_id", "target")
+    hits = cut(known.join(parts, ["source_id", "gram"]).where(F.col("word").contains(F.col("part"))).select("source_id", "word", "part"))
+    held = words.join(small(hits.select("source_id", "word").distinct()), ["source_id", "word"], "left_semi")
+    found = held.join(hits.join(names, ["source_id", "part"]), ["source_id", "word"]).where("target <> filename")
+    found = cut(found.select("chunk_id", "source_id", "filename", "target", F.col("name") == F.col("part"), "name").toDF("chunk_id", "source_id", "filename", "target", "whole", "name").distinct())
+    plain = found.where("whole").select("chunk_id", "target")
     contents = chunks.select("chunk_id", "source_id", "filename", "content")
-    odd = found.where("name <> part").select("chunk_id", "source_id", "filename", "target", "name").distinct().join(contents, ["chunk_id", "source_id", "filename"])
+    odd = found.where("NOT whole").drop("whole")
+    some = contents.join(small(odd.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    odd = odd.join(some, ["chunk_id", "source_id", "filename"])
     bare = contents.join(names.where("part = ''"), "source_id").where("target <> filename")
     looked = odd.select("chunk_id", "target", "name", "content").unionByName(bare.select("chunk_id", "target", "name", "content")).where(F.col("content").contains(F.col("name")))
     return plain.unionByName(looked.select("chunk_id", "target")).distinct()

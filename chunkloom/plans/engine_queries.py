@@ -427,7 +427,7 @@ def rx_reverse_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rx_reverse_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that contain the stem of another file of their source, wherever it stands."""
     files = table(spark, sf_dir, "chunk_data", ["source_id", "filename"]).distinct().select("source_id", F.col("filename").alias("target"), N.stem(F.col("filename")).alias("name"))
-    return graph.containing(_chunks(spark, sf_dir, "content"), files)
+    return graph.containing(table(spark, sf_dir, "chunk_data", ["chunk_id", "source_id", "filename", "content"]), files)
 
 
 @_query(f"""WITH p AS (SELECT chunk_id AS src, dst, 'NEXT_CHUNK' AS type FROM (SELECT chunk_id, lead(chunk_id) OVER (PARTITION BY source_id, filename ORDER BY start_line, chunk_id) AS dst FROM (SELECT DISTINCT chunk_id, source_id, filename, start_line FROM chunk_data WHERE start_line IS NOT NULL)) WHERE dst IS NOT NULL AND dst <> chunk_id
