@@ -65,6 +65,10 @@ WEIGHTS: dict[str, float] = {"word": 0.5, "hidden": -4.0, "html": -1.5, "entity"
 OTHER = -0.5
 
 _WORD = re.compile(r"\w+")
+#: Marks whose lines are content wherever they stand: headings, lists, code and formulas.
+_STRUCTURE = ("heading", "list", "task", "fence", "code", "math", "display", "environment", "command")
+_STRUCTURE_TAG = re.compile(r"(?i)</?(?:h[1-6]|li|dt|dd|pre|code|math)\b")
+_ITEM_LINE = re.compile(r"(?m)^[ \t]*(?:[-+*]|\d+[.)])[ \t]+\w")
 
 
 def marks(text: str) -> list[tuple[int, int, str]]:
@@ -122,6 +126,12 @@ def content_region(text: str, tagged: list[tuple[int, int, str]], weights: dict[
         if len(spots) > 2:
             a, b = min(a, spots[0][0]) if b else spots[0][0], max(b, s)
         at = e
+    # Structure is kept with its whole lines.
+    kept = [(s, e) for s, e, k in tagged if k in _STRUCTURE or k == "html" and _STRUCTURE_TAG.match(text, s)] + [m.span() for m in _ITEM_LINE.finditer(text) if not any(s <= m.start() < e for s, e, _ in tagged)]
+    if kept:
+        low, high = text.rfind("\n", 0, min(s for s, _ in kept)) + 1, max(e for _, e in kept)
+        end = text.find("\n", high)
+        a, b = min(a, low) if b else low, max(b, len(text) if end < 0 else end)
     a = max([0, *(e for s, e, k in tagged if e <= a and k in ("hidden", "template", "magic"))])
     b = min([len(text), *(s for s, e, k in tagged if s >= b and k in ("hidden", "template", "magic"))])
     return a, b

@@ -172,3 +172,14 @@ def test_model_needs_consecutive_ranks():
 def test_redact_is_a_map(spark):
     assert "Exchange" not in C.redact_chunks(spark.createDataFrame([("a", "b")], "chunk_id string, content string"))._jdf.queryExecution().executedPlan().toString()
     assert F is not None
+
+
+def test_structure_at_the_ends_is_kept():
+    from chunkloom.llm.markup import clean
+
+    say = "The town grew fast and wide."
+    assert clean("== History ==\n{{main|x}}\n" + say)[0].startswith("## History\n")
+    assert clean("# Past\n<!-- x -->\n" + say)[0].startswith("# Past\n")
+    assert clean(say + "\n<!-- x -->\n## See also")[0].endswith("## See also")
+    assert clean("* one\n{{x}}\n" + say + "\n{{y}}\n`run`")[0].startswith("- one") and "run" in clean(say + "\n{{y}}\n`run`")[0]
+    assert "$x^2$" in clean("$x^2$\n{{x}}\n" + say)[0] and clean("- one\n{{x}}\n" + say)[0].startswith("- one")
