@@ -59,7 +59,7 @@ _KINDS: tuple[tuple[str, tuple[str, ...], re.Pattern[str]], ...] = (
     ("list", ("*", ";", ":"), re.compile(r"(?m)^\*{1,6}[ \t]+(?=[^\W\d_]|[\[`*'<\"«¿])|^;[^\s:;][^:\n]*:|^:{1,6}[ \t]*(?=[^\W\d_])|^[*#:]{2,6}[ \t]*(?=[^\W\d_])")),
 )
 
-#: Scores of a word and of a tag by kind, as ``fit_weights`` gives them for the labelled pages of the tests (rounded).
+#: Scores of a word and of a tag by kind, set by hand.
 WEIGHTS: dict[str, float] = {"word": 0.5, "hidden": -4.0, "html": -1.5, "entity": -0.2, "template": -4.0, "magic": -4.0, "environment": -1.0, "tablemark": -1.0}
 #: Score of every other kind of tag.
 OTHER = -0.5
