@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ SHINGLE, ROWS, BANDS = 5, 4, 16
 #: Least Jaccard similarity of a link, as a fraction.
 SIMILARITY = (4, 5)
 #: Members of a bucket above which it is compared block by block, so that a task holds no more at a time.
-HOT = 20_000
+HOT = 8_192
 #: Shingles a chunk must have to be compared, members and share of evidence that make a family's word count.
 LEAST_SHINGLES, LEAST_MEMBERS, SHARE = 12, 3, 0.6
 #: Lines at the top of a file in which a banner counts.
@@ -42,7 +43,7 @@ _TOOL_NAME = re.compile(
     r"|(?:^|/)(?:[\w-]+[.-])?lock\.(?:json|ya?ml)$|\.lock$|(?:^|/)(?:package-lock\.json|pnpm-lock\.yaml|npm-shrinkwrap\.json|go\.sum)$|[.-](?:min|bundle|chunk|packed)\.[a-z]+$|\.[0-9a-f]{7,20}\.(?:js|css|mjs)$|\.(?:js|css)\.map$"
 )
 _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|--|<!--|;|\"\"\"|%|')")
-_TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\s\w]")
+_QUOTED = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _STRING = re.compile(r"\"[^\"]*\"|'[^']*'")
 _STRIP = re.compile(r"(?m)^[ \t]*(?://|#(?!\s*(?:include|define|if|end))|--|/\*|\*|<!--).*$")
 # Words of programming languages that aren't masked.
@@ -54,61 +55,117 @@ _KEYWORDS = frozenset(
 _SALTS = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for k in range(1, ROWS * BANDS + 1)], np.uint64)
 
 
-def _mask(token: str) -> str:
-    c = token[0]
-    if c in "\"'" and len(token) > 1:
-        return "S"
-    if c.isdigit():
-        return "N"
-    if c.isalpha() or c in "_$":
-        low = token.lower()
-        return low if low in _KEYWORDS else "I"
-    return token
+#: What stands for a string literal and between two texts while they are masked; both are control characters, which no form holds otherwise.
+_LITERAL, _END = "\x01", "\x02"
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Weights of the letters of a word by their place, so that words are told by one number.
+_PLACES = np.array([pow(0x100000001B3, k + 1, 1 << 64) for k in range(16)], np.uint64)
 
 
-#: The letter that stands for a mask of several; all others are a single character that is no letter, and stand for themselves.
-_LETTERS = {m: chr(0x100 + k) for k, m in enumerate(sorted(_KEYWORDS))} | {m: m for m in "SNI"}
-_LITERAL = np.array([ord(c) for c in "SN,[]"], np.uint32)
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-class _Masks(dict):
-    """Letter of a token by its mask."""
+#: Numbers of the words that aren't masked, in order, and the letters that stand for them.
+_KNOWN = {int((_points(w) * _PLACES[: len(w)]).sum(dtype=np.uint64)): chr(0x100 + k) for k, w in enumerate(sorted(_KEYWORDS))}
+_KNOWN_CODES = np.array(sorted(_KNOWN), np.uint64)
+_KNOWN_LETTERS = np.array([ord(_KNOWN[k]) for k in sorted(_KNOWN)], np.uint32)
 
-    def __missing__(self, token: str) -> str:
-        mask = _mask(token)
-        if len(self) > 300_000:
-            self.clear()
-        self[token] = letter = _LETTERS.get(mask, mask)
-        return letter
 
+def _word_points(points: np.ndarray) -> np.ndarray:
+    """Which code points are letters, digits, underscores or dollar signs."""
+    low = np.minimum(points, 0x7F)
+    out = _ASCII_WORD[low]
+    far = np.flatnonzero(points > 0x7F)
+    if len(far):
+        kinds, at = np.unique(points[far], return_inverse=True)
+        out[far] = np.array([chr(k).isalnum() for k in kinds])[at]
+    return out
 
-_MASKS = _Masks()
 
+_ASCII_WORD = np.array([chr(k).isalnum() or chr(k) in "_$" for k in range(128)])
+_ASCII_BLANK = np.array([chr(k).isspace() or chr(k) == "\0" for k in range(128)])
+_ASCII_LOWER = np.array([ord(chr(k).lower()) for k in range(128)], np.uint64)
 
-def masked(text: str) -> tuple[str, float]:
-    """The form, one letter per token with identifiers, numbers and strings masked, comments left out; and the share of literal characters."""
-    tokens = _TOKEN.findall(text)
-    form = "".join(map(_MASKS.__getitem__, tokens))
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    return form, float(sizes[np.isin(_points(form), _LITERAL)].sum() / max(1, sizes.sum()))
 
+def masked(texts: list[str]) -> list[tuple[str, float]]:
+    """Form and share of literal characters of each text.
 
-def _points(form: str) -> np.ndarray:
-    return np.frombuffer(form.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def shingles(form: str) -> np.ndarray | None:
-    """The set of shingles as sorted codes; none for a form with too few."""
-    n = len(form) - SHINGLE + 1
-    if n < LEAST_SHINGLES:
-        return None
-    codes = _points(form).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    The form has one letter per token: S for a string, N for a number, I for an
+    identifier, one letter for each word of ``_KEYWORDS`` in any case; signs stand for
+    themselves and blanks are left out. All texts are masked in one go: runs of word
+    characters are found by comparing neighbours, their words by one sum each.
+    """
+    bare = [_QUOTED.sub(_LITERAL, t.replace(_LITERAL, " ").replace(_END, " ")) for t in texts]
+    strings = [t.count(_LITERAL) for t in bare]
+    in_strings = [len(t) - len(b) + n for t, b, n in zip(texts, bare, strings, strict=True)]
+    points = _points(_END.join([*bare, ""]))
+    if not len(points):
+        return []
+    word = _word_points(points)
+    digit = (points >= 48) & (points <= 57)
+    dots = np.flatnonzero(points == 46)
+    dots = dots[(dots > 0) & (dots < len(points) - 1)]
+    word[dots[digit[dots - 1] & digit[dots + 1]]] = True  # a decimal point belongs to its number
+    before = np.concatenate([[False], word[:-1]])
+    blank = _ASCII_BLANK[np.minimum(points, 0x7F)] & (points <= 0x7F) | (points == 0xA0) | (points == 0x3000)
+    starts = np.flatnonzero(word & ~before)
+    inside = np.flatnonzero(word)
+    run = np.cumsum((word & ~before)[inside]) - 1
+    place = inside - starts[run]
+    letter = np.where(points[inside] <= 0x7F, _ASCII_LOWER[np.minimum(points[inside], 0x7F)], points[inside].astype(np.uint64))
+    first = np.searchsorted(run, np.arange(len(starts)))
+    sizes = np.diff(np.concatenate([first, [len(inside)]]))
+    codes = np.add.reduceat(letter * _PLACES[np.minimum(place, 15)], first) if len(starts) else np.empty(0, np.uint64)
+    at = np.minimum(np.searchsorted(_KNOWN_CODES, codes), len(_KNOWN_CODES) - 1)
+    letters = np.where(digit[starts], ord("N"), ord("I")).astype(np.uint32)
+    letters = np.where((_KNOWN_CODES[at] == codes) & (sizes <= 16), _KNOWN_LETTERS[at], letters)
+    out = points.copy()
+    out[starts] = letters
+    size = np.ones(len(points), np.int64)
+    size[starts] = sizes
+    size[points == 1] = 0
+    kept = ~blank & (~word | (word & ~before))
+    out, size = out[kept], size[kept]
+    ends = np.flatnonzero(out == 2)
+    out[out == 1] = ord("S")
+    literal = size * np.isin(out, _LITERAL_LETTERS)
+    size[ends] = 0
+    all_of, literal_of = (np.concatenate([[0], np.cumsum(x)]) for x in (size, literal))
+    form = out.tobytes().decode("utf-32-le", "surrogatepass")
+    result, begin = [], 0
+    for k, end in enumerate(ends.tolist()):
+        total = int(all_of[end] - all_of[begin]) + in_strings[k]
+        result.append((form[begin:end], (int(literal_of[end] - literal_of[begin]) + in_strings[k]) / max(1, total)))
+        begin = end + 1
+    return result
+
+
+_LITERAL_LETTERS = np.array([ord(c) for c in "N,[]"], np.uint32)
+
+
+def _shingle_codes(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, owner): the 64-bit codes of all shingles of all forms, repeats included, in the order of the forms."""
+    sizes = np.array([len(f) for f in forms])
+    codes = _points("".join(forms)).astype(np.uint64) * _MULTIPLIER
     codes ^= codes >> np.uint64(29)
+    n = len(codes) - SHINGLE + 1
+    if n <= 0:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     mixed = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
         mixed = mixed * np.uint64(0x100000001B3) ^ codes[k : k + n]
-    found = np.unique(mixed)
-    return found if len(found) >= LEAST_SHINGLES else None
+    owner = np.repeat(np.arange(len(forms)), sizes)
+    whole = owner[:n] == owner[SHINGLE - 1 :]
+    return mixed[whole], owner[:n][whole]
+
+
+def shingle_sets(forms: list[str]) -> list[np.ndarray | None]:
+    """The set of shingles of each form as sorted codes; none for a form with too few."""
+    codes, owner = _shingle_codes(forms)
+    until = np.searchsorted(owner, np.arange(len(forms) + 1)).tolist()
+    found = [np.unique(codes[a:b]) if b - a >= LEAST_SHINGLES else codes[:0] for a, b in itertools.pairwise(until)]
+    return [f if len(f) >= LEAST_SHINGLES else None for f in found]
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -152,22 +209,23 @@ def evidence(text: str, head: bool, share: float) -> str | None:
 
 
 def chunk_features(chunks: DataFrame) -> DataFrame:
-    """One row per chunk: own evidence, literal share, digest of the bare text, form and digest of its shingles (null for too few)."""
-    schema = "source_id string, filename string, own string, literal boolean, bare binary, shape binary, form string"
+    """One row per chunk: own evidence, whether it is literals, digest of the bare text, form and 64-bit id of its set of shingles (null for too few)."""
+    schema = "source_id string, filename string, own string, literal boolean, bare binary, shape bigint, form string"
+    kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.int64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for source, name, text, start, index in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                plain = _STRIP.sub("", text)
-                form, share = masked(plain)
-                found = shingles(form)
-                of = None if found is None else hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                bare = " ".join(plain.split())
-                digest = hashlib.blake2b(bare.encode("utf-8", "replace"), digest_size=16).digest() if text.count("\n") >= 15 and len(bare) > 300 else None
-                rows.append((source, name, evidence(text, index == "0" or not start or start == 1, share), share > 0.8, digest, of, None if of is None else form))
-            if rows:
-                kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.binary(), pa.string())
+            given = list(zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True))
+            for some in _portions(given, 1 << 20):
+                plain = [_STRIP.sub("", text) for _, _, text, _, _ in some]
+                forms = masked(plain)
+                rows = []
+                sets = shingle_sets([form for form, _ in forms])
+                for (source, name, text, start, index), bare, (form, share), found in zip(some, plain, forms, sets, strict=True):
+                    of = None if found is None else int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+                    bare = " ".join(bare.split())
+                    digest = hashlib.blake2b(bare.encode("utf-8", "replace"), digest_size=16).digest() if text.count("\n") >= 15 and len(bare) > 300 else None
+                    rows.append((source, name, evidence(text, index == "0" or not start or start == 1, share), share > 0.8, digest, of, None if of is None else form))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["source_id", "filename", "own", "literal", "bare", "shape", "form"])
 
     index = F.coalesce(F.get(F.map_values(F.map_filter("metadata", lambda k, _: k == "chunk_index")), F.lit(0)), F.lit(""))
@@ -175,68 +233,49 @@ def chunk_features(chunks: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _linked(inter: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
-    return inter * SIMILARITY[1] >= SIMILARITY[0] * (a + b - inter)
+def _portions(rows: list[tuple], characters: int) -> Iterator[list[tuple]]:
+    """The rows in runs of about so many characters of text, at least one row each."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[2])
+        if size >= characters:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
-def bucket_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links whose components are those of all pairs of ``sets`` with Jaccard >= 0.8.
+def bucket_links(forms: list[str]) -> list[tuple[int, int]]:
+    """Links whose components are those of all pairs of ``forms`` whose sets of shingles have Jaccard >= 0.8.
 
-    The first member is compared with all others, its group is what is linked to it,
-    and the rest goes on with its own first member until none is left. As 1 - Jaccard
-    is a metric, a member of the rest can only be linked into the group if it is
-    within twice the allowed distance of the first, and then only to members at most
-    the allowed distance nearer to it; those are compared, too.
+    Each set is a row of bits over the shingles of the bucket, so an intersection is
+    the count of common bits. Components are grown from their first member: what is
+    reached is compared with all that isn't reached yet, so each member is linked once.
     """
-    sizes = np.array([len(s) for s in sets])
-    if len(sets) == 2:
-        inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if _linked(np.int64(inter), sizes[0], sizes[1]) else []
-    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    flag = np.zeros(len(values), bool)
-    parent = list(range(len(sets)))
+    codes, owner = _shingle_codes(forms)
+    values, at = np.unique(codes, return_inverse=True)
+    words = -(-max(1, len(values)) // 64)
+    bits = np.empty((len(forms), words), np.uint64)
+    until = np.searchsorted(owner, np.arange(len(forms) + 1))
+    for low in range(0, len(forms), 256):
+        high = min(low + 256, len(forms))
+        flags = np.zeros((high - low, words * 64), np.uint8)
+        own = slice(until[low], until[high])
+        flags[owner[own] - low, at[own]] = 1
+        bits[low:high] = np.packbits(flags, axis=1).view(np.uint64)
+    sizes = np.bitwise_count(bits).sum(1, dtype=np.int64)
     links: list[tuple[int, int]] = []
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = k = parent[parent[k]]
-        return k
-
-    def link(a: int, b: int) -> None:
-        if root(a) != root(b):
-            parent[root(b)] = root(a)
-            links.append((a, b))
-
-    def common(one: int, many: np.ndarray, flat: np.ndarray | None = None) -> np.ndarray:
-        own = codes[starts[one] : starts[one + 1]]
-        flag[own] = True
-        flat = np.concatenate([codes[starts[m] : starts[m + 1]] for m in many]) if flat is None else flat
-        got = np.add.reduceat(flag[flat].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[many])[:-1]]))
-        flag[own] = False
-        return got
-
-    left, flat, allowed = np.arange(len(sets)), codes, 1 - SIMILARITY[0] / SIMILARITY[1] + 1e-9
+    left = np.arange(len(forms))
     while len(left) > 1:
-        first, rest = int(left[0]), left
-        inter = common(first, rest, flat)
-        into = _linked(inter, sizes[first], sizes[rest])
-        far = 1 - inter / (sizes[first] + sizes[rest] - inter)
-        group, near = rest[into], far[into]
-        for m in group:
-            link(first, int(m))
-        for y, d in zip(rest[~into & (far <= 2 * allowed)].tolist(), far[~into & (far <= 2 * allowed)], strict=True):
-            if root(y) != root(first):
-                low, high = sizes[y] * SIMILARITY[0], sizes[y] * SIMILARITY[1]
-                some = group[(near >= d - allowed) & (sizes[group] * SIMILARITY[1] >= low) & (sizes[group] * SIMILARITY[0] <= high)]
-                for at in range(0, len(some), 256):
-                    part = some[at : at + 256]
-                    hit = np.flatnonzero(_linked(common(y, part), sizes[y], sizes[part]))
-                    if len(hit):
-                        link(int(part[hit[0]]), y)
-                        break
-        flat = flat[np.repeat(~into, sizes[rest])]
-        left = rest[~into]
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            one = reached.pop()
+            common = np.bitwise_count(bits[left] & bits[one]).sum(1, dtype=np.int64)
+            into = common * SIMILARITY[1] >= SIMILARITY[0] * (sizes[left] + sizes[one] - common)
+            links += [(one, m) for m in left[into].tolist()]
+            reached += left[into].tolist()
+            left = left[~into]
     return links
 
 
@@ -246,31 +285,31 @@ def _buckets(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = []
-            for form in batch.column(1).to_pylist():
-                bands = signature(shingles(form)).reshape(BANDS, ROWS)
+            for found in shingle_sets(batch.column(1).to_pylist()):
+                bands = signature(found).reshape(BANDS, ROWS)
                 keys += [int.from_bytes(hashlib.blake2b(bytes([b]) + bands[b].tobytes(), digest_size=8).digest(), "little", signed=True) for b in range(BANDS)]
             of = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
             yield pa.RecordBatch.from_arrays([of, pa.array(keys, pa.int64())], names=["shape", "bucket"])
 
-    return reps.select("shape", "form").mapInArrow(run, "shape binary, bucket bigint")
+    return reps.select("shape", "form").mapInArrow(run, "shape bigint, bucket bigint")
 
 
 def _links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of rows (group, shape, form) that come sorted by group."""
-    group, names, sets, out = None, [], [], []
+    group, names, forms, out = None, [], [], []
     for batch in batches:
         for key, name, form in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
             if key != group:
-                out += [(names[a], names[b]) for a, b in bucket_links(sets)] if len(sets) > 1 else []
-                group, names, sets = key, [], []
+                out += [(names[a], names[b]) for a, b in bucket_links(forms)] if len(forms) > 1 else []
+                group, names, forms = key, [], []
             names.append(name)
-            sets.append(shingles(form))
+            forms.append(form)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
             out = []
-    out = [(names[a], names[b]) for a, b in bucket_links(sets)] if len(sets) > 1 else []
+    out = [(names[a], names[b]) for a, b in bucket_links(forms)] if len(forms) > 1 else []
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
 
 def families(features: DataFrame, hot: int = HOT) -> DataFrame:
@@ -293,7 +332,7 @@ def families(features: DataFrame, hot: int = HOT) -> DataFrame:
     )
     groups = members.select("shape", F.explode(F.transform(pairs, lambda p: F.xxhash64("bucket", p))).alias("group"))
     rows = groups.join(reps, "shape").select("group", "shape", "form").repartition("group").sortWithinPartitions("group", "shape")
-    found = components(rows.mapInArrow(_links_of, "a binary, b binary"), "a", "b").withColumnRenamed("node", "shape")
+    found = components(rows.mapInArrow(_links_of, "a bigint, b bigint"), "a", "b").withColumnRenamed("node", "shape")
     return reps.join(found, "shape", "left").select("shape", F.coalesce("root", "shape").alias("family"))
 
 
@@ -316,17 +355,19 @@ def not_handwritten(files: DataFrame, chunks: DataFrame) -> DataFrame:
         .groupBy(*key).agg(F.max(F.struct("processed_at", F.lower("file_type").alias("file_type"), F.when(F.col("line_count") > 0, F.col("size_bytes") / F.col("line_count")).alias("width"))).alias("last"))
         .select(*key, F.col("last.file_type").alias("file_type"), F.col("last.width").alias("width")).where("file_type IN ('code', 'config')")
     )
-    features = cut(chunk_features(chunks))
+    wanted = newest.select(F.col("source_id").alias("of"), F.col("filename").alias("name"))
+    features = chunk_features(chunks)
+    features = cut(features.join(wanted, F.col("source_id").eqNullSafe(F.col("of")) & (F.col("filename") == F.col("name")), "left_semi"))
     family = families(features)
     known = features.where("shape IS NOT NULL").drop("form").join(family, "shape")
     stats = known.groupBy("family").agg(
-        F.count("*").alias("n"), F.approx_count_distinct("source_id").alias("sources"), F.min(F.col("literal").cast("int")).alias("literal"),
+        F.count("*").alias("n"), (F.min("source_id") != F.max("source_id")).alias("several"), F.min(F.col("literal").cast("int")).alias("literal"),
         *[F.count_if(F.col("own") == k).alias(k) for k in ("generated", "vendored", "minified", "blob")],
     )
     known_share = lambda k: F.col(k) >= SHARE * F.col("n")
     verdict = (
-        F.when(F.col("literal") == 1, "blob").when(F.col("n") < LEAST_MEMBERS, None).when(known_share("blob"), "blob").when(known_share("minified"), "minified")
-        .when(known_share("generated"), "generated").when(known_share("vendored") & (F.col("sources") > 1), "vendored")
+        F.when(F.col("n") < LEAST_MEMBERS, None).when(F.col("literal") == 1, "blob").when(known_share("blob"), "blob").when(known_share("minified"), "minified")
+        .when(known_share("generated"), "generated").when(known_share("vendored") & F.col("several"), "vendored")
     )
     by_family = known.join(stats.select("family", verdict.alias("kind")).where("kind IS NOT NULL"), "family").select(*key, "kind")
     copies = features.where("bare IS NOT NULL").groupBy("bare").agg(F.min("source_id").alias("a"), F.max("source_id").alias("b")).where("a <> b").select("bare")

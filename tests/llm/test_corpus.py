@@ -178,7 +178,7 @@ def test_families_are_those_of_all_pairs(spark):
     def groups(family):
         found = {}
         for x in features.join(family, family.columns[0]).collect():
-            found.setdefault(bytes(x.family), set()).add(int(x.filename))
+            found.setdefault(x.family, set()).add(int(x.filename))
         return set(map(frozenset, found.values()))
 
     assert groups(V.families(features)) == want and 12 < len(want) < len(texts)
