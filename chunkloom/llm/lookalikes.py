@@ -66,42 +66,55 @@ def _drawn(token: str) -> str:
     return "".join(out)
 
 
+@lru_cache(1 << 14)
+def _readings(c: str) -> str:
+    """The trie letters that a raw character is read as at no cost: none for an ignorable one, several for a ligature or a joined accent."""
+    return "".join(map(_glyphs, unicodedata.normalize("NFD", c)))
+
+
 class Trie:
-    """Words of a public vocabulary, searched by an edit automaton in which equal looks cost nothing."""
+    """Words of a public vocabulary, searched by an edit automaton in which look-alikes and ignorables cost nothing.
+
+    An edge stands for a shape: letters of the same shape share it. A word is held if
+    it is its own table form, so that a look has one spelling whether the trie or the
+    table gives it.
+    """
 
     def __init__(self, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> None:
         self.root: dict = {}
         for piece, rank in sorted(ranks(name, folder).items(), key=lambda x: x[1]):
             try:
-                word = piece.decode().strip()
+                word = unicodedata.normalize("NFD", piece.decode().strip())
             except UnicodeDecodeError:
                 continue
-            if len(word) > 1 and word.isalpha() and all(_glyphs(c) == c for c in unicodedata.normalize("NFD", word)):
+            if len(word) > 1 and word[0].isalpha() and all(c.isalpha() or unicodedata.combining(c) for c in word) and by_table(word) == unicodedata.normalize("NFC", word):
                 node = self.root
-                for c in unicodedata.normalize("NFD", word):
-                    node = node.setdefault(c, {})
+                for c in word:
+                    node = node.setdefault(_glyphs(c), {})
                 node.setdefault("", (rank, word))
 
     def spelling(self, token: str, budget: int = 0) -> str | None:
-        """The word of lowest cost, then rank, that ``token`` can be read as within ``budget``.
+        """The word of lowest cost, then rank, that the raw ``token`` can be read as within ``budget``.
 
-        Transitions: the same character or a look-alike costs 0, an ignorable
-        character is skipped at 0, another letter in its place costs 1. With budget
-        0 only words of the very same look remain.
+        The automaton takes the token as it is, character by character. A character
+        follows the edges of its shape at 0, an ignorable one stays where it is at 0, and
+        another letter in its place costs 1. With budget 0 only words of the very same
+        look remain.
         """
         states: dict[int, tuple[int, dict]] = {id(self.root): (0, self.root)}
-        for c in _drawn(token):
-            following: dict[int, tuple[int, dict]] = {}
-            for cost, node in states.values():
-                options = [(cost, node[c])] if c in node else []
-                if cost < budget:
-                    options += [(cost + 1, n) for k, n in node.items() if k and k != c]
-                for price, to in options:
-                    if id(to) not in following or following[id(to)][0] > price:
-                        following[id(to)] = (price, to)
-            states = following
-            if not states:
-                return None
+        for raw in token:
+            for shape in _readings(raw):
+                following: dict[int, tuple[int, dict]] = {}
+                for cost, node in states.values():
+                    options = [(cost, node[shape])] if shape in node else []
+                    if cost < budget:
+                        options += [(cost + 1, n) for k, n in node.items() if k and k != shape]
+                    for price, to in options:
+                        if id(to) not in following or following[id(to)][0] > price:
+                            following[id(to)] = (price, to)
+                states = following
+                if not states:
+                    return None
         ends = [(cost, *node[""]) for cost, node in states.values() if "" in node]
         return min(ends)[2] if ends else None
 
@@ -124,11 +137,16 @@ def _own_script(drawn: str) -> str:
     return drawn
 
 
+def by_table(token: str) -> str:
+    """The spelling of a token the vocabulary doesn't know: shapes by table, in the script its letters show."""
+    return unicodedata.normalize("NFC", _own_script(_drawn(token)))
+
+
 @lru_cache(1 << 17)
 def canonical_token(token: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> str:
     """One spelling for all tokens of a look: the vocabulary's if it has one, else by the table."""
     known = trie(name, folder).spelling(token)
-    return unicodedata.normalize("NFC", known if known is not None else _own_script(_drawn(token)))
+    return by_table(token) if known is None else unicodedata.normalize("NFC", known)
 
 
 def canonical(text: str) -> str:
@@ -164,14 +182,10 @@ def _digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def same_looks(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b, of all documents that look the same and differ as strings.
+def look_digests(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, look, spelling): digests of 128 bits of the canonical form and of the text itself, in one map.
 
-    Documents become (id, digest of the canonical form, digest of the text) in one
-    map. Copies of a text are counted before anything is joined: only looks with
-    more than one spelling go on, spellings are paired with one another, and rows
-    are multiplied only as the result demands it. Digests have 128 bits. Null texts
-    and texts without a visible character are left out; repeated rows count once.
+    Null texts and texts without a visible character are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +203,32 @@ def same_looks(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     rows = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     kind = rows.schema["doc"].dataType.simpleString()
-    digests = rows.mapInArrow(run, f"doc {kind}, look binary, spelling binary")
-    return pairs_of_spellings(digests)
+    return rows.mapInArrow(run, f"doc {kind}, look binary, spelling binary")
+
+
+def same_looks(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b, of all documents that look the same and differ as strings.
+
+    Copies of a text are counted before anything is joined: only looks with more than
+    one spelling go on, spellings are paired with one another, and rows are multiplied
+    only as the result demands it. Null texts and texts without a visible character
+    are left out; repeated rows count once.
+    """
+    return pairs_of_spellings(look_digests(documents, doc_id, text))
+
+
+def look_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, look_id, spellings): one row per document whose look has several spellings, however many share it.
+
+    ``look_id`` is the least document of the look, ``spellings`` the number of texts
+    that differ as strings. The form to take where a look is so common that its pairs
+    would outgrow everything else.
+    """
+    from ..session import cut
+
+    rows = cut(look_digests(documents, doc_id, text).distinct())
+    spelled = rows.groupBy("look", "spelling").agg(F.min("doc").alias("least")).groupBy("look").agg(F.min("least").alias("look_id"), F.count("*").alias("spellings"))
+    return rows.join(spelled.where("spellings > 1"), "look").select(F.col("doc").alias(doc_id), "look_id", "spellings")
 
 
 def pairs_of_spellings(digests: DataFrame) -> DataFrame:

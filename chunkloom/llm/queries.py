@@ -112,7 +112,14 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looks(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents, one row each, with the class of their look."""
+    from .lookalikes import look_classes
+
+    return look_classes(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_found": p6_found, "p6_kinds": p6_kinds, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_classes": p10_classes}
 SQL: dict[str, str] = {
     "p2_found": """
 SELECT DISTINCT 'chunk' AS item_kind, chunk_id AS item_id, CAST(0 AS INTEGER) AS item_pos FROM chunk_data WHERE strlen(content) > 1500
