@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import flat_rows
+from .pages import labelled_pages
 
 # Element names of HTML and of its wiki extensions.
 _ELEMENTS = (
@@ -59,17 +62,15 @@ _KINDS: tuple[tuple[str, tuple[str, ...], re.Pattern[str]], ...] = (
     ("list", ("*", ";", ":"), re.compile(r"(?m)^\*{1,6}[ \t]+(?=[^\W\d_]|[\[`*'<\"«¿])|^;[^\s:;][^:\n]*:|^:{1,6}[ \t]*(?=[^\W\d_])|^[*#:]{2,6}[ \t]*(?=[^\W\d_])")),
 )
 
-#: Scores of a word and of a tag by kind, set by hand.
-WEIGHTS: dict[str, float] = {"word": 0.5, "hidden": -4.0, "html": -1.5, "entity": -0.2, "template": -4.0, "magic": -4.0, "environment": -1.0, "tablemark": -1.0}
-#: Score of every other kind of tag.
-OTHER = -0.5
-
 _WORD = re.compile(r"\w+")
 #: Marks whose lines are content wherever they stand: headings, lists, code and formulas.
 _STRUCTURE = ("heading", "list", "task", "fence", "code", "math", "display", "environment", "command")
 _STRUCTURE_TAG = re.compile(r"(?i)</?(?:h[1-6]|li|dt|dd|pre|code|math)\b")
 _ITEM_LINE = re.compile(r"(?m)^[ \t]*(?:[-+*]|\d+[.)])[ \t]+\w")
-
+#: Elements of HTML that are scored apart from the others: frames around the content, and inline marks of words.
+_FRAME_TAG = re.compile(r"(?i)<(/?)(nav|footer|aside|form|button|select|menu|iframe)\b")
+_INLINE_TAG = re.compile(r"(?i)</?(?:abbr|b|bdi|big|cite|code|del|dfn|em|font|i|ins|kbd|mark|nobr|q|ref|s|samp|small|span|strike|strong|sub|sup|t[dhr]|tt|u|var|wbr)\b")
+_ANCHOR_TAG = re.compile(r"(?i)</?a\b")
 
 def marks(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the markup of a text in order; where marks overlap, the one that starts first, then the earlier kind."""
@@ -87,54 +88,140 @@ def marks(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def items(text: str, tagged: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the words and tags of a text in order.
+
+    Tags of HTML are told apart as frame, anchor, inline and other; a word inside of
+    an open frame (navigation, footer, form and the like) is a framed one.
+    """
+    out: list[tuple[int, int, str]] = []
+    frames: list[str] = []
+    at = 0
+    for a, b, kind in [*tagged, (len(text), len(text), "")]:
+        word = "framed" if frames else "word"
+        out += [(m.start(), m.end(), word) for m in _WORD.finditer(text, at, a)]
+        if kind == "html":
+            if frame := _FRAME_TAG.match(text, a):
+                kind, name = "frame", frame[2].lower()
+                if not frame[1]:
+                    frames.append(name)
+                elif name in frames:
+                    del frames[frames.index(name) :]
+            else:
+                kind = "anchor" if _ANCHOR_TAG.match(text, a) else "inline" if _INLINE_TAG.match(text, a) else "html"
+        if kind:
+            out.append((a, b, kind))
+        at = b
+    return out
+
+
 def fit_weights(pages: Iterable[tuple[str, int, int]]) -> dict[str, float]:
-    """Scores from labelled pages (text, start and end of the content): log odds of standing inside, words made positive."""
+    """Scores by kind from labelled pages (text, start and end of the content): log odds of standing inside, against those of words.
+
+    A plain word scores 0.5 and every other kind below zero, as the method asks; a
+    kind that no page has scores ``OTHER``.
+    """
     inside: dict[str, int] = {}
     outside: dict[str, int] = {}
     for text, start, end in pages:
-        tagged = marks(text)
-        spots = [(a, kind) for a, _, kind in tagged] + [(m.start(), "word") for m in _WORD.finditer(text) if not any(a <= m.start() < b for a, b, _ in tagged)]
-        for at, kind in spots:
+        for at, _, kind in items(text, marks(text)):
             into = inside if start <= at < end else outside
             into[kind] = into.get(kind, 0) + 1
     odds = {k: math.log((inside.get(k, 0) + 0.5) / (outside.get(k, 0) + 0.5)) for k in inside | outside}
     level = odds.get("word", 0.0)
-    return {k: (0.5 if k == "word" else min(-0.1, v - level)) for k, v in odds.items()}
+    unseen = dict.fromkeys([k for k, *_ in _KINDS] + ["frame", "anchor", "inline", "framed"], OTHER)
+    return unseen | {k: (0.5 if k == "word" else round(min(-0.1, 0.5 * (v - level)), 2)) for k, v in odds.items()}
+
+
+#: Score of a kind of tag that no labelled page has.
+OTHER = -0.5
+WEIGHTS: dict[str, float] = fit_weights(labelled_pages())
+#: A gap of this score parts what stands on its sides. So many parts in a row that score less than this are a list of links, fewer are words of the text.
+GAP, LEAST_PART, LIST = -4.0, 1.5, 3
+
+
+def regions(scores: Sequence[float]) -> list[tuple[int, int, float]]:
+    """All maximal-scoring subsequences (first, behind the last, score), in order, by one linear scan.
+
+    Every positive score lies in exactly one; the first of those with the greatest
+    score is the best contiguous region of all.
+    """
+    found: list[tuple[int, int, float, float]] = []  # first, behind the last, sum before, sum up to the end
+    total = 0.0
+    for k, v in enumerate(scores):
+        total += v
+        if v <= 0:
+            continue
+        left, low, high = k, total - v, total
+        first = k
+        while True:
+            at = len(found) - 1
+            while at >= 0 and found[at][2] >= low:
+                at -= 1
+            if at < 0 or found[at][3] >= high:
+                break
+            first, low = found[at][0], found[at][2]
+            del found[at:]
+        found.append((min(first, left), k + 1, low, high))
+    return [(a, b, high - low) for a, b, low, high in found]
 
 
 def content_region(text: str, tagged: list[tuple[int, int, str]], weights: dict[str, float] = WEIGHTS) -> tuple[int, int]:
-    """The contiguous region of greatest score, by one scan; of equal ones the first. The whole text if nothing is marked."""
+    """The contiguous region of greatest score; of equal ones the first. The whole text if nothing is marked."""
     if not tagged:
         return 0, len(text)
-    word = weights["word"]
-    best, best_span, score, start = 0.0, (0, 0), 0.0, 0
-    at = 0
-    for a, b, kind in [*tagged, (len(text), len(text), "")]:
-        for m in _WORD.finditer(text, at, a):
-            if score <= 0:
-                score, start = 0.0, m.start()
-            score += word
-            if score > best:
-                best, best_span = score, (start, m.end())
-        score += weights.get(kind, OTHER)
-        at = b
-    a, b = best_span
-    # Outside the region only what has no run of words goes: three or more between two tags are content.
-    at = 0
-    for s, e, _ in [*tagged, (len(text), len(text), "")]:
-        spots = [m.span() for m in _WORD.finditer(text, at, s)]
-        if len(spots) > 2:
-            a, b = min(a, spots[0][0]) if b else spots[0][0], max(b, s)
-        at = e
-    # Structure is kept with its whole lines.
-    kept = [(s, e) for s, e, k in tagged if k in _STRUCTURE or k == "html" and _STRUCTURE_TAG.match(text, s)] + [m.span() for m in _ITEM_LINE.finditer(text) if not any(s <= m.start() < e for s, e, _ in tagged)]
-    if kept:
-        low, high = text.rfind("\n", 0, min(s for s, _ in kept)) + 1, max(e for _, e in kept)
-        end = text.find("\n", high)
-        a, b = min(a, low) if b else low, max(b, len(text) if end < 0 else end)
-    a = max([0, *(e for s, e, k in tagged if e <= a and k in ("hidden", "template", "magic"))])
-    b = min([len(text), *(s for s, e, k in tagged if s >= b and k in ("hidden", "template", "magic"))])
-    return a, b
+    sequence = items(text, tagged)
+    found = regions([weights.get(kind, OTHER) for *_, kind in sequence])
+    if not found:
+        return 0, 0
+    a, b, _ = max(found, key=lambda r: (round(r[2], 9), -r[0]))
+    return sequence[a][0], sequence[b - 1][1]
+
+
+def left_out(text: str, tagged: list[tuple[int, int, str]], weights: dict[str, float] = WEIGHTS) -> list[tuple[int, int]]:
+    """The spans of a text that are no content, in order.
+
+    The best region is content. So are the other maximal regions, but for rows of
+    ``LIST`` and more that are short and that heavy gaps part from one another, as in
+    lists of links. The words of those and framed words go, but no line with a
+    heading, list item, code or formula.
+    """
+    sequence = items(text, tagged)
+    scores = [weights.get(kind, OTHER) for *_, kind in sequence]
+    found = regions(scores)
+    parts: list[list] = []  # first, behind the last, score of its words
+    sums = [0.0]
+    for v in scores:
+        sums.append(sums[-1] + v)
+    for a, b, score in found:
+        if parts and sums[a] - sums[parts[-1][1]] > GAP:
+            parts[-1][1:] = [b, parts[-1][2] + score]
+        else:
+            parts.append([a, b, score])
+    best = max((p[2] for p in parts), default=0.0)
+    content = []
+    for weak, row in itertools.groupby(parts, lambda p: p[2] < min(best, LEAST_PART)):
+        row = list(row)
+        content += [] if weak and len(row) >= LIST else row
+    inside = [False] * len(sequence)
+    for a, b, _ in content:
+        inside[a:b] = [True] * (b - a)
+    dropped = {k for k in ("word", "framed") if weights.get(k, OTHER) <= 0}
+    gone = [(a, b) for (a, b, kind), kept in zip(sequence, inside, strict=True) if kind in dropped or kind in ("word", "framed") and not kept]
+    if not gone:
+        return []
+    starts = [s for s, _, k in tagged if k in _STRUCTURE or k == "html" and _STRUCTURE_TAG.match(text, s)] + [m.start() for m in _ITEM_LINE.finditer(text)]
+    lines = {text.rfind("\n", 0, s) + 1 for s in starts}
+    out: list[tuple[int, int]] = []
+    kept = [a for (a, _, kind), own in zip(sequence, inside, strict=True) if own and kind == "word"]
+    for a, b in gone:
+        if text.rfind("\n", 0, a) + 1 in lines:
+            continue
+        if out and not any(out[-1][1] <= k < a for k in kept[bisect.bisect_left(kept, out[-1][1]) :][:1]) and not any(out[-1][1] <= s < a for s in starts):
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 _ITEM = {"li", "dt", "dd"}
@@ -189,37 +276,100 @@ def _plain(kind: str, m: str) -> str:
         return ""
     if kind == "list":
         return f"{m[1:-1]}: " if m.startswith(";") else "  " * (len(m.strip()) - 1) + "- "
-    return m.strip("*_~`'") if kind in ("strong", "strike", "code", "emphasis") else ""
+    if kind in ("strong", "strike", "emphasis"):
+        return clean(m[1:-1] if kind == "emphasis" else m[2:-2])[0]
+    return m[1:-1] if kind == "code" else ""
+
+
+_FORMULAS = re.compile(r"\\begin\s*\{((?:equation|align|math|displaymath|gather|multline|eqnarray|alignat|flalign)\*?)\}")
+_LISTINGS = re.compile(r"\\begin\s*\{((?:verbatim|lstlisting|minted|Verbatim)\*?)\}")
+_ANY_TAG = re.compile(r"<[^<>]*>")
+
+
+def _verbatim(text: str, a: int, b: int, kind: str) -> tuple[int, str] | None:
+    """Where the code or formula that the mark opens ends, and what stands for it; none if it opens none."""
+    mark = text[a:b]
+    if kind == "fence":
+        sign = mark.strip()[:3]
+        close = re.compile(rf"(?m)^[ \t]{{0,3}}{re.escape(sign)}[`~]*[ \t]*$").search(text, b)
+        end = close.end() if close else len(text)
+        return end, text[a:end]
+    if kind == "display" and mark in ("\\[", "\\("):
+        end = text.find("\\]" if mark == "\\[" else "\\)", b)
+        return (end + 2, text[a : end + 2]) if end >= 0 else None
+    if kind == "environment" and (m := _FORMULAS.match(mark) or _LISTINGS.match(mark)):
+        close = f"\\end{{{m[1]}}}"
+        end = text.find(close, b)
+        if end < 0:
+            return None
+        inner = text[b:end]
+        return end + len(close), text[a : end + len(close)] if _FORMULAS.match(mark) else f"```\n{inner.strip(chr(10))}\n```"
+    if kind == "html" and (m := re.match(r"(?i)<(pre|code|math)\b", mark)):
+        close = re.compile(rf"(?i)</{m[1]}\s*>").search(text, b)
+        if not close:
+            return None
+        inner = text[b : close.start()]
+        if m[1].lower() == "math":
+            return close.end(), text[a : close.end()]
+        inner = html.unescape(_ANY_TAG.sub("", inner) if marks(inner) else inner)
+        return close.end(), f"\n```\n{inner.strip(chr(10))}\n```\n" if m[1].lower() == "pre" else inner
+    return None
+
+
+def _closing(text: str, at: int) -> int:
+    """Place of the brace that closes the one at ``at``, or -1."""
+    depth = 0
+    for m in re.compile(r"\\.|[{}]", re.S).finditer(text, at):
+        depth += {"{": 1, "}": -1}.get(m[0], 0)
+        if not depth and m[0] == "}":
+            return m.start()
+    return -1
 
 
 def clean(text: str, weights: dict[str, float] = WEIGHTS) -> tuple[str, int]:
     """(clean text, number of marks). Headings stay as # lines, list items as - lines, code fenced, formulas as they are.
 
-    Inside a code fence nothing counts as markup. Line ends become line feeds; a text
-    without marks is returned unchanged.
+    Code (fences, pre, verbatim) and formulas ($, \\[, equation and the like) stay
+    byte for byte, nothing in them counts as markup. Line ends become line feeds; a
+    text without marks is returned unchanged.
     """
     given, text = text, text.replace("\r\n", "\n")
     tagged = marks(text)
     if not tagged:
         return given, 0
-    first, last = content_region(text, tagged, weights)
-    out, at, fenced = [], first, ""
+    spans: list[tuple[int, int, str]] = []  # what is replaced, by what
+    exact: set[int] = set()  # where code and formulas begin
+    until = 0
     for a, b, kind in tagged:
-        if b <= first or a >= last:
+        if a < until:
             continue
-        if fenced:
-            if kind == "fence" and text[a:b].strip()[:3] == fenced:
-                fenced = ""
+        if whole := _verbatim(text, a, b, kind):
+            until = whole[0]
+            spans.append((a, *whole))
+            exact.add(a)
             continue
-        if kind == "fence":
-            fenced = text[a:b].strip()[:3]
+        until = b
+        spans.append((a, b, _plain(kind, text[a:b])))
+        if kind == "command" and text[b : b + 1] == "{" and not text.startswith(("\\frac", "\\sqrt"), a) and (close := _closing(text, b)) > 0:
+            spans += [(b, b + 1, ""), (close, close + 1, "")]
+    gone = [(a, b, "") for a, b in left_out(text, tagged, weights)]
+    out, run, at = [], [], 0
+    for a, b, stands in sorted([*gone, *spans], key=lambda x: (x[0], x[2] != "")):
+        if b <= at:
             continue
-        out += [text[at : max(at, a)], _plain(kind, text[a:b])]
-        at = max(at, b)
-    out.append(text[at:last])
-    result = "".join(out)
-    result = re.sub(r"(?<=\w)\{([^{}\n]*)\}|(?<![\w$\\^_])\{([^{}\n]*)\}", lambda m: m[1] or m[2] or "", result) if any(k == "command" for *_, k in tagged) else result
-    return re.sub(r"\n{3,}", "\n\n", result).strip("\n"), len(tagged)
+        run.append(text[at : max(at, a)])
+        if a >= at and a in exact:
+            out += [_no_gaps(run), stands]
+            run = []
+        elif a >= at:
+            run.append(stands)
+        at = b
+    out.append(_no_gaps([*run, text[at:]]))
+    return "".join(out).strip("\n"), len(tagged)
+
+
+def _no_gaps(run: list[str]) -> str:
+    return re.sub(r"\n{3,}", "\n\n", "".join(run))
 
 
 def parts(outputs: DataFrame, output_id: str = "output_id") -> DataFrame:

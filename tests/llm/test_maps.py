@@ -2,8 +2,10 @@
 
 import os
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,60 @@ def test_weights_from_labelled_pages():
     assert weights["word"] > 0 > weights["html"] and weights["hidden"] < 0
 
 
+def test_weights_are_those_of_the_labelled_pages():
+    assert M.WEIGHTS == M.fit_weights(M.labelled_pages()) and M.WEIGHTS["word"] > 0
+    assert max(v for k, v in M.WEIGHTS.items() if k != "word") < 0 and M.WEIGHTS["frame"] < -2 < M.WEIGHTS["inline"]
+    for text, start, end in M.labelled_pages():
+        spans = M.left_out(text, M.marks(text))
+        assert all(b <= start or a >= end for a, b in spans), text[:40]
+
+
+def test_the_region_decides_what_is_content():
+    page = "<nav>Home / Products and services</nav><p>One two three four five six.</p><footer>Imprint here now</footer>"
+    assert M.clean(page)[0] == "One two three four five six."
+    assert "Home" in M.clean(page, dict.fromkeys(M.WEIGHTS, 0.5))[0]  # every item a word: nothing is outside
+    assert M.clean('<a href="x">Home</a> | <a href="y">Shop</a> | <a href="z">News</a> | <a href="u">Mail</a>\n\n<p>Now the real text of the page comes along.</p>')[0].endswith("Now the real text of the page comes along.")
+    assert "Shop" not in M.clean('<a href="x">Home</a> | <a href="y">Shop</a> | <a href="z">News</a> | <a href="u">Mail</a>\n\n<p>Now the real text of the page comes along.</p>')[0]
+    assert M.clean('read <a href="x">A</a>, <a href="y">B</a>')[0] == "read A, B"
+
+
+def test_nothing_behind_marks_is_lost():
+    assert M.clean("Some words of the text {{note|keep this text}} end")[0].endswith(" end")
+    assert M.clean(r"$\frac{a}{b}$ and \textbf{bold {x}}")[0] == r"$\frac{a}{b}$ and bold {x}"
+    for code in ["def f(x):\n  if x:\n    return **1**  # <b>\n  return '__x__'", "a = {b: [c](d)}\n\n\n\n  e"]:
+        assert code in M.clean(f"**a**\n```py\n{code}\n```\nb")[0] and code in M.clean(f"\\begin{{verbatim}}\n{code}\n\\end{{verbatim}} *b*")[0]
+    assert M.clean("<pre>a &lt; b\n  *x*</pre> t")[0].startswith("```\na < b\n  *x*\n```")
+    for formula in [r"\[ a_1 \leq \frac{1}{2} \]", r"\begin{align}x_{1} &= 2\\ y\end{align}", "$$x_1 *y* z$$"]:
+        assert formula in M.clean(f"so {formula} *holds*")[0]
+    assert M.clean("call **`__init__`** and *`x_y`*")[0] == "call __init__ and x_y"
+
+
+DATA = "/root/testdata/sf0.01/pipeline_output.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables here")
+def test_letters_outside_marks_are_kept():
+    texts = [x["content"] for r in pq.read_table(DATA, columns=["sections"]).to_pylist() for x in r["sections"] or []]
+    texts += [x["markdown"] for r in pq.read_table(DATA, columns=["tables"]).to_pylist() for x in r["tables"] or []]
+    for given in filter(None, texts):
+        text, at, outside = given.replace("\r\n", "\n"), 0, []
+        for a, b, _ in M.marks(text):
+            outside.append(text[at:a])
+            at = b
+        letters = Counter(filter(str.isalnum, "".join([*outside, text[at:]])))
+        assert not M.left_out(text, M.marks(text)) and not letters - Counter(filter(str.isalnum, M.clean(given)[0]))
+
+
+def test_maximal_regions_against_brute_force():
+    r = random.Random(11)
+    for _ in range(200):
+        scores = [r.choice([-3, -2, -1, 1, 2]) for _ in range(r.randrange(0, 14))]
+        found = M.regions(scores)
+        assert all(sum(scores[a:b]) == s > 0 for a, b, s in found) and all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+        assert {k for k, v in enumerate(scores) if v > 0} <= {k for a, b, _ in found for k in range(a, b)}
+        assert max([s for *_, s in found], default=0) == max([0, *(sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1))])
+
+
 def test_marked_parts_edge_rows(spark):
     long = "word " * 200_000 + "**x**"
     rows = [(1, "clash", [("h", 1, "<b>x</b>"), None, ("h", 1, None), ("h", 1, "")], [("c", "| **a** |")])] * 2 + [(2, "c", None, None), (3, "c", [], []), (None, "c", [(None, None, "&amp;")], None), (4, "c", [("h", 1, long)], None)]
