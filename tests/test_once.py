@@ -64,3 +64,37 @@ def test_empty_null_and_repeated_rows(spark):
     assert [x.delivery_id for x in repeated_deliveries(df).collect()] == [3]
     kept = exactly_once(df)
     assert sorted(x.delivery_id for x in kept.collect()) == [1, 2, 4] and kept.columns == df.columns
+
+
+def test_quotient_table_holds_each_identifier_once():
+    import numpy as np
+
+    from chunkloom.operators.once import QuotientTable
+
+    r = np.random.default_rng(3)
+    few = r.integers(-(1 << 62), 1 << 62, (2, 700))
+    keys = np.stack([r.integers(0, 4, 700), few[0] & 0xFF, few[1] & 3, np.zeros(700, np.int64)])  # crowded: many share their place
+    pick = r.integers(0, 700, 9000)
+    at, delivery = r.integers(0, 50, 9000), r.permutation(9000)
+    table = QuotientTable(3)
+    for part in np.array_split(np.arange(9000), 17):
+        table.insert(keys[:, pick[part]], at[part], delivery[part], delivery[part], delivery[part], delivery[part] % 7 == 0)
+    want: dict = {}
+    for k, t, d in zip(pick, at, delivery):
+        want.setdefault(tuple(keys[:, k]), []).append((t, d))
+    held = table._held()
+    got = {tuple(k): v for *v, k in zip(*held[1:], held[0].T)}
+    assert table.count == len(want) == len(got)
+    for k, deliveries in want.items():
+        t, d, least, most, linked = got[k]
+        assert (t, d) == min(deliveries) and least == min(x for _, x in deliveries) and most == max(x for _, x in deliveries) and linked == any(x % 7 == 0 for _, x in deliveries)
+
+
+def test_the_tables_decide(spark, monkeypatch):
+    from chunkloom.operators import once
+
+    rows = spark.createDataFrame([(1, T0, "a", None, ""), (2, T0, "a", None, ""), (3, T0, "b", None, "")], SCHEMA)
+    whole = once.identifier_table
+    assert [x.delivery_id for x in once.repeated_deliveries(rows).collect()] == [2]
+    monkeypatch.setattr(once, "identifier_table", lambda entries: whole(entries).where("false"))
+    assert once.repeated_deliveries(rows).count() == 0  # no other path finds a repeat
