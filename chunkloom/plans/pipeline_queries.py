@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.intervals import pending_changes
+from ..operators.intervals import IntervalLog, pending_changes
 from ..operators.once import exactly_once, repeated_deliveries
+from ..session import shared_folder
 from ..sources.tables import table
 
 
@@ -40,6 +42,20 @@ def p5_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark, sf_dir).groupBy("change").agg(F.count("*").alias("keys"))
 
 
+def p5_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals of each source as two runs of an interval log commit them: first what arrived in even hours, then everything.
+
+    A version's number is its time of arrival in microseconds, so the first run leaves
+    gaps between the intervals of a source and the second one processes those alone.
+    """
+    rows = table(spark, sf_dir, "chunk_snapshot", ["id", "source_id", "created_at"]).where("source_id IS NOT NULL AND created_at IS NOT NULL").distinct()
+    feed = rows.select("id", "source_id", "created_at", F.unix_micros(F.col("created_at").cast("timestamp")).alias("arrived"))
+    log = IntervalLog(spark, f"{shared_folder(spark)}/commits-{uuid.uuid4().hex}")
+    log.run(feed.where(F.hour("created_at") % 2 == 0), ["source_id"], "arrived", lambda new: new.select("id", "source_id"))
+    log.run(feed, ["source_id"], "arrived", lambda new: new.select("id", "source_id"))
+    return log.output().groupBy("source_id", "run").agg(F.count("*").alias("versions"))
+
+
 P3_SQL = """
 WITH RECURSIVE d AS (
   SELECT delivery_id, received_at,
@@ -71,12 +87,16 @@ f AS (
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p3_found": p3_found, "p3_kept": p3_kept, "p5_found": p5_found, "p5_changes": p5_changes,
+    "p3_found": p3_found, "p3_kept": p3_kept, "p5_found": p5_found, "p5_changes": p5_changes, "p5_commits": p5_commits,
 }
 
 SQL: dict[str, str] = {
     "p3_found": P3_SQL + "SELECT delivery_id FROM k WHERE rn > 1",
     "p3_kept": P3_SQL + ", x AS (SELECT delivery_id FROM k WHERE rn > 1) SELECT topic, count(*) AS messages FROM chunk_events WHERE delivery_id NOT IN (SELECT delivery_id FROM x) GROUP BY topic",
     "p5_found": P5_SQL + "SELECT chunk_key FROM f",
+    "p5_commits": """
+WITH s AS (SELECT DISTINCT id, source_id, created_at FROM chunk_snapshot WHERE source_id IS NOT NULL AND created_at IS NOT NULL),
+e AS (SELECT DISTINCT source_id, created_at FROM s WHERE hour(created_at) % 2 = 0)
+SELECT s.source_id, CAST(CASE WHEN e.source_id IS NULL THEN 1 ELSE 0 END AS INTEGER) AS run, count(*) AS versions FROM s LEFT JOIN e ON e.source_id = s.source_id AND e.created_at = s.created_at GROUP BY ALL""",
     "p5_changes": P5_SQL + "SELECT change, count(*) AS keys FROM f GROUP BY change",
 }

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import SharedFolder
+
 
 class VersionedTable:
-    """A table in ``root``, a folder that driver and executors share.
+    """A table in ``root``, a folder on a file system that driver and executors share.
 
     Readers follow the pointer, so they see the old version or the new one whole. A
     write that dies leaves files nobody points to.
@@ -18,11 +19,11 @@ class VersionedTable:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
+        self._folder = SharedFolder(spark, root)
 
     def _pointer(self) -> dict | None:
-        path = f"{self.root}/current.json"
-        return json.load(open(path)) if os.path.exists(path) else None
+        text = self._folder.read("current.json")
+        return None if text is None else json.loads(text)
 
     @property
     def version(self) -> int:
@@ -42,8 +43,5 @@ class VersionedTable:
         number = now["version"] + 1
         path = f"{self.root}/v{number:08d}-{uuid.uuid4().hex}"
         rows.write.partitionBy(*partition_by).parquet(path) if partition_by else rows.write.parquet(path)
-        temporary = f"{self.root}/{uuid.uuid4().hex}.tmp"
-        with open(temporary, "w") as f:
-            json.dump({"version": number, "path": path, "tag": tag}, f)
-        os.replace(temporary, f"{self.root}/current.json")
+        self._folder.replace("current.json", json.dumps({"version": number, "path": path, "tag": tag}))
         return number
