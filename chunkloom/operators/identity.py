@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import composite_id
 from ..functions.text import NAMESPACE_OID, NAMESPACE_URL, uuid5
 
-#: Constant of the edge name space.
+#: Name of the edge name space. Ids of edges are those of another service if its name is given instead.
 EDGE_SPACE = "chunk_relationship"
 
 
@@ -30,8 +30,9 @@ def signature_id(source: Column, path: Column, signature: Column, content: Colum
     return uuid5(file_space(source, path), F.concat_ws("|", signature, content_hash(content)))
 
 
-def edge_id(src: Column, dst: Column, kind: Column) -> Column:
-    return uuid5(uuid5(NAMESPACE_OID, F.lit(EDGE_SPACE)), F.concat_ws("_", src, dst, kind))
+def edge_id(src: Column, dst: Column, kind: Column, space: str = EDGE_SPACE) -> Column:
+    """Id of an edge by its ends and type, in the name space called ``space``."""
+    return uuid5(uuid5(NAMESPACE_OID, F.lit(space)), F.concat_ws("_", src, dst, kind))
 
 
 def identified(chunks: DataFrame, source: str = "source_id", path: str = "filename") -> DataFrame:

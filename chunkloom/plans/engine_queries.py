@@ -328,7 +328,7 @@ _NEXT = f"""
 SELECT * FROM (SELECT chunk_id AS src, lead(chunk_id) OVER (PARTITION BY source_id, filename ORDER BY start_line, chunk_id) AS dst FROM (SELECT DISTINCT chunk_id, source_id, filename, start_line FROM chunk_data)) WHERE dst IS NOT NULL AND src <> dst"""
 
 
-@_query(f"SELECT src, dst, {_uuid5_sql(_uuid5_sql(chr(39) + T.NAMESPACE_OID + chr(39), chr(39) + identity.EDGE_SPACE + chr(39)), 'src || chr(95) || dst || chr(95) || ' + chr(39) + 'NextChunk' + chr(39))} AS edge_id FROM ({_NEXT})")
+@_query(f"SELECT src, dst, {_uuid5_sql(_uuid5_sql(chr(39) + T.NAMESPACE_OID + chr(39), chr(39) + 'chunk_relationship' + chr(39)), 'src || chr(95) || dst || chr(95) || ' + chr(39) + 'NextChunk' + chr(39))} AS edge_id FROM ({_NEXT})")
 def rx_next_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reading order with deterministic edge ids."""
     rows = graph.next_chunk(_chunks(spark, sf_dir, "start_line"), ["source_id", "filename"], ["start_line", "chunk_id"], "chunk_id")
@@ -386,12 +386,45 @@ def rx_code_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(paths, "filename").where("target_doc <> doc_id").select("doc_id", "line_no", "target_doc")
 
 
-def _refs_sql() -> str:
+# The extensions of a language, its link types and their patterns as the SQL check has them.
+_REFERENCE_SQL = """
+html htm|html_css_link|href=["']([^"']+\\.css)["']
+html htm|html_script_link|<script[^>]+src=["']([^"']+)["']
+html htm|html_img_link|<img[^>]+src=["']([^"']+)["']
+html htm|html_link_tag|<link[^>]+href=["']([^"']+)["']
+css scss less|css_import|@import\\s+url\\(["']?([^"'()]+)["']?\\)
+css scss less|css_import|@import\\s+["']([^"']+)["']
+js jsx mjs cjs ts tsx mts cts|js_import|import\\s+.*?from\\s+["']([^"']+)["']
+js jsx mjs cjs ts tsx mts cts|js_require|require\\s*\\(\\s*["']([^"']+)["']\\s*\\)
+js jsx mjs cjs ts tsx mts cts|js_dynamic_import|import\\s*\\(\\s*["']([^"']+)["']\\s*\\)
+py|python_from_import|from\\s+(\\S+)\\s+import
+py|python_import|import\\s+(\\S+)
+rs|rust_mod|mod\\s+(\\w+)\\s*;
+rs|rust_use|use\\s+(?:crate::)?(\\w+)
+go|go_import|import\\s+"([^"]+)"
+java|java_import|import\\s+([a-zA-Z_][\\w.]*)
+cs|csharp_using|using\\s+([a-zA-Z_][\\w.]*)\\s*;
+c h hpp hxx cpp cc cxx|c_include|#include\\s+"([^"]+)"
+rb|ruby_require|require\\s+["']([^"']+)["']
+rb|ruby_require_relative|require_relative\\s+["']([^"']+)["']
+php|php_require|(?:require|include)(?:_once)?\\s+["']([^"']+)["']
+swift|swift_import|import\\s+(\\w+)
+kt kts|kotlin_import|import\\s+([a-zA-Z_][\\w.]*)
+scala sc|scala_import|import\\s+([a-zA-Z_][\\w.]*)
+sh bash zsh|bash_source|source\\s+["']?([^"'\\s]+)["']?
+sh bash zsh|bash_dot_source|\\.\\s+["']?([^"'\\s]+)["']?
+md markdown|markdown_link|\\[[^\\]]*\\]\\(([^)]+)\\)
+"""
+
+
+def _refs_sql(chunks: str = _CHUNKS, ext: str = _EXT, keep: str = "chunk_id, source_id") -> str:
     parts = []
-    for language, kind, pattern in graph.REFERENCES:
-        parts.append(f"SELECT chunk_id, source_id, '{kind}' AS link_type, unnest(regexp_extract_all(content, '{pattern.replace(chr(39), chr(39) * 2)}', 1)) AS target FROM c WHERE lang = '{language}'")
+    for line in _REFERENCE_SQL.strip().split("\n"):
+        extensions, kind, pattern = line.split("|", 2)
+        known = ", ".join(f"'{e}'" for e in extensions.split())
+        parts.append(f"SELECT {keep}, '{kind}' AS link_type, unnest(regexp_extract_all(content, '{pattern.replace(chr(39), chr(39) * 2)}', 1)) AS target FROM c WHERE ext IN ({known})")
     name = "regexp_replace(regexp_replace(target, '^(\\./)+', ''), '^(\\.\\./)+', '')"
-    return f"c AS (SELECT *, {_case(_EXT, N.LANGUAGES)} AS lang FROM {_CHUNKS}), m AS ({' UNION ALL '.join(parts)}), r AS (SELECT *, regexp_replace(regexp_extract({name}, '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS name FROM m)"
+    return f"c AS (SELECT *, {ext} AS ext FROM {chunks}), m AS ({' UNION ALL '.join(parts)}), r AS (SELECT *, regexp_replace(regexp_extract({name}, '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS name FROM m)"
 
 
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,6 +432,46 @@ def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.references(rows, ["chunk_id", "source_id"])
 
 
+# A file of each language that names another one in every way the language has; # stands for the name.
+_REFERRING = """
+html|<link rel="x" href="./#.css"> <script async src='../#.js'> <img alt=a src="#.png">
+css|@import url(#.css); @import url("../#.css"); @import '#.less';
+js|import { a } from './#'; const b = require ( "../#.js" ); import( '#' )
+tsx|import a, { b } from "#"; require("#.json")
+py|from .# import a as b; import #.c
+rs|mod # ; use crate::#::x; use #;
+go|import "#/x"
+java|import static_.#.Name;
+cs|using System.# ;
+c|#include <stdio.h> #include "#.h"
+cpp|#include  "../#.hpp"
+rb|require '#' ; require_relative "./#"
+php|require_once '#.php'; include "#.inc"; include('no')
+swift|import #
+kt|import a.#.*
+scala|import a.#._
+sh|source "#.sh"; . ./#.env
+md|see [that](../#.md) and [](#)
+"""
+
+
+@_query(f"""WITH p AS (SELECT unnest(string_split('{_REFERRING.strip().replace(chr(39), chr(39) * 2)}', chr(10))) AS line),
+d AS (SELECT doc_id, kind FROM documents WHERE regexp_matches(kind, '^[a-z]+$')),
+planted AS (SELECT doc_id, split_part(line, '|', 1) AS language, replace(substr(line, strpos(line, '|') + 1), '#', kind) AS text FROM p, d),
+given AS (SELECT doc_id, language AS ext_, replace(text, kind_ || 'include', '#include') AS content FROM (SELECT *, (SELECT kind FROM d WHERE d.doc_id = planted.doc_id) AS kind_ FROM planted)),
+{_refs_sql("given", "ext_", "doc_id, ext_")} SELECT doc_id, ext_ AS language, link_type, target, name, count(*) AS n FROM r WHERE name <> '' GROUP BY ALL""")
+def rx_planted_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References in files of every language that name the kind of a document."""
+    planted = [tuple(x.split("|", 1)) for x in _REFERRING.strip().split("\n")]
+    docs = table(spark, sf_dir, "documents", ["doc_id", "kind"]).where(F.col("kind").rlike("^[a-z]+$"))
+    files = F.array(*[F.struct(F.lit(a).alias("extension"), F.lit(b).alias("text")) for a, b in planted])
+    rows = docs.select("doc_id", "kind", F.explode(files).alias("f"))
+    text = F.replace(F.replace("f.text", F.lit("#"), F.col("kind")), F.concat(F.col("kind"), F.lit("include")), F.lit("#include"))
+    rows = rows.select("doc_id", F.col("f.extension").alias("extension"), text.alias("content")).withColumn("language", N.language(F.concat(F.lit("f."), F.col("extension"))))
+    found = graph.references(rows, ["doc_id", "extension"])
+    return found.groupBy("doc_id", F.col("extension").alias("language"), "link_type", "target", "name").agg(F.count("*").alias("n"))
+
+
 @_query(f"WITH {_refs_sql()} SELECT link_type, name, count(*) AS n FROM r WHERE name <> '' GROUP BY ALL")
 def rx_import_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports and links of source code by type and bare name."""
