@@ -110,18 +110,44 @@ def episodes_of(messages: DataFrame, value: str = "value") -> DataFrame:
     return rows.withColumns({"chunk_type": F.coalesce("chunk_type", F.lit("raw")), "pii_detected": F.coalesce("pii_detected", F.lit(False)), "acl_tags": F.coalesce("acl_tags", F.array().cast("array<string>"))})
 
 
-#: Schemas of the extension events.
+# Payload fields of the extension events.
 EXTENSION_EVENTS = {
-    "SLACK_MESSAGE_INGESTED": "event_id string, channel_id string, message_id string, user_id string, text string, thread_id string, timestamp string",
-    "TRANSCRIPT_INGESTED": "event_id string, transcript_id string, title string, speakers array<string>, duration_seconds bigint, segment_count int",
-    "API_SCHEMA_INGESTED": "event_id string, schema_id string, schema_type string, version string, endpoint_count int",
-    "CHUNK_DEPRECATED": "event_id string, chunk_id string, reason string, replacement_chunk_id string",
-    "ENTITY_MERGED": "event_id string, source_entity_ids array<string>, target_entity_id string, confidence double",
-    "RELATIONSHIP_INFERRED": "event_id string, source_id string, target_id string, relation_type string, confidence double",
-    "DOCUMENT_UPDATED": "event_id string, document_id string, version string, changed_sections array<string>",
+    "SLACK_MESSAGE_RECEIVED": "workspace_id string, channel_id string, channel_name string, message_ts string, thread_ts string, user_id string, text_preview string, is_dm boolean, reaction_count int, source_id string, org_id string",
+    "MEETING_TRANSCRIPT_RECEIVED": "meeting_id string, platform string, title string, started_at string, duration_secs bigint, participants array<string>, content_ref string, source_id string, org_id string",
+    "API_SCHEMA_UPDATED": "api_id string, api_name string, schema_format string, schema_version string, content_ref string, base_url string, org_id string",
+    "CHUNK_DEPRECATED": "chunk_ids array<string>, source_id string, file_path string, reason string, new_file_path string, replacement_chunk_ids array<string>, deprecated_at string",
+    "ENTITY_MERGED": "source_entity_id string, target_entity_id string, merge_reason string, confidence float, detected_by string",
+    "RELATIONSHIP_INFERRED": "from_entity_id string, to_entity_id string, relationship_type string, evidence_chunk_ids array<string>, confidence float, inference_method string",
+    "DOCUMENT_UPDATED": "document_id string, title string, source_id string, content_ref string, updated_by string, source_updated_at string, content_hash string, org_id string",
 }
+# Fields of them that may be missing, and reasons of a deprecation.
+OPTIONAL = ("thread_ts", "org_id", "duration_secs", "schema_version", "base_url", "new_file_path", "updated_by")
+REASONS = ("file_deleted", "file_renamed", "content_replaced", "manual_deprecation", "source_removed")
 
 
 def extension_rows(messages: DataFrame, kind: str, value: str = "value") -> DataFrame:
-    """Messages of an extension event as columns; unreadable ones and such without an id are left out."""
-    return messages.select(F.from_json(value, EXTENSION_EVENTS[kind]).alias("e")).where("e.event_id IS NOT NULL").select("e.*")
+    """(event_id, correlation_id, payload fields...) of the messages of an extension event.
+
+    A message is an event's base fields with a payload. Messages of another type,
+    unreadable ones, such without an id or without a field that must be there, and
+    deprecations for an unknown reason are left out.
+    """
+    fields = EXTENSION_EVENTS[kind]
+    base = f"event_id string, event_type string, correlation_id string, payload struct<{', '.join(f.replace(' ', ': ', 1) for f in fields.split(', '))}>"
+    rows = messages.select(F.from_json(value, base).alias("e")).where((F.col("e.event_type") == kind) & F.col("e.event_id").isNotNull())
+    rows = rows.select("e.event_id", "e.correlation_id", "e.payload.*")
+    for name in [f.split(" ", 1)[0] for f in fields.split(", ")]:
+        if name not in OPTIONAL:
+            rows = rows.where(F.col(name).isNotNull())
+    return rows.where(F.col("reason").isin(*REASONS)) if kind == "CHUNK_DEPRECATED" else rows
+
+
+def client_id(user: Column, forwarded_for: Column, real_ip: Column) -> Column:
+    """Who a request counts for: its user, else the first address it was forwarded for, else its real address, else unknown."""
+    first = F.trim(F.split_part(forwarded_for, F.lit(","), F.lit(1)))
+    return F.coalesce(F.concat(F.lit("user:"), user), first, real_ip, F.lit("unknown"))
+
+
+def requests_a_minute(path: Column) -> Column:
+    """The limit of a path: searches, chunks and syncs have their own."""
+    return F.when(path.contains("search"), 50).when(path.contains("chunks"), 100).when(path.contains("sync"), 20).otherwise(100)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of content in a chunk event and of a whole event.
-MAX_CONTENT, MAX_EVENT = 50 * 1024, 10 * 1024
+#: Bytes of content in a chunk event, of an event that is small, and of a message that can be sent at all.
+MAX_CONTENT, MAX_EVENT, MAX_MESSAGE = 50 * 1024, 10 * 1024, 10 * 1024 * 1024
 
 
 def _empty(c: str) -> Column:
@@ -19,7 +19,7 @@ def _commit(c: str) -> list[tuple[Column, str]]:
 
 
 def _rules(kind: str) -> list[tuple[Column, str]]:
-    """(is broken, message) of an event type, in the order in which they are tried."""
+    """(is broken, message) of an event type, in the order in which they are tried. The texts of the messages."""
     none = lambda c: (_empty(c), f"{c} cannot be empty")
     provider = (~F.coalesce(F.col("provider"), F.lit("")).isin("github", "gitlab", "bitbucket"), "unknown provider")
     line = lambda c: (F.coalesce(F.col(c), F.lit(0)) == 0, f"{c} must be positive (1-based)")
@@ -45,8 +45,9 @@ def violation(kind: str) -> Column:
     return F.coalesce(*[F.when(bad, F.lit(m) if isinstance(m, str) else m) for bad, m in _rules(kind)])
 
 
-def too_large(event: Column) -> Column:
-    return F.octet_length(event) >= MAX_EVENT
+def too_large(event: Column, limit: int = MAX_EVENT) -> Column:
+    """Whether an event has ``limit`` bytes or more."""
+    return F.octet_length(event) >= limit
 
 
 def chunk_events(chunks: DataFrame, service: str = "chunkloom") -> DataFrame:

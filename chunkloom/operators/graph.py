@@ -261,33 +261,53 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, threshold: float | None
     return found.where(F.col("score") >= threshold).select("query", key, "score") if threshold is not None else found.select("query", key, "score")
 
 
-def containing(chunks: DataFrame, files: DataFrame, gram: int = 4) -> DataFrame:
-    """(chunk_id, target): chunks whose content contains the name of another file of their source.
+#: Names that one automaton holds, and bytes of content of a source that one task scans with it.
+NAMES_AT_ONCE, BYTES_AT_ONCE = 50_000, 64 << 20
+
+
+def _scan_for_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk_id, source_id, filename, name) of rows (source_id, block, salt, chunk_id, filename, text) sorted by group; rows without a chunk are the names of the group and come first."""
+    import ahocorasick
+
+    group, found, automaton = None, set(), None
+    for batch in batches:
+        out: list[tuple] = []
+        for source, block, salt, is_text, chunk, filename, text in zip(*[batch.column(k).to_pylist() for k in range(7)], strict=True):
+            if (source, block, salt) != group:
+                group, automaton = (source, block, salt), ahocorasick.Automaton()
+            if not is_text:
+                automaton.add_word(text, text)
+                continue
+            if automaton.kind == ahocorasick.TRIE:
+                automaton.make_automaton()
+            if automaton.kind == ahocorasick.AHOCORASICK:
+                found = {name for _, name in automaton.iter(text)}
+                out += [(chunk, source, filename, name) for name in found]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names=["chunk_id", "source_id", "filename", "name"])
+
+
+def containing(chunks: DataFrame, files: DataFrame, names_at_once: int = NAMES_AT_ONCE, bytes_at_once: int = BYTES_AT_ONCE) -> DataFrame:
+    """(chunk_id, target): chunks whose content contains the name of another file of their source, wherever it stands.
 
     ``chunks`` are (chunk_id, source_id, filename, content), ``files`` (source_id,
-    target, name). A name can only be contained where its longest run of word
-    characters is part of a word, so the distinct words of a source are joined by
-    ``gram`` characters of it; a name that isn't that run is then looked for in the
-    content. Names without word characters are compared with every chunk of their source.
+    target, name). The distinct names of a source make automata of bounded size, its
+    contents are spread over tasks of bounded size, and every content is scanned once
+    per automaton. Names that were found become files by an equality join. Null and
+    empty names and contents give nothing, repeated rows count once.
     """
-    word = F.lit(r"[0-9A-Za-z_]+")
-    longest = F.aggregate(F.regexp_extract_all("name", word, F.lit(0)), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    names = files.where("name <> ''").withColumn("part", longest)
-    parts = small(cut(names.where("part <> ''").select("source_id", "part").distinct().withColumn("gram", F.substring("part", 1, gram))))
-    lengths = [r[0] for r in parts.select(F.length("gram")).distinct().collect()] or [gram]
-    words = chunks.select("chunk_id", "source_id", "filename", F.explode(F.array_distinct(F.regexp_extract_all("content", word, F.lit(0)))).alias("word"))
-    grams = lambda n: F.when(F.length("word") >= n, F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i: F.substring(F.col("word"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    every = F.array_distinct(F.flatten(F.array(*[grams(n) for n in sorted(lengths)])))
-    known = words.select("source_id", "word").distinct().select("source_id", "word", F.explode(every).alias("gram"))
-    hits = cut(known.join(parts, ["source_id", "gram"]).where(F.col("word").contains(F.col("part"))).select("source_id", "word", "part"))
-    held = words.join(small(hits.select("source_id", "word").distinct()), ["source_id", "word"], "left_semi")
-    found = held.join(hits.join(names, ["source_id", "part"]), ["source_id", "word"]).where("target <> filename")
-    found = cut(found.select("chunk_id", "source_id", "filename", "target", F.col("name") == F.col("part"), "name").toDF("chunk_id", "source_id", "filename", "target", "whole", "name").distinct())
-    plain = found.where("whole").select("chunk_id", "target")
-    contents = chunks.select("chunk_id", "source_id", "filename", "content")
-    odd = found.where("NOT whole").drop("whole")
-    some = contents.join(small(odd.select("chunk_id").distinct()), "chunk_id", "left_semi")
-    odd = odd.join(some, ["chunk_id", "source_id", "filename"])
-    bare = contents.join(names.where("part = ''"), "source_id").where("target <> filename")
-    looked = odd.select("chunk_id", "target", "name", "content").unionByName(bare.select("chunk_id", "target", "name", "content")).where(F.col("content").contains(F.col("name")))
-    return plain.unionByName(looked.select("chunk_id", "target")).distinct()
+    names = files.where("name <> ''").select("source_id", "name").distinct()
+    texts = chunks.where("content <> ''").select("chunk_id", "source_id", "filename", "content").distinct()
+    blocks = names.groupBy("source_id").agg(F.ceil(F.count("*") / names_at_once).cast("int").alias("blocks"))
+    salts = texts.groupBy("source_id").agg(F.ceil(F.sum(F.octet_length("content")) / bytes_at_once).cast("int").alias("salts"))
+    sizes = blocks.join(salts, "source_id")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int").alias("block")
+    none = F.lit(None).cast("string")
+    wanted = names.join(sizes, "source_id").select("source_id", block, every("salts").alias("salt"), F.lit(False).alias("is_text"), none.alias("chunk_id"), none.alias("filename"), F.col("name").alias("text"))
+    salt = F.pmod(F.xxhash64("chunk_id"), F.col("salts")).cast("int").alias("salt")
+    scanned = texts.join(sizes, "source_id").select("source_id", every("blocks").alias("block"), salt, F.lit(True).alias("is_text"), "chunk_id", "filename", F.col("content").alias("text"))
+    group = ["source_id", "block", "salt"]
+    rows = wanted.unionByName(scanned).repartition(*group).sortWithinPartitions(*group, "is_text")
+    hits = rows.mapInArrow(_scan_for_names, "chunk_id string, source_id string, filename string, name string")
+    return hits.join(files.distinct(), ["source_id", "name"]).where("target <> filename").select("chunk_id", "target").distinct()

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import text as T
-from ..operators import changes, chunking, contracts, events, graph, identity, limits, parsing
+from ..operators import changes, chunking, contracts, events, graph, identity, limits, parsing, store
+from ..session import shared_folder
+from ..sources import files as sources
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,15 +73,40 @@ def sc_tree_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.groupBy(F.split_part("filename", F.lit("/"), F.lit(1)).alias("folder")).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
 
 
-@_query("SELECT doc_id, strlen(text) AS bytes, false AS gzipped, strlen(text) > 52428800 AS too_large, true AS same FROM documents WHERE text IS NOT NULL")
+@_query("SELECT doc_id, sha256(text) AS hash, CAST(NULL AS VARCHAR) AS problem FROM documents WHERE text IS NOT NULL UNION ALL SELECT -doc_id, NULL, 'invalid base64' FROM documents WHERE text IS NOT NULL")
 def sc_payload_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inline payloads as base64, decoded again."""
-    sent = table(spark, sf_dir, "documents", ["doc_id", "text"]).where("text IS NOT NULL").withColumn("payload", F.base64(F.encode("text", "UTF-8")))
-    raw = sent.withColumn("raw", F.try_to_binary("payload", F.lit("base64")))
-    return raw.select(
-        "doc_id", F.octet_length("raw").alias("bytes"), (F.hex(F.substring("raw", 1, 2)) == "1F8B").alias("gzipped"), (F.octet_length("raw") > 50 * 1024 * 1024).alias("too_large"),
-        (F.is_valid_utf8(F.col("raw").cast("string")) & (F.decode("raw", "UTF-8") == F.col("text"))).alias("same"),
-    )
+    """Inline payloads, half of them in base64, and each again as broken base64."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"]).where("text IS NOT NULL")
+    coded = F.col("doc_id") % 2 == 1
+    sent = docs.select("doc_id", F.when(coded, F.base64(F.encode("text", "UTF-8"))).otherwise(F.col("text")).alias("content"), coded.alias("is_base64"))
+    broken = docs.select((-F.col("doc_id")).alias("doc_id"), F.concat(F.lit("%"), "text").alias("content"), F.lit(True).alias("is_base64"))
+    return sources.decoded(sent.unionByName(broken)).select("doc_id", F.sha2("text", 256).alias("hash"), "problem")
+
+
+_FOLDERS = ("src", "_private", ".git", "a/node_modules", "a/build", "deep/er/__tests__", "target", "docs/.hidden")
+
+
+@_query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, ['src', '_private', '.git', 'a/node_modules', 'a/build', 'deep/er/__tests__', 'target', 'docs/.hidden'][doc_id % 8 + 1] AS folder,
+['_x.py', 'read me.md', '__init__.py', 'c.txt', '.env', 'deck.pptx'][doc_id % 6 + 1] AS ending FROM documents)
+SELECT folder || '/' || doc_id || '/' || ending AS filename, CAST(strlen(text) AS BIGINT) AS size_bytes, sha256(text) AS hash, CASE WHEN regexp_matches(ending, 'md$|pptx$') THEN 'document' ELSE 'hybrid' END AS route
+FROM d WHERE folder IN ('src', '_private', 'deep/er/__tests__') AND ending <> '.env' AND strlen(text) <= 5242880""")
+def sc_scan_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as files of a tree, and the tree scanned again: hidden and build folders aren't entered, underscores don't hide."""
+    endings = ("_x.py", "read me.md", "__init__.py", "c.txt", ".env", "deck.pptx")
+    root = f"{shared_folder(spark).removeprefix('file://').removeprefix('file:')}/tree-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                folder = f"{root}/{_FOLDERS[key % len(_FOLDERS)]}/{key}"
+                os.makedirs(folder, exist_ok=True)
+                with open(f"{folder}/{endings[key % len(endings)]}", "wb") as f:
+                    f.write((text or "").encode("utf-8", "surrogatepass"))
+            yield batch.select([0])
+
+    docs.mapInArrow(written, "doc_id bigint").count()
+    return sources.scan_folder(spark, root, "tree").select("filename", "size_bytes", F.sha2("content", 256).alias("hash"), "route")
 
 
 @_query(f"""
@@ -109,17 +139,25 @@ def pr_table_likely(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("output_id", "pos", T.table_likely(F.col("content")).alias("likely"))
 
 
-@_query()
+@_query(r"""
+WITH o AS (SELECT DISTINCT output_id, sections, tables FROM pipeline_output),
+f AS (SELECT *, list_transform(coalesce(sections, []), lambda s: coalesce(s.content, '')) AS c FROM o),
+g AS (SELECT *, coalesce(list_sum(list_transform(c, lambda x: strlen(x))), 0) AS total, len(list_filter(c, lambda x: len(list_filter(string_split(x, chr(10)), lambda l: len(string_split(l, '|')) > 3)) > 3
+  OR ((contains(x, 'TABLE ') OR contains(x, 'Table ') OR contains(x, 'table:')) AND len(list_filter(string_split(x, chr(10)), lambda l: len(list_filter(regexp_split_to_array(l, '[\t-\r \x{85}\p{Z}]+'), lambda w: w <> '')) >= 4)) > 5))) > 0 AS likely FROM f)
+SELECT output_id, NOT (coalesce(len(tables), 0) = 0 AND (total < 50 OR likely)) AS sufficient FROM g""")
 def pr_sufficient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a parse may be kept as it is."""
     return parsing.sufficient(table(spark, sf_dir, "pipeline_output", ["output_id", "sections", "tables"]).distinct(), ["output_id"])
 
 
-@_query("SELECT DISTINCT chunk_id, round(greatest(0, least(1, CAST(quality_score AS DOUBLE))), 6) AS confidence, CASE WHEN quality_score < 0.7 THEN 'enhanced' ELSE 'structural' END AS tier FROM chunk_data WHERE quality_score IS NOT NULL")
+@_query("""SELECT DISTINCT chunk_id, round(greatest(0, least(1, CAST(quality_score AS DOUBLE))), 6) AS confidence, (quality_score IS NOT NULL AND CAST(quality_score AS DOUBLE) < 0.7) OR coalesce(end_line - start_line > 70, false) AS asked,
+CASE WHEN ((quality_score IS NOT NULL AND CAST(quality_score AS DOUBLE) < 0.7) OR coalesce(end_line - start_line > 70, false)) AND quality_score IS NOT NULL THEN 'enhanced' ELSE 'structural' END AS tier FROM chunk_data""")
 def pr_enhance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structural chunks of low confidence move to the enhanced tier; confidences are clamped."""
-    rows = _chunks(spark, sf_dir, "quality_score").where("quality_score IS NOT NULL").select("chunk_id", F.col("quality_score").cast("double").alias("q")).distinct()
-    return rows.select("chunk_id", F.round(T.clamp(F.col("q")), 6).alias("confidence"), F.when(F.col("q") < F.lit(0.7).cast("float"), "enhanced").otherwise("structural").alias("tier"))
+    """Structural chunks of low confidence or high complexity, here a tenth of their lines, move a tier on; confidences are clamped."""
+    rows = _chunks(spark, sf_dir, "quality_score", "start_line", "end_line").select("chunk_id", F.col("quality_score").cast("double").alias("q"), ((F.col("end_line") - F.col("start_line")) / 10).alias("complexity")).distinct()
+    asked = contracts.needs_enhancement(F.lit("structural"), F.col("q"), F.col("complexity"))
+    rows = rows.select("chunk_id", F.round(T.clamp(F.col("q")), 6).alias("confidence"), asked.alias("asked"), F.lit("structural").alias("tier"), F.when(asked, F.col("q")).alias("quality"), F.lit(None).cast("timestamp").alias("enhanced_at"))
+    return contracts.advanced(rows, F.current_timestamp()).select("chunk_id", "confidence", "asked", "tier")
 
 
 @_query(f"""
@@ -137,29 +175,39 @@ def pr_relation_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(N.RELATIONS, "type string, label string, category string").withColumn("bare", N.relation_label(F.concat("type", F.lit(" -!"))))
 
 
-@_query("SELECT topic, count(*) AS deliveries, count(*) FILTER (abs(epoch_us(received_at) - epoch_us(timestamp)) > 300000000) AS stale FROM chunk_events GROUP BY topic")
+@_query("SELECT topic, count(*) AS deliveries, count(*) FILTER (abs(CAST(floor(epoch(received_at)) AS BIGINT) - CAST(floor(epoch(timestamp)) AS BIGINT)) > 300) AS stale FROM chunk_events GROUP BY topic")
 def pr_stale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries over 300 seconds from their own time, by topic."""
-    late = F.abs(F.unix_micros(F.col("received_at").cast("timestamp")) - F.unix_micros(F.col("timestamp").cast("timestamp"))) > 300_000_000
-    return table(spark, sf_dir, "chunk_events", ["topic", "received_at", "timestamp"]).groupBy("topic").agg(F.count("*").alias("deliveries"), F.count_if(late).alias("stale"))
+    rows = table(spark, sf_dir, "chunk_events", ["topic", "received_at", "timestamp"])
+    stale = contracts.is_stale(F.col("timestamp").cast("timestamp"), F.col("received_at").cast("timestamp"))
+    return rows.groupBy("topic").agg(F.count("*").alias("deliveries"), F.count_if(stale).alias("stale"))
 
 
 @_query("""
-SELECT coalesce('user:' || metadata.user_id, nullif(repo_name, ''), 'unknown') AS client, CASE WHEN contains(topic, 'search') THEN 50 WHEN contains(topic, 'chunks') THEN 100 WHEN contains(topic, 'sync') THEN 20 ELSE 100 END AS per_minute, count(*) AS requests
-FROM chunk_events GROUP BY 1, 2""")
+SELECT CASE WHEN retried THEN coalesce(trim(string_split(repo_name || ', 10.0.0.1', ',')[1]), source_id, 'unknown') ELSE coalesce('user:' || metadata.user_id, trim(string_split(repo_name || ', 10.0.0.1', ',')[1]), source_id, 'unknown') END AS client,
+CASE WHEN contains(topic, 'search') THEN 50 WHEN contains(topic, 'chunks') THEN 100 WHEN contains(topic, 'sync') THEN 20 ELSE 100 END AS per_minute, count(*) AS requests
+FROM (SELECT *, coalesce(metadata.retry_count, 0) > 0 AS retried FROM chunk_events) GROUP BY 1, 2""")
 def pr_client_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who a request is counted for, and its limit by path."""
-    rows = table(spark, sf_dir, "chunk_events", ["topic", "repo_name", "metadata"])
-    client = F.coalesce(F.concat(F.lit("user:"), F.col("metadata.user_id")), F.nullif("repo_name", F.lit("")), F.lit("unknown"))
-    topic = F.col("topic")
-    limit = F.when(topic.contains("search"), 50).when(topic.contains("chunks"), 100).when(topic.contains("sync"), 20).otherwise(100)
-    return rows.groupBy(client.alias("client"), limit.alias("per_minute")).agg(F.count("*").alias("requests"))
+    """Who a request is counted for, and its limit by path; retries stand for requests without a user, repository and source for forwarded and real addresses."""
+    rows = table(spark, sf_dir, "chunk_events", ["topic", "repo_name", "source_id", "metadata"])
+    user = F.when(~(F.coalesce("metadata.retry_count", F.lit(0)) > 0), F.col("metadata.user_id"))
+    client = contracts.client_id(user, F.concat("repo_name", F.lit(", 10.0.0.1")), F.col("source_id"))
+    return rows.groupBy(client.alias("client"), contracts.requests_a_minute(F.col("topic")).alias("per_minute")).agg(F.count("*").alias("requests"))
 
 
 # --- chunking ------------------------------------------------------------------------------------
 
 _FOLD = rf"""
-WITH RECURSIVE big AS (SELECT doc_id, text FROM documents WHERE strlen(text) > 1500 AND NOT regexp_matches(text, '^[\t-\r \x{{85}}\p{{Z}}]*[\[{{]')),
+WITH RECURSIVE big AS (SELECT doc_id, text FROM documents WHERE strlen(text) > 1500 AND NOT (regexp_matches(text, '^[\t-\r \x{{85}}\p{{Z}}]*[\[{{]') AND json_valid(text))),
+jbig AS (SELECT doc_id, CAST(text AS JSON) AS j, json_type(text) AS kind FROM documents WHERE strlen(text) > 1500 AND regexp_matches(text, '^[\t-\r \x{{85}}\p{{Z}}]*[\[{{]') AND json_valid(text)),
+jpart AS (SELECT doc_id, kind, CAST(i AS BIGINT) AS i, CAST(j -> CAST(i - 1 AS INTEGER) AS VARCHAR) AS s FROM (SELECT *, unnest(range(1, CAST(json_array_length(j) AS BIGINT) + 1)) AS i FROM jbig WHERE kind = 'ARRAY')
+  UNION ALL SELECT doc_id, kind, row_number() OVER (PARTITION BY doc_id ORDER BY k), CAST(to_json(k) AS VARCHAR) || ':' || CAST(json_extract(j, '$."' || k || '"') AS VARCHAR) FROM (SELECT doc_id, kind, j, unnest(json_keys(j)) AS k FROM jbig WHERE kind = 'OBJECT')),
+jfold AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS i, '' AS cur, 2 AS n, CAST([] AS VARCHAR[]) AS out FROM jbig
+  UNION ALL SELECT doc_id, i, CASE WHEN full_ OR cur = '' THEN s ELSE cur || ',' || s END, CASE WHEN full_ THEN 2 ELSE n END + strlen(s) + 2, CASE WHEN full_ THEN list_append(out, cur) ELSE out END
+  FROM (SELECT f.doc_id, p.i, p.s, f.cur, f.n, f.out, f.cur <> '' AND f.n + strlen(p.s) + 2 > 1500 AS full_ FROM jfold f JOIN jpart p ON p.doc_id = f.doc_id AND p.i = f.i + 1)),
+jdone AS (SELECT f.doc_id, CASE WHEN cur = '' THEN ['{{}}'] ELSE list_transform(list_append(out, cur), lambda c: CASE WHEN kind = 'ARRAY' THEN '[' || c || ']' ELSE '{{' || c || '}}' END) END AS out
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS r FROM jfold) f JOIN jbig USING (doc_id) WHERE r = 1),
 para AS (SELECT doc_id, pn, p, string_split(p, '. ') AS sent FROM (
   SELECT doc_id, pn, {_trim('ps[pn]')} AS p FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS pn FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM big))) WHERE p <> ''),
 piece AS (
@@ -184,7 +232,7 @@ fold AS (
     FROM (SELECT g.*, list_filter(regexp_split_to_array(cur[-400:], '[\t-\r \x{{85}}\p{{Z}}]+'), lambda w: w <> '') AS ws FROM fold g) f JOIN num n ON n.doc_id = f.doc_id AND n.i = f.i + 1,
       LATERAL (SELECT cur <> '' AND (n.k <> 'p' OR strlen(cur) + strlen(n.s) > 1500) AS full_))),
 last AS (SELECT doc_id, CASE WHEN {_trim('cur')} <> '' THEN list_append(out, {_trim('cur')}) ELSE out END AS out FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS r FROM fold) WHERE r = 1),
-whole AS (SELECT doc_id, out FROM last UNION ALL SELECT doc_id, [text] FROM documents WHERE strlen(text) <= 1500),
+whole AS (SELECT doc_id, out FROM last UNION ALL SELECT doc_id, out FROM jdone UNION ALL SELECT doc_id, [text] FROM documents WHERE strlen(text) <= 1500),
 chunk AS (SELECT doc_id, CAST(o - 1 AS INTEGER) AS ordinal, out[o] AS content FROM (SELECT *, unnest(range(1, len(out) + 1)) AS o FROM whole))
 """
 
@@ -193,21 +241,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
 
 
-def _plain_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that aren't large JSON texts, as SQL has no packing of those."""
-    rows = _documents(spark, sf_dir)
-    return rows.where(~((F.octet_length("text") > 1500) & T.utrim(F.col("text")).rlike(r"^[\[{]")))
-
-
 @_query(_FOLD + "SELECT c.doc_id, ordinal, sha256(content) AS hash, CASE WHEN strpos(text, content) > 0 THEN strlen(substr(text, 1, strpos(text, content) - 1)) ELSE 0 END AS start FROM chunk c JOIN documents d ON d.doc_id = c.doc_id")
 def ch_hybrid_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid chunks of the documents that aren't large JSON texts, with hash and first byte offset."""
-    return _hybrid(_plain_documents(spark, sf_dir))
-
-
-@_query()
-def ch_hybrid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of all documents."""
+    """Hybrid chunks of all documents, with hash and first byte offset."""
     return _hybrid(_documents(spark, sf_dir))
 
 
@@ -218,13 +254,7 @@ def _hybrid(documents: DataFrame) -> DataFrame:
 
 @_query(_FOLD + "SELECT d.source, count(*) AS chunks, CAST(sum(strlen(content)) // count(*) AS BIGINT) AS avg_bytes FROM chunk c JOIN documents d ON d.doc_id = c.doc_id GROUP BY d.source")
 def ch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks per source and their average size, in whole bytes, of the documents that aren't large JSON texts."""
-    return _stats(_plain_documents(spark, sf_dir))
-
-
-@_query()
-def ch_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of all documents."""
+    """Chunks per source and their average size, in whole bytes."""
     return _stats(_documents(spark, sf_dir))
 
 
@@ -286,19 +316,13 @@ def ch_markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-SELECT DISTINCT output_id, coalesce(nullif({_trim("coalesce(tables[1].caption, '')")}, ''), '') AS caption, sha256(tables[1].markdown) AS hash FROM pipeline_output
-WHERE len(tables) > 0 AND len(list_filter(string_split(tables[1].markdown, chr(10)), lambda x: NOT starts_with(x, '|'))) = 0""")
+WITH t AS (SELECT DISTINCT output_id, tables FROM pipeline_output WHERE len(tables) > 0),
+e AS (SELECT output_id, tables, i, coalesce(tables[i].caption, '') AS caption, regexp_split_to_array(coalesce(tables[i].markdown, ''), '\r?\n') AS raw FROM (SELECT *, unnest(range(1, len(tables) + 1)) AS i FROM t)),
+k AS (SELECT *, list_position(list_transform(raw, lambda x: starts_with({_trim('x')}, '|') OR starts_with({_trim('x')}, '---') OR starts_with({_trim('x')}, 'Caption:')), false) AS bad FROM e),
+r AS (SELECT *, list_filter(CASE WHEN coalesce(bad, 0) = 0 THEN raw ELSE raw[1 : bad - 1] END, lambda x: NOT starts_with({_trim('x')}, 'Caption:')) AS rows FROM k),
+d AS (SELECT output_id, tables, row_number() OVER (PARTITION BY output_id, tables ORDER BY i) - 1 AS pos, {_trim('caption')} AS caption, sha256(array_to_string(rows, chr(10))) AS hash FROM r WHERE len(rows) > 0)
+SELECT output_id, CAST(pos AS INTEGER) AS pos, caption, hash FROM d""")
 def ch_markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pipe tables announced by a mark, read back with caption and rows."""
-    rows = table(spark, sf_dir, "pipeline_output", ["output_id", "tables"]).where(F.size("tables") > 0).select("output_id", F.get("tables", F.lit(0)).alias("t"))
-    rows = rows.where(F.size(F.filter(F.split("t.markdown", "\n"), lambda x: ~x.startswith("|"))) == 0).distinct()
-    text = F.concat(F.lit(f"before\n{parsing.TABLE_MARK}\nCaption: "), F.coalesce("t.caption", F.lit("")), F.lit("\n"), F.col("t.markdown"), F.lit("\nafter"))
-    found = parsing.markdown_tables(rows.select("output_id", text.alias("text")).distinct(), ["output_id"])
-    return found.select("output_id", "caption", identity.content_hash(F.col("markdown")).alias("hash"))
-
-
-@_query()
-def ch_markdown_tables_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tables of an output announced in one text, read back in order; what is no pipe grid gives none."""
     rows = table(spark, sf_dir, "pipeline_output", ["output_id", "tables"]).where(F.size("tables") > 0)
     one = lambda t: F.concat(F.lit(f"{parsing.TABLE_MARK}\nCaption: "), F.coalesce(t["caption"], F.lit("")), F.lit("\n"), F.coalesce(t["markdown"], F.lit("")))
@@ -486,17 +510,8 @@ def rx_forward_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _references(spark, sf_dir).join(files, ["source_id", "name"]).select("chunk_id", "link_type", F.col("filename").alias("target")).distinct()
 
 
-@_query(f"""WITH f AS (SELECT DISTINCT source_id, filename, regexp_replace({_BASE}, '(.)\\.[^.]*$', '\\1') AS name FROM chunk_data),
-w AS (SELECT DISTINCT chunk_id, source_id, filename, unnest(regexp_extract_all(content, '[0-9A-Za-z_]+')) AS name FROM {_CHUNKS})
-SELECT DISTINCT w.chunk_id, f.filename AS target FROM w JOIN f ON f.source_id = w.source_id AND f.name = w.name WHERE f.filename <> w.filename""")
-def rx_reverse_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that mention a file of their source by its stem, as a word, so by an equality join."""
-    files = table(spark, sf_dir, "chunk_data", ["source_id", "filename"]).distinct().select("source_id", F.col("filename").alias("target"), N.stem(F.col("filename")).alias("name"))
-    words = _chunks(spark, sf_dir, "content").select("chunk_id", "source_id", "filename", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[0-9A-Za-z_]+"), F.lit(0)))).alias("name"))
-    return words.join(files, ["source_id", "name"]).where("target <> filename").select("chunk_id", "target").distinct()
-
-
-@_query()
+@_query(f"""WITH f AS (SELECT DISTINCT source_id, filename, regexp_replace({_BASE}, '(.)\\.[^.]*$', '\\1') AS name FROM chunk_data)
+SELECT DISTINCT c.chunk_id, f.filename AS target FROM {_CHUNKS} c JOIN f ON f.source_id = c.source_id AND contains(c.content, f.name) WHERE f.filename <> c.filename AND f.name <> ''""")
 def rx_reverse_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that contain the stem of another file of their source, wherever it stands."""
     files = table(spark, sf_dir, "chunk_data", ["source_id", "filename"]).distinct().select("source_id", F.col("filename").alias("target"), N.stem(F.col("filename")).alias("name"))
@@ -513,17 +528,10 @@ def rx_graph_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.join(chunks.select(F.col("chunk_id").alias("src"), "source_id").distinct(), "src").groupBy("source_id", "type").agg(F.count("*").alias("edges"))
 
 
-@_query("""WITH p AS (SELECT DISTINCT path AS url, 'page' AS kind FROM documents WHERE path IS NOT NULL AND doc_id % 3 = 0), l AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.path IS NOT NULL AND b.path IS NOT NULL AND a.path IN (SELECT url FROM p))
+@_query("""WITH p AS (SELECT DISTINCT path AS url, 'page' AS kind FROM documents WHERE path IS NOT NULL), l AS (SELECT DISTINCT a.path AS src, b.path AS dst FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.path IS NOT NULL AND b.path IS NOT NULL AND a.path IN (SELECT url FROM p))
 SELECT url, any_value(kind) AS kind, count(dst) AS links FROM (SELECT url, kind FROM p UNION ALL SELECT DISTINCT dst, NULL FROM l WHERE dst NOT IN (SELECT url FROM p)) LEFT JOIN l ON src = url GROUP BY url""")
 def gr_web_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages, of every third document, and the links between them: targets are created, links from unknown pages aren't."""
-    docs = table(spark, sf_dir, "documents", ["doc_id", "path"])
-    return _web_links(docs, docs.where("doc_id % 3 = 0"))
-
-
-@_query()
-def gr_web_links_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the pages of all documents."""
+    """Pages of all documents and the links between them."""
     docs = table(spark, sf_dir, "documents", ["doc_id", "path"])
     return _web_links(docs, docs)
 
@@ -604,15 +612,16 @@ def up_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.upsert(stored, ended, ["job"])
 
 
-@_query("""SELECT 'file_metadata' AS name, count(*) AS removed FROM file_metadata WHERE source_id = 'atlas-monorepo' UNION ALL SELECT 'chunk_snapshot', count(*) FROM chunk_snapshot WHERE source_id = 'atlas-monorepo'
-UNION ALL SELECT 'chunk_data', count(*) FROM chunk_data WHERE source_id = 'atlas-monorepo'""")
+@_query("""SELECT name, removed, CAST(total - removed AS BIGINT) AS kept FROM (SELECT 'file_metadata' AS name, count(*) AS total, count(*) FILTER (source_id = 'atlas-monorepo') AS removed FROM file_metadata
+UNION ALL SELECT 'chunk_snapshot', count(*), count(*) FILTER (source_id = 'atlas-monorepo') FROM chunk_snapshot UNION ALL SELECT 'chunk_data', count(*), count(*) FILTER (source_id = 'atlas-monorepo') FROM chunk_data)""")
 def up_delete_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that deleting a source takes from each table."""
-    out = None
-    for name in ("file_metadata", "chunk_snapshot", "chunk_data"):
-        gone = table(spark, sf_dir, name, ["source_id"]).where("source_id = 'atlas-monorepo'").agg(F.lit(name).alias("name"), F.count("*").alias("removed"))
-        out = gone if out is None else out.unionByName(gone)
-    return out
+    """A source deleted from three tables: what went from each, and what is left."""
+    left, removed = store.delete_source({n: table(spark, sf_dir, n) for n in ("file_metadata", "chunk_snapshot", "chunk_data")}, "atlas-monorepo")
+    kept = None
+    for name, rows in left.items():
+        one = rows.agg(F.lit(name).alias("name"), F.count("*").alias("kept"))
+        kept = one if kept is None else kept.unionByName(one)
+    return removed.join(kept, "name")
 
 
 @_query("SELECT vec_id AS id, label, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE 64 END AS dimension FROM embeddings")
@@ -640,13 +649,98 @@ def gr_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graph_stats(chunks, edges, key="chunk_id")
 
 
-@_query("""SELECT user_id AS src, source_id AS dst, 'READS' AS type, arg_max(coalesce(retry, 0), delivery_id) AS confidence FROM (SELECT delivery_id, source_id, metadata.user_id AS user_id, CAST(metadata.retry_count AS DOUBLE) AS retry FROM chunk_events)
-WHERE user_id IS NOT NULL GROUP BY user_id, source_id""")
+@_query("""WITH e AS (SELECT delivery_id, metadata.user_id AS src, source_id AS dst, CAST(coalesce(metadata.retry_count, 0) AS DOUBLE) AS confidence, topic AS metadata, received_at AS created_at FROM chunk_events WHERE metadata.user_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY delivery_id % 2 DESC, delivery_id DESC) AS n FROM e)
+SELECT src, dst, 'READS' AS type, confidence, metadata, created_at FROM r WHERE n = 1""")
 def gr_edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges written again and again: the last writer's properties survive."""
-    rows = table(spark, sf_dir, "chunk_events", ["delivery_id", "source_id", "metadata"]).where("metadata.user_id IS NOT NULL")
-    edges = rows.select(F.col("metadata.user_id").alias("src"), F.col("source_id").alias("dst"), F.lit("READS").alias("type"), F.coalesce("metadata.retry_count", F.lit(0)).cast("double").alias("confidence"), "delivery_id")
-    return graph.edge_upsert(edges.where(F.lit(False)), edges, "delivery_id")
+    """Edges written in two runs, the second into the edges of the first: all properties are those of the last writer."""
+    rows = table(spark, sf_dir, "chunk_events", ["delivery_id", "source_id", "metadata", "topic", "received_at"]).where("metadata.user_id IS NOT NULL")
+    edges = rows.select(F.col("metadata.user_id").alias("src"), F.col("source_id").alias("dst"), F.lit("READS").alias("type"), F.coalesce("metadata.retry_count", F.lit(0)).cast("double").alias("confidence"), F.col("topic").alias("metadata"), F.col("received_at").alias("created_at"), "delivery_id")
+    empty = edges.drop("delivery_id").where(F.lit(False))
+    late = F.col("delivery_id") % 2 == 1
+    first = store.merge_edges(empty, edges.where(~late), "delivery_id")
+    return store.merge_edges(first, edges.where(late), "delivery_id")
+
+
+@_query("""WITH f AS (SELECT source_id || '::' || filename AS qn, min(filename) AS name, min(source_id) AS source_id FROM file_metadata WHERE source_id IS NOT NULL AND filename IS NOT NULL GROUP BY 1),
+c AS (SELECT source_id || '::' || filename AS qn, chunk_id, source_id, start_line, chunk_type, row_number() OVER (PARTITION BY source_id, filename ORDER BY coalesce(start_line, -1) DESC, chunk_id DESC) AS n FROM (SELECT DISTINCT chunk_id, source_id, filename, start_line, chunk_type FROM chunk_data))
+SELECT coalesce(c.qn, f.qn) AS qualified_name, coalesce(c.chunk_id, 'file') AS id, CASE WHEN c.qn IS NULL THEN 'private' WHEN c.start_line > 1 THEN 'internal' ELSE 'public' END AS visibility, CASE WHEN c.qn IS NULL THEN 'x' ELSE '' END AS signature,
+f.qn IS NOT NULL AS stored, c.qn IS NOT NULL AS written FROM f FULL JOIN (SELECT * FROM c WHERE n = 1) c ON c.qn = f.qn""")
+def gr_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of files stored first, then written again by their chunks: the last chunk holds, who was there keeps its creation."""
+    name = F.concat_ws("::", "source_id", "filename").alias("qualified_name")
+    files = _files(spark, sf_dir).where("source_id IS NOT NULL AND filename IS NOT NULL").select(name, F.lit("file").alias("id"), F.lit("x").alias("signature"), F.lit("private").alias("visibility"))
+    none = files.select("*", F.lit(None).cast("int").alias("created_at"), F.lit(None).cast("int").alias("updated_at")).where(F.lit(False))
+    stored = store.merge_nodes(none, store.entities(files), "qualified_name", F.lit(1))
+    rows = _chunks(spark, sf_dir, "start_line").select(name, F.col("chunk_id").alias("id"), F.lit(None).cast("string").alias("signature"), F.when(F.col("start_line") > 1, "internal").alias("visibility"), F.coalesce("start_line", F.lit(-1)).alias("line"))
+    merged = store.merge_nodes(stored, store.entities(rows), "qualified_name", F.lit(2), ["line", "id"])
+    return merged.select("qualified_name", "id", "visibility", "signature", (F.col("created_at") == 1).alias("stored"), (F.col("updated_at") == 2).alias("written"))
+
+
+@_query("""WITH r AS (SELECT source_id, count(*) AS files FROM (SELECT DISTINCT source_id, filename FROM file_metadata) GROUP BY source_id HAVING count(*) > 5),
+e AS (SELECT DISTINCT source_id || '::' || filename AS qn FROM file_metadata WHERE source_id IS NOT NULL AND filename IS NOT NULL),
+w AS (SELECT DISTINCT source_id || '::' || filename AS src, source_id AS dst FROM chunk_data UNION SELECT DISTINCT source_id || '::' || filename || '.lost', source_id FROM chunk_data)
+SELECT dst AS repository, count(*) AS entities FROM w WHERE src IN (SELECT qn FROM e) AND dst IN (SELECT source_id FROM r) GROUP BY dst""")
+def gr_belongs_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities linked to their repository: links to one that isn't there, here those of few files, or from an unknown entity aren't made."""
+    files = _files(spark, sf_dir).where("source_id IS NOT NULL AND filename IS NOT NULL")
+    known = files.select(F.concat_ws("::", "source_id", "filename").alias("qualified_name"))
+    repositories = files.groupBy("source_id").agg(F.count("*").alias("files")).where("files > 5")
+    path = F.concat_ws("::", "source_id", "filename")
+    links = _chunks(spark, sf_dir).select(F.explode(F.array(path, F.concat(path, F.lit(".lost")))).alias("src"), F.col("source_id").alias("dst")).distinct()
+    return store.matched(links, known, repositories, "qualified_name", "source_id").groupBy(F.col("dst").alias("repository")).agg(F.count("*").alias("entities"))
+
+
+@_query(f"""WITH e AS ({_NEXT}), n AS (SELECT chunk_id, min(source_id || '|' || chunk_id || '|' || filename) AS name FROM chunk_data WHERE start_line > 1 GROUP BY chunk_id)
+SELECT a.name AS src, b.name AS dst FROM e JOIN n a ON a.chunk_id = e.src JOIN n b ON b.chunk_id = e.dst""")
+def gr_sync_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading order between composite ids: ends are looked up, edges with an end that has none, here a first chunk, are dropped."""
+    chunks = _chunks(spark, sf_dir, "start_line")
+    edges = graph.next_chunk(chunks, ["source_id", "filename"], ["start_line", "chunk_id"], "chunk_id")
+    names = chunks.where("start_line > 1").select("chunk_id", N.composite_id(F.col("source_id"), F.col("chunk_id"), F.col("filename")).alias("name"))
+    return store.resolved(edges, names, "chunk_id", "name").select("src", "dst")
+
+
+_ENTITY_EDGES = """e AS (SELECT DISTINCT source_id || '::' || filename AS qn FROM file_metadata WHERE source_id IS NOT NULL AND filename IS NOT NULL)"""
+
+
+@_query(f"""WITH {_refs_sql()}, {_ENTITY_EDGES}, f AS (SELECT DISTINCT source_id, filename, regexp_replace({_BASE}, '(.)\\.[^.]*$', '\\1') AS name FROM chunk_data),
+w AS (SELECT DISTINCT c.source_id || '::' || c.filename AS src, f.source_id || '::' || f.filename AS dst, r.link_type FROM r JOIN (SELECT DISTINCT chunk_id, source_id, filename FROM chunk_data) c ON c.chunk_id = r.chunk_id JOIN f ON f.source_id = r.source_id AND f.name = r.name WHERE r.name <> '')
+SELECT src, dst, 'IMPORTS' AS type, max(link_type) AS detection_method FROM w WHERE src IN (SELECT qn FROM e) AND dst IN (SELECT qn FROM e) GROUP BY src, dst""")
+def gr_entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References between files as edges of their entities, written only between entities that exist; the greatest method stands for the last writer."""
+    known = _files(spark, sf_dir).where("source_id IS NOT NULL AND filename IS NOT NULL").select(F.concat_ws("::", "source_id", "filename").alias("qn"))
+    rows = _chunks(spark, sf_dir, "content").withColumn("language", N.language(F.col("filename")))
+    found = graph.references(rows, ["chunk_id", "source_id", "filename"])
+    files = _chunks(spark, sf_dir).select("source_id", F.col("filename").alias("file"), N.stem(F.col("filename")).alias("name")).distinct()
+    edges = found.join(files, ["source_id", "name"]).select(F.concat_ws("::", "source_id", "filename").alias("src"), F.concat_ws("::", "source_id", "file").alias("dst"), F.lit("IMPORTS").alias("type"), F.col("link_type").alias("detection_method"))
+    edges = store.matched(edges, known, known, "qn", "qn").withColumn("at", F.col("detection_method"))
+    return store.merge_edges(edges.drop("at").where(F.lit(False)), edges, "at")
+
+
+_NODE_NAMES = r"""p AS (SELECT id, source_id, string_split(id, '|') AS parts FROM n),
+q AS (SELECT id, source_id, k, len(parts) AS of, string_split(parts[k], '/') AS steps FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM p)),
+t AS (SELECT id, source_id, k, of, i, len(steps) AS many, steps[i] AS step, string_split(steps[i], '.') AS dots FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS i FROM q)),
+names AS (SELECT DISTINCT id, source_id, array_to_string(dots[1 : d], '.') AS name FROM (SELECT *, unnest(range(1, len(dots))) AS d FROM t WHERE NOT (k = 1 AND i = 1))
+  UNION SELECT DISTINCT id, source_id, step FROM t WHERE NOT (k = 1 AND i = 1) AND i = many AND k < of)"""
+
+
+@_query(f"""WITH {_refs_sql("(SELECT DISTINCT source_id, filename, content, source_id || chr(124) || filename || chr(124) || chunk_id AS id FROM chunk_data)", _EXT, "id, source_id")}, n AS (SELECT DISTINCT source_id || '|' || filename || '|' || chunk_id AS id, source_id FROM chunk_data), {_NODE_NAMES},
+o AS (SELECT id, source_id, filename, lead(id) OVER (PARTITION BY source_id, filename ORDER BY id) AS following FROM (SELECT DISTINCT source_id || '|' || filename || '|' || chunk_id AS id, source_id, filename FROM chunk_data)),
+e AS (SELECT id AS src, following AS dst, 'NEXT_CHUNK' AS type, '' AS link_type FROM o WHERE following IS NOT NULL
+  UNION SELECT source_id || '|' || filename || '|' || max(chunk_id), source_id || '|' || filename || '|next', 'NEXT_CHUNK', '' FROM chunk_data GROUP BY source_id, filename
+  UNION SELECT r.id, names.id, 'LINKS_TO', r.link_type FROM r JOIN names ON names.source_id = r.source_id AND names.name = r.name WHERE r.name <> '' AND r.id <> names.id)
+SELECT src, dst, type, link_type FROM e""")
+def gr_consume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges after embedding messages of all files, each ending in a chunk nobody stored: reading order within a message, and links to files referred to."""
+    rows = _chunks(spark, sf_dir, "content").withColumn("id", N.composite_id(F.col("source_id"), F.col("filename"), F.col("chunk_id")))
+    nodes = rows.select("id", "source_id", N.language(F.col("filename")).alias("language"), "content", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("model"))
+    ids = F.concat(F.sort_array(F.collect_set("id")), F.array(N.composite_id(F.col("source_id"), F.col("filename"), F.lit("next"))))
+    files = rows.groupBy("source_id", "filename").agg(ids.alias("ids"))
+    chunk = F.transform("ids", lambda i: F.struct(i.alias("id"), F.array(F.lit(0.5)).cast("array<float>").alias("embedding")))
+    head = F.struct(F.concat_ws("|", "source_id", "filename").alias("event_id"))
+    messages = files.select(F.to_json(F.struct(head.alias("headers"), "source_id", F.lit("m").alias("model"), chunk.alias("chunks"))).alias("value"))
+    return store.consumed(messages, nodes)[1]
 
 
 @_query(f"""WITH n AS (SELECT DISTINCT chunk_id, source_id FROM chunk_data), gone AS (SELECT chunk_id FROM n WHERE source_id = 'atlas-monorepo'), e AS ({_NEXT})
@@ -690,6 +784,15 @@ def vs_knn_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nearest(rows, rows.where("vec_id % 100 = 0"), 10, 0.2)
 
 
+@_query("""SELECT q.vec_id AS query, r.vec_id, r.score FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q, LATERAL (
+SELECT e.vec_id, e.label, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) / sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * x))) / sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS score
+FROM embeddings e ORDER BY 3 DESC, 1 LIMIT 20) r WHERE r.label = 1""")
+def vs_knn_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest of every row whose id is divisible by 100, those of one owner kept; a label stands for the owner."""
+    rows = table(spark, sf_dir, "embeddings")
+    return graph.nearest(rows, rows.where("vec_id % 100 = 0"), 20, owner="label", owner_value=F.lit(1))
+
+
 @_query("""WITH n AS (SELECT DISTINCT chunk_id, source_id, filename, source_id || '|' || chunk_id || '|' || filename AS id FROM chunk_data)
 SELECT source_id, count(*) AS chunks FROM n WHERE NOT (source_id = 'atlas-monorepo' AND id LIKE '%.py') GROUP BY source_id""")
 def gr_delete_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -807,6 +910,54 @@ def ev_validate_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunk_snapshot", ["id", "commit_id"]).distinct().select("id", events.violation("INGEST_COMPLETED").alias("problem"))
 
 
+_HEX = "CASE WHEN strlen(coalesce({0}, '')) <> 40 THEN '{0} must be 40 characters (SHA-1)' WHEN NOT regexp_matches(coalesce({0}, ''), '^[0-9A-Fa-f]*$') THEN '{0} must be hexadecimal' END"
+_PROVIDER = "CASE WHEN coalesce(provider, '') NOT IN ('github', 'gitlab', 'bitbucket') THEN 'unknown provider' END"
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "chunk_snapshot", ["id", "filename", "commit_id", "chunk_hash", "embedding_model", "tombstone"]).distinct()
+    provider = F.when(F.col("tombstone"), "svn").when(F.length("filename") % 2 == 0, "github").otherwise("bitbucket")
+    return rows.select("id", F.col("filename").alias("url"), F.when(F.length("filename") % 5 > 0, "main").alias("branch"), "commit_id", F.substring("chunk_hash", 1, 40).alias("old_commit"), F.coalesce("commit_id", F.substring("chunk_hash", 1, 40)).alias("new_commit"), F.col("embedding_model").alias("credential_ref"), provider.alias("provider"))
+
+
+_SNAPSHOTS = """(SELECT DISTINCT id, filename AS url, CASE WHEN length(filename) % 5 > 0 THEN 'main' END AS branch, commit_id, substr(chunk_hash, 1, 40) AS old_commit, coalesce(commit_id, substr(chunk_hash, 1, 40)) AS new_commit, embedding_model AS credential_ref,
+CASE WHEN tombstone THEN 'svn' WHEN length(filename) % 2 = 0 THEN 'github' ELSE 'bitbucket' END AS provider FROM chunk_snapshot)"""
+_NONE = "CASE WHEN coalesce({0}, '') = '' THEN '{0} cannot be empty' END"
+
+
+@_query(f"SELECT id, coalesce({_NONE.format('url')}, {_NONE.format('branch')}, {_HEX.format('commit_id')}, {_NONE.format('credential_ref')}, {_PROVIDER}) AS problem FROM {_SNAPSHOTS}")
+def ev_validate_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest requests made of snapshots: the first broken rule."""
+    return _snapshots(spark, sf_dir).select("id", events.violation("REPO_INGEST_REQUESTED").alias("problem"))
+
+
+@_query(f"""SELECT id, coalesce({_NONE.format('url')}, {_NONE.format('branch')}, {_HEX.format('old_commit')}, {_HEX.format('new_commit')}, CASE WHEN old_commit = new_commit THEN 'old_commit and new_commit must be distinct' END,
+{_NONE.format('credential_ref')}, {_PROVIDER}) AS problem FROM {_SNAPSHOTS}""")
+def ev_validate_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates of repositories made of snapshots: the first broken rule."""
+    return _snapshots(spark, sf_dir).select("id", events.violation("REPO_UPDATED").alias("problem"))
+
+
+@_query("SELECT run_id, CASE WHEN status <> 'failed' THEN 'error_message cannot be empty' END AS problem FROM index_runs")
+def ev_validate_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures made of runs: only a failed one has a message."""
+    rows = table(spark, sf_dir, "index_runs", ["run_id", "status"]).withColumn("error_message", F.when(F.col("status") == "failed", "lost").otherwise(""))
+    return rows.select("run_id", events.violation("INGEST_FAILED").alias("problem"))
+
+
+@_query("SELECT 'e' || doc_id AS event_id, CAST(doc_id AS VARCHAR) AS document_id, coalesce(kind, '') AS title, source AS source_id, sha256(text) AS content_hash, lang AS updated_by FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND path IS NOT NULL AND doc_id % 4 <> 0")
+def ev_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document updates read from messages, every fourth of another type; those without a field that must be there are left out."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "source", "path", "kind", "lang", "created_at"])
+    payload = F.struct(
+        F.col("doc_id").cast("string").alias("document_id"), F.coalesce("kind", F.lit("")).alias("title"), F.col("source").alias("source_id"), F.col("path").alias("content_ref"), F.col("lang").alias("updated_by"),
+        F.coalesce(F.col("created_at").cast("string"), F.lit("never")).alias("source_updated_at"), F.sha2("text", 256).alias("content_hash"),
+    )
+    kind = F.when(F.col("doc_id") % 4 == 0, "CHUNK_DEPRECATED").otherwise("DOCUMENT_UPDATED")
+    messages = docs.select(F.to_json(F.struct(F.concat(F.lit("e"), "doc_id").alias("event_id"), kind.alias("event_type"), F.lit("c").alias("correlation_id"), payload.alias("payload"))).alias("value"))
+    return contracts.extension_rows(messages, "DOCUMENT_UPDATED").select("event_id", "document_id", "title", "source_id", "content_hash", "updated_by")
+
+
 @_query("SELECT doc_id, n_chars, 'raw' AS chunk_type, false AS pii_detected, CASE WHEN doc_id % 2 = 0 THEN 2 END AS dimension FROM documents")
 def ev_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes of the documents as JSON and back, with the defaults of what wasn't said."""
@@ -830,13 +981,7 @@ def ev_chunk_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_FOLD + """, e AS (SELECT d.source, c.doc_id, ordinal, content, lead(ordinal) OVER (PARTITION BY c.doc_id ORDER BY ordinal) AS following FROM chunk c JOIN documents d ON d.doc_id = c.doc_id)
 SELECT source, count(*) AS chunks, count(following) AS next_edges, count(DISTINCT sha256(content)) AS distinct_contents FROM e GROUP BY source""")
 def ch_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that aren't large JSON texts to chunks with identity and reading order, rolled up by source."""
-    return _flagship(_plain_documents(spark, sf_dir))
-
-
-@_query()
-def ch_flagship_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of all documents."""
+    """All documents to chunks with identity and reading order, rolled up by source."""
     return _flagship(_documents(spark, sf_dir))
 
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 import gzip
 import os
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from ..functions.names import kept_path, route
+from ..functions.names import PRUNED, route
 
 #: Bytes a scanned file and an inline payload may have.
 MAX_FILE, MAX_PAYLOAD = 5 * 1024 * 1024, 50 * 1024 * 1024
@@ -27,18 +29,58 @@ def contained(base: str, path: str) -> str:
     return full
 
 
+def _walked(batches: Iterator[pa.RecordBatch], root: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(filename, size_bytes) of the files at or below the entries, without hidden names and folders that a scan doesn't enter."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root)
+    for batch in batches:
+        open_ = batch.column(0).to_pylist()
+        names, sizes = [], []
+        while open_:
+            entry = open_.pop()
+            info = store.get_file_info(f"{base}/{entry}")
+            if info.type == fs.FileType.File and info.size <= max_bytes:
+                names.append(entry)
+                sizes.append(info.size)
+            elif info.type == fs.FileType.Directory:
+                inner = store.get_file_info(fs.FileSelector(f"{base}/{entry}"))
+                open_ += [f"{entry}/{i.base_name}" for i in inner if not i.base_name.startswith(".") and i.base_name not in PRUNED]
+            if len(names) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["filename", "size_bytes"])
+                names, sizes = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["filename", "size_bytes"])
+
+
+def _contents(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root)
+    for batch in batches:
+        for k, name in enumerate(batch.column(0).to_pylist()):
+            with store.open_input_stream(f"{base}/{name}") as f:
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([f.read()], pa.binary())], names=["filename", "size_bytes", "data"])
+
+
 def scan_folder(spark: SparkSession, base: str, source_id: str, path: str = ".", max_bytes: int = MAX_FILE) -> DataFrame:
-    """(source_id, filename, size_bytes, content, route): readable text files below a folder.
+    """(source_id, filename, size_bytes, content, route): readable text files below a folder that all executors see.
 
-    Hidden and build folders are not entered, larger files and such that aren't
-    UTF-8 are left out. The size filter reaches the file source.
+    The entries of the folder are walked by the executors, which enter no hidden or
+    build folder, and files are read where their list is spread to. Names may begin with an
+    underscore, which Spark's own file source would skip. Larger files and such that
+    aren't UTF-8 are left out.
     """
-    root = contained(base, path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_bytes)
-    name = F.regexp_replace(F.col("path"), "^(?:file:)?/*" + root.strip("/").replace(".", r"\.") + "/", "")
-    rows = files.select(F.lit(source_id).alias("source_id"), name.alias("filename"), F.col("length").alias("size_bytes"), F.col("content").cast("string").alias("content"))
-    kept = rows.where(kept_path(F.col("filename")) & F.is_valid_utf8("content"))
-    return kept.withColumn("route", route(F.col("filename")))
+    from pyarrow import fs
+
+    root = f"file://{contained(base, path)}"
+    store, folder = fs.FileSystem.from_uri(root)
+    first = [i.base_name for i in store.get_file_info(fs.FileSelector(folder)) if not i.base_name.startswith(".") and i.base_name not in PRUNED]
+    entries = spark.createDataFrame([(n,) for n in sorted(first)], "filename string")
+    many = max(1, min(len(first), 4 * spark.sparkContext.defaultParallelism))
+    files = entries.repartition(many).mapInArrow(lambda b: _walked(b, root, max_bytes), "filename string, size_bytes bigint")
+    read = files.repartition(4 * spark.sparkContext.defaultParallelism, "filename").mapInArrow(lambda b: _contents(b, root), "filename string, size_bytes bigint, data binary")
+    rows = read.select(F.lit(source_id).alias("source_id"), "filename", "size_bytes", F.col("data").cast("string").alias("content"))
+    return rows.where(F.is_valid_utf8("content")).withColumn("route", route(F.col("filename")))
 
 
 @F.pandas_udf(BinaryType())

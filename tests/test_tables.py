@@ -145,11 +145,11 @@ def test_event_rules(spark):
 
 
 def test_scan_and_payloads(spark, tmp_path):
-    for name, data in {"a.py": b"x = 1", ".git/c": b"no", "node_modules/m.js": b"no", "d/b.md": "é".encode(), "bin.dat": b"\xff\xfe\x00", "big.txt": b"x" * 2000}.items():
+    for name, data in {"a.py": b"x = 1", ".git/c": b"no", "node_modules/m.js": b"no", "d/b.md": "é".encode(), "bin.dat": b"\xff\xfe\x00", "big.txt": b"x" * 2000, "pkg/__init__.py": b"", "_config.yml": b"a: 1", "__tests__/t.js": b"1", "pkg/build/x": b"no", "b .txt": b"y"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
     got = {(r.filename, r.route) for r in scan_folder(spark, str(tmp_path), "s", max_bytes=1000).collect()}
-    assert got == {("a.py", "hybrid"), ("d/b.md", "document")}
+    assert got == {("a.py", "hybrid"), ("d/b.md", "document"), ("pkg/__init__.py", "hybrid"), ("_config.yml", "hybrid"), ("__tests__/t.js", "hybrid"), ("b .txt", "hybrid")}
     with pytest.raises(ValueError):
         contained(str(tmp_path), f"../{tmp_path.name}-evil/x")
     b64 = lambda b: base64.b64encode(b).decode()
@@ -194,8 +194,14 @@ def test_contracts(spark):
     rows = spark.createDataFrame([("structural", 0.5, None), ("structural", None, None), ("enhanced", 0.9, None), ("relationship", 0.1, None)], "tier string, quality double, enhanced_at timestamp")
     got = [(r.tier, r.enhanced_at is not None) for r in K.advanced(rows, F.current_timestamp()).collect()]
     assert got == [("enhanced", True), ("structural", False), ("relationship", False), ("relationship", False)]
-    message = spark.createDataFrame([('{"event_id": "e", "chunk_id": "c", "reason": "moved"}',), ("{broken",), ("{}",)], "value string")
-    assert [tuple(r) for r in K.extension_rows(message, "CHUNK_DEPRECATED").collect()] == [("e", "c", "moved", None)]
+    base = {"event_id": "e", "event_type": "CHUNK_DEPRECATED", "correlation_id": "x"}
+    payload = {"chunk_ids": ["c"], "source_id": "s", "file_path": "a.py", "reason": "file_renamed", "new_file_path": "b.py", "replacement_chunk_ids": [], "deprecated_at": "2025-01-01T00:00:00Z"}
+    sent = [base | {"payload": payload}, base | {"payload": payload | {"reason": "moved"}}, base | {"payload": {k: v for k, v in payload.items() if k != "file_path"}}, base | {"event_type": "ENTITY_MERGED", "payload": payload}, {"payload": payload}]
+    message = spark.createDataFrame([(json.dumps(m),) for m in sent] + [("{broken",), ("{}",)], "value string")
+    assert [tuple(r) for r in K.extension_rows(message, "CHUNK_DEPRECATED").collect()] == [("e", "x", ["c"], "s", "a.py", "file_renamed", "b.py", [], "2025-01-01T00:00:00Z")]
+    assert all(K.extension_rows(message, kind).count() == (kind == "CHUNK_DEPRECATED") for kind in K.EXTENSION_EVENTS)
+    who = spark.createDataFrame([("u", "1.1.1.1", "2"), (None, " 1.1.1.1 , 9.9.9.9", "2"), (None, None, "2"), (None, None, None)], "u string, f string, r string")
+    assert [r[0] for r in who.select(K.client_id(F.col("u"), F.col("f"), F.col("r"))).collect()] == ["user:u", "1.1.1.1", "2", "unknown"]
     episodes = spark.createDataFrame([("i", "t", [0.1, 0.2], ["a"])], "id string, chunk_text string, embedding array<float>, acl_tags array<string>")
     value = K.episode_json(episodes).first().value
     assert json.loads(value)["embedding_dimension"] == 2 and "language" not in value
@@ -212,5 +218,66 @@ def test_publish_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     publish_chunks(stream, str(tmp_path / "out"), str(tmp_path / "cp"), str(tmp_path / "dead")).awaitTermination()
     sent = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
-    assert [m["chunks"][0]["id"] for m in sent] == ["a"] and sent[0]["headers"]["correlation_id"] == "s"
-    assert [json.loads(r.value)["error"] for r in spark.read.text(str(tmp_path / "dead")).collect()] == ["event too large"]
+    assert sorted(m["chunks"][0]["id"] for m in sent) == ["a", "b"] and sent[0]["headers"]["correlation_id"] == "s"  # 20,000 bytes are no reason
+    assert spark.read.text(str(tmp_path / "dead")).count() == 0
+    publish_chunks(stream, str(tmp_path / "out2"), str(tmp_path / "cp2"), str(tmp_path / "dead2"), max_bytes=10_000).awaitTermination()
+    dead = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "dead2")).collect()]
+    assert [d["error"] for d in dead] == ["message too large"] and dead[0]["failedTopic"] == "chunks.raw" and dead[0]["failedAt"] > 1_600_000_000_000
+
+
+def test_publishing_is_tried_again(spark, tmp_path):
+    from chunkloom.streaming.publish import publish_chunks, sent
+
+    tries = []
+
+    def fails(n):
+        def send(messages, *_):
+            tries.append(messages.count())
+            if len(tries) <= n:
+                raise OSError("no broker")
+
+        return send
+
+    rows = spark.createDataFrame([("x",)], "value string")
+    assert sent(rows, fails(2), back_off=0.01) is None and len(tries) == 3
+    schema = "id string, source_id string, file_id string, chunk_type string, content string, language string, start_line int, end_line int, user_id string, is_dirty boolean"
+    spark.createDataFrame([("a", "s", "f", "t", "x", None, 1, 2, "u", True)], schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    tries.clear()
+    with pytest.raises(Exception, match="no broker"):
+        publish_chunks(stream, str(tmp_path / "out"), str(tmp_path / "cp"), str(tmp_path / "dead"), send=fails(9), back_off=0.01).awaitTermination()
+    dead = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/dead/failed=0").collect()]
+    assert len(tries) == 3 and dead[0]["error"] == "no broker" and json.loads(dead[0]["event"])["chunks"][0]["id"] == "a"
+    tries.clear()
+    publish_chunks(stream, str(tmp_path / "out"), str(tmp_path / "cp"), str(tmp_path / "dead"), send=fails(0), back_off=0.01).awaitTermination()  # sent again at the restart
+    assert tries == [1]
+
+
+def test_graph_store(spark):
+    from chunkloom.operators import store as G
+
+    nodes = spark.createDataFrame([("a", "x", [1.0], 1, 1)], "id string, content string, embedding array<float>, created_at int, updated_at int")
+    more = spark.createDataFrame([("a", "y\0z", None, 1), ("b", "n", [2.0], 1), ("b", "m", [3.0], 2), (None, "q", None, 1)], "id string, content string, embedding array<float>, seq int")
+    got = {tuple(r) for r in G.merge_nodes(nodes, more, "id", F.lit(7), ["seq"], fill=["embedding"]).select("id", "content", F.get("embedding", F.lit(0)), "created_at", "updated_at").collect()}
+    assert got == {("a", "yz", 1.0, 1, 7), ("b", "m", 3.0, 7, 7)}
+    edges = spark.createDataFrame([("1", "2", "X"), ("2", "3", "X"), ("3", "4", "X")], "src string, dst string, type string")
+    names = spark.createDataFrame([("1", "one"), ("2", "two"), ("2", "zwei"), ("3", "three")], "id string, name string")
+    assert {(r.src, r.dst) for r in G.resolved(edges, names, "id", "name").collect()} == {("one", "two"), ("two", "three")}
+    assert {(r.src, r.dst) for r in G.matched(edges, names, names, "id", "id").collect()} == {("1", "2"), ("2", "3")}
+    ids = spark.createDataFrame([("s|a/b.test.py|x",), ("s|dir.d/file",), ("no",)], "id string")
+    assert [sorted(r[0]) for r in ids.select(G.file_names(F.col("id"))).collect()] == [["b", "b.test", "b.test.py"], ["dir"], []]
+    left, gone = G.delete_source({"t": spark.createDataFrame([("a",), ("b",), (None,)], "source_id string")}, "a")
+    assert left["t"].count() == 2 and [tuple(r) for r in gone.collect()] == [("t", 1)]
+
+
+def test_pdf_text(spark):
+    import zlib
+
+    from chunkloom.sources.pdf import PdfReader
+
+    page = b"BT /F1 12 Tf 72 700 Td (Title \\(one\\)) Tj 0 -14 Td [(Hel) -20 (lo)] TJ T* <776f726c64> Tj ET"
+    packed = zlib.compress(page)
+    pdf = b"%PDF-1.4\n1 0 obj << /Length 99 /Filter /FlateDecode >>\nstream\n" + packed + b"\nendstream endobj"
+    rows = spark.createDataFrame([("a/doc.pdf", bytearray(pdf)), ("b.pdf", bytearray(b"%PDF-1.4 nothing")), ("c.pdf", None)], "filename string, data binary")
+    got = {r.title: r.sections[0].content for r in PdfReader().read(rows).collect()}
+    assert got == {"doc": "Title (one)\nHello\nworld", "b": "Binary or unreadable file", "c": "Binary or unreadable file"}

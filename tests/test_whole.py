@@ -33,11 +33,11 @@ def test_large_json_documents_are_chunked(spark, tmp_path):
     texts = {1: array, 2: entries, 3: "[1, 2]", 4: "plain text", 5: None}
     want = {(d, i, c) for d, t in texts.items() if t for i, c in enumerate(packed(t) if d < 3 else [t])}
     table = {"documents": ([(d, "json" if d < 3 else "text", f"p{d}", t) for d, t in texts.items()], "doc_id bigint, source string, path string, text string")}
-    got = run(spark, tmp_path, "ch_hybrid_whole", **table)
+    got = run(spark, tmp_path, "ch_hybrid_text", **table)
     assert sorted((r.doc_id, r.ordinal, r.hash) for r in got.collect()) == sorted((d, i, hashlib.sha256(c.encode()).hexdigest()) for d, i, c in want)
     of = {s: [c for d, _, c in want if (d < 3) == (s == "json")] for s in ("json", "text")}
-    assert {tuple(r) for r in run(spark, tmp_path, "ch_stats_whole").select("source", "chunks", "avg_bytes").collect()} == {(s, len(c), sum(map(len, c)) // len(c)) for s, c in of.items()}
-    got = run(spark, tmp_path, "ch_flagship_whole").select("source", "chunks", "next_edges", "distinct_contents").collect()
+    assert {tuple(r) for r in run(spark, tmp_path, "ch_stats").select("source", "chunks", "avg_bytes").collect()} == {(s, len(c), sum(map(len, c)) // len(c)) for s, c in of.items()}
+    got = run(spark, tmp_path, "ch_flagship").select("source", "chunks", "next_edges", "distinct_contents").collect()
     assert {tuple(r) for r in got} == {(s, len(c), len(c) - 2, len(set(c))) for s, c in of.items()}
 
 
@@ -46,7 +46,7 @@ def test_every_table_of_an_output_is_read(spark, tmp_path):
     latex = "\\begin{tabular}{ll}\nx & y\n\\end{tabular}"
     rows = [(1, [("one", grid(1)), (None, grid(2)), ("tex", latex), ("last", grid(3))]), (2, [("tex", latex), ("two", grid(4))]), (3, [("none", None)]), (4, []), (5, None)]
     schema = "output_id bigint, tables array<struct<caption:string,markdown:string>>"
-    got = run(spark, tmp_path, "ch_markdown_tables_whole", pipeline_output=(rows * 2, schema)).collect()
+    got = run(spark, tmp_path, "ch_markdown_tables", pipeline_output=(rows * 2, schema)).collect()
     want = [(1, 0, "one", 1), (1, 1, "", 2), (1, 2, "last", 3), (2, 0, "two", 4)]
     assert sorted((r.output_id, r.pos, r.caption, r.hash) for r in got) == [(o, p, c, hashlib.sha256(grid(k).encode()).hexdigest()) for o, p, c, k in want]
 
@@ -66,7 +66,7 @@ def test_pages_of_all_documents(spark, tmp_path):
     from chunkloom.operators import graph
 
     rows = [(1, "a"), (2, "b"), (3, None), (4, "c"), (5, "a"), (6, "d")]
-    got = run(spark, tmp_path, "gr_web_links_whole", documents=([(d, "s", p, "t") for d, p in rows], "doc_id bigint, source string, path string, text string"))
+    got = run(spark, tmp_path, "gr_web_links", documents=([(d, "s", p, "t") for d, p in rows], "doc_id bigint, source string, path string, text string"))
     assert sorted(map(tuple, got.select("url", "kind", "links").collect())) == [("a", "page", 2), ("b", "page", 0), ("c", "page", 1), ("d", "page", 0)]
     pages = spark.createDataFrame([("a", "page")], "url string, kind string")
     every, kept = graph.linked_pages(pages, spark.createDataFrame([("a", "b"), ("x", "y"), ("x", "a")], "src string, dst string"))
