@@ -6,17 +6,19 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import flat_rows
 from .vocab import TOKENIZERS, encoding
 
-#: Characters per subword under which a string is no natural text.
-UNNATURAL = 2.6
+#: Characters per subword from which a value under a credential's name is natural text; free-standing keys and header values must stay under the second one.
+NATURAL, UNNATURAL = 2.9, 2.6
+#: Characters a secret has at least.
+LEAST = 6
 
-#: A line without one of these holds no credential; they are tested before a text leaves the JVM.
-TRIGGERS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "akia", "asia", "bearer", "basic", "://", "eyj", "eya", "pw ", "log in", " -u ", " --user")
+#: A string that may be a secret: no blanks, quotes or brackets.
+_RUN = re.compile(r"""[^\s"'`<>()\[\]{},;]{6,}+""")
 _ACCESS_ID = re.compile(r"(?<![A-Za-z0-9+/])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9+/])")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -24,19 +26,20 @@ _JWT = re.compile(r"(?<![\w/+])ey[AJ][A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{8,}\.[A-Z
 _URL = re.compile(r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,30}://[^\s:/@\"'<>]*:([^\s@\"'/]+)@(?=[\w\[])", re.I)
 _HEADER = re.compile(r"(?i)\b(?:bearer|basic)\s+([A-Za-z0-9+/=._~-]{8,})")
 _NAME = re.compile(
-    r"""(?<![\w.-])(?P<name>[A-Za-z_][\w.-]{0,63})(?![\w.-])\\?["']?(?P<sep>\]?\s*(?::\s*[&\w' ]{1,24}?\s*=(?!=)|:=|=>|=(?!=)|:(?!:))\s*|\s+value=|\s+is\s+|>|\s+(?=["']))"""
+    r"""(?<![\w.-])(?P<name>[^\W\d][\w.-]*+)\\?["']?(?P<sep>\]?\s*(?::\s*[&\w' ]{1,24}?\s*=(?!=)|:=|=>|=(?!=)|:(?!:))\s*|\s+value=|\s+is\s+|>|\s+(?=["']))"""
 )
-_FLAG = re.compile(r"(?<!\S)--?(?P<name>[A-Za-z][\w-]{0,63})(?P<sep>[ =]+)")
+_FLAG = re.compile(r"(?<!\S)--?(?P<name>[^\W\d_][\w-]*+)(?P<sep>[ =]+)")
 _USER = re.compile(r"(?:(?<=\s)-u|--user)[\s=]+['\"]?[\w.@-]+:([^\s'\"<>]+)")
 _WORDED = re.compile(r"(?i)\b(?:log ?in|sign in|authenticate|connect)\w* as \S+ (?:with|using) (\S+)|\b(?:pw|pwd|pass|passwd|password|passphrase|secret|token)\b (?:for|of|to)\b[^:=\n]{0,60}[:=]\s*(\S+)")
 _MORE = re.compile(r"""["'`][ \t]*[+.\\]?[ \t]*(?:\r?\n[ \t]*)?[+.]?[ \t]*(?=["'`])(["'`])([^"'`\n]*)(?=\1)""")
-_BODY = re.compile(r"[_-]([A-Za-z0-9+/]{20,80}={0,2})(?![A-Za-z0-9+/_-])")
+_BODY = re.compile(r"[_-]([A-Za-z0-9+/]{20,}+={0,2})(?![A-Za-z0-9+/_-])")
 _PREFIX = re.compile(r"(?<![\w/+.-])([a-z]{2,5})(?:_(?:live|prod|production|staging|secret|key))?$")
 _QUOTED = re.compile(r"""(?:[rbuf]|\w{0,20}\([ \t]*)?\\?(["'`])(?P<value>(?:\\.|(?!\1)[^\\\n])*)\1?""")
 _BARE = re.compile(r"""[^\s"'`,;&<>(){}\[\]|\\]+""")
+_ANY_WORDS = re.compile(r"[^\W\d_]+|\d+")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-# Last words of names that hold a credential, and what may stand before "key".
-_CREDENTIAL = {"password", "passwd", "pwd", "pass", "passphrase", "passwort", "secret", "token", "apikey", "auth", "authorization", "bearer", "credential", "credentials", "secretkey", "accesskey", "privatekey", "authtoken"}
+# Last words of names that hold a credential, in several languages, and what may stand before "key".
+_CREDENTIAL = {"password", "passwd", "pwd", "pw", "pass", "passphrase", "passwort", "kennwort", "losungswort", "contraseña", "contrasena", "senha", "mdp", "motdepasse", "wachtwoord", "lösenord", "hasło", "haslo", "parola", "salasana", "пароль", "密码", "密碼", "パスワード", "비밀번호", "secret", "token", "apikey", "auth", "authorization", "bearer", "credential", "credentials", "secretkey", "accesskey", "privatekey", "authtoken"}
 _KEYS = {"api", "access", "secret", "private", "storage", "signing", "encryption", "auth", "account", "shared", "master", "client", "service", "license", "webhook", "session", "app", "application", "hmac", "jwt", "ssh", "deploy", "tls", "aws", "admin", "function", "subscription"}
 _PLACEHOLDER = re.compile(
     r"""(?ix) ^(?: | change[_-]?(?:me|it|this) .* | (.)\1{3,} | your[_-]?.* | my[_-](?:secret|password|token|key).* | <.* | \$.* | \{\{.* | %.*%? \b(?<=%) | \#\{.* | \*+ | x{3,} | \.{2,}
@@ -49,7 +52,7 @@ _REFERENCE = re.compile(r"^(?:[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[~.]{0,2}/[\w.-]+(?:
 @lru_cache(1 << 16)
 def is_credential_name(name: str) -> bool:
     """Whether a name, in any case style, is that of a credential itself (not of its file, field, length or id)."""
-    words = [w.lower() for w in _WORDS.findall(name)]
+    words = [w.lower() for w in (_WORDS if name.isascii() else _ANY_WORDS).findall(name)]
     while words and words[-1].isdigit():
         words.pop()
     if not words:
@@ -67,16 +70,21 @@ def subword_length(text: str, folder: str = TOKENIZERS) -> float:
     return len(text) / max(1, sum(len(own.encode_ordinary(text[at : at + 128])) for at in range(0, len(text), 128)))
 
 
-def is_literal(value: str, quoted: bool, folder: str = TOKENIZERS) -> bool:
-    """Whether a value under a credential's name is a literal one: no placeholder, no reference, no plain words."""
-    if len(value) < 6 or " " in value.strip() or _PLACEHOLDER.match(value):
+@lru_cache(1 << 17)
+def is_unnatural(value: str, folder: str = TOKENIZERS) -> bool:
+    """Whether a string has fewer than ``NATURAL`` characters per subword, so that it may be a secret."""
+    return subword_length(value, folder) < NATURAL
+
+
+def is_literal(value: str, folder: str = TOKENIZERS) -> bool:
+    """Whether a value under a credential's name is a literal one: unnatural, and no placeholder or reference.
+
+    A reference, to a variable or file say, has at most one digit; of two and more the
+    measure alone decides.
+    """
+    if len(value) < LEAST or " " in value.strip() or not is_unnatural(value, folder) or _PLACEHOLDER.match(value):
         return False
-    digits = sum(c.isdigit() for c in value)
-    unnatural = subword_length(value, folder) < UNNATURAL
-    if _REFERENCE.match(value) and (digits < 3 or not quoted and not unnatural) and not (unnatural and digits):
-        return bool(re.fullmatch(r"[A-Za-z]+[._][A-Za-z]+\d{2,}", value))
-    mixed = not (value.rstrip(".").isalpha() and (value[1:].islower() or value.isupper()))
-    return digits >= 2 or digits == 1 and unnatural or unnatural and len(value) >= 9 and mixed
+    return not _REFERENCE.match(value) or sum(c.isdigit() for c in value) > 1
 
 
 @lru_cache(1 << 12)
@@ -96,32 +104,32 @@ def prefixed_keys(text: str, folder: str = TOKENIZERS) -> list[tuple[int, int]]:
     return found
 
 
-def _lines(text: str, issued: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Bounds of the lines that hold a trigger word or an issued key, in order."""
-    low = text.replace("\u0130", "I").lower()  # the one letter whose lower case is longer
-    starts: dict[int, int] = {}
-    for word in TRIGGERS:
-        at = low.find(word)
-        while at >= 0:
-            end = text.find("\n", at)
-            end = len(text) if end < 0 else end
-            starts[text.rfind("\n", 0, at) + 1] = end
-            at = low.find(word, end)
-    for at, _ in issued:
-        end = text.find("\n", at)
-        starts[text.rfind("\n", 0, at) + 1] = len(text) if end < 0 else end
-    return sorted(starts.items())
+def _lines(text: str, folder: str) -> list[tuple[int, int]]:
+    """Bounds of the lines that hold an unnatural string or the head of a private key, in order."""
+    found: list[tuple[int, int]] = []
+    at = 0
+    while m := _RUN.search(text, at):
+        at = m.end()
+        if m[0].isdigit() or not (is_unnatural(m[0], folder) or m[0].startswith("-----BEGIN")):
+            continue
+        at = text.find("\n", at)
+        at = len(text) if at < 0 else at
+        found.append((text.rfind("\n", 0, m.start()) + 1, at))
+    return found
 
 
 def spans(text: str, folder: str = TOKENIZERS, continued: bool = False) -> list[tuple[int, int]]:
     """Offsets (start, end) of the literal credentials of a text, in order, not overlapping.
 
+    Candidates are the unnatural strings; only their lines are looked at. The context
+    then tells which of them are credentials: the name they are given to, a header, a
+    URL, a flag, the shape of an issued key.
     With ``continued`` the further literals that a credential is joined of come along.
     """
     found: list[tuple[int, int]] = []
     done = -1
     issued = prefixed_keys(text, folder)
-    for begin, end in _lines(text, issued):
+    for begin, end in _lines(text, folder):
         if begin < done:
             continue
         line = text[begin:end]
@@ -140,11 +148,11 @@ def spans(text: str, folder: str = TOKENIZERS, continued: bool = False) -> list[
             own += [m.span(1) for m in _URL.finditer(line) if not _PLACEHOLDER.match(m[1]) and m[1].lower() not in ("password", "pass", "pwd", "secret", "token")]
         own += [m.span(1) for m in _HEADER.finditer(line) if not _PLACEHOLDER.match(m[1]) and any(c.isdigit() for c in m[1]) and subword_length(m[1], folder) < UNNATURAL]
         if " -u" in line or "--user" in line:
-            own += [m.span(1) for m in _USER.finditer(line) if is_literal(m[1], True, folder)]
+            own += [m.span(1) for m in _USER.finditer(line) if is_literal(m[1], folder)]
         for m in _WORDED.finditer(line):
             k = 1 if m[1] else 2
             value = m[k].rstrip("\"',;.*/")
-            if sum(c.isdigit() for c in value) > 1 and is_literal(value, True, folder):
+            if sum(c.isdigit() for c in value) > 1 and is_literal(value, folder):
                 own.append((m.start(k), m.start(k) + len(value)))
         for pattern in (_NAME, _FLAG):
             at = 0
@@ -157,18 +165,18 @@ def spans(text: str, folder: str = TOKENIZERS, continued: bool = False) -> list[
                 if value and value.start("value") > m.end() + 24:
                     value = None
                 if value:
-                    span, quoted = value.span("value"), True
+                    span = value.span("value")
                 else:
                     bare = _BARE.match(line, m.end())
                     if not bare or line[bare.end() : bare.end() + 1] in ("(", "["):
                         continue
-                    span, quoted = bare.span(), False
+                    span = bare.span()
                 raw = line[slice(*span)].rstrip("\\")
                 if m["sep"].strip() == "is" and not any(c.isdigit() for c in raw):
                     continue  # a sentence about credentials
                 if re.match(r"(?i)(?:bearer|basic)\s", raw):
                     continue  # the header rule has it
-                if is_literal(raw, quoted, folder):
+                if is_literal(raw, folder):
                     own.append((span[0], span[0] + len(raw)))
         last = -1
         for a, b in sorted(own):
@@ -192,19 +200,6 @@ def redacted(text: str, folder: str = TOKENIZERS) -> str:
     return "".join(out) + text[at:]
 
 
-def _suspects(chunks: DataFrame, content: str) -> DataFrame:
-    return chunks.where(_suspect(content))
-
-
-def _suspect(content: str) -> Column:
-    """Whether a text holds a trigger word or the body of an issued key."""
-    low = F.lower(content)
-    test = F.col(content).rlike("[_-][A-Za-z0-9+/]{20}")
-    for word in TRIGGERS:
-        test = test | low.contains(word)
-    return test
-
-
 def credential_lines(chunks: DataFrame, chunk_id: str = "chunk_id", content: str = "content", folder: str = TOKENIZERS) -> DataFrame:
     """(chunk_id, line_no) of every line on which a literal credential begins, without repeats.
 
@@ -224,7 +219,7 @@ def credential_lines(chunks: DataFrame, chunk_id: str = "chunk_id", content: str
             last = line
 
     rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(content).alias("content")).where("content IS NOT NULL")
-    return flat_rows(_suspects(rows, "content"), ["chunk_id", "content"], "chunk_id string, line_no int", one).distinct()
+    return flat_rows(rows, ["chunk_id", "content"], "chunk_id string, line_no int", one).distinct()
 
 
 def redact_chunks(chunks: DataFrame, content: str = "content", folder: str = TOKENIZERS) -> DataFrame:
@@ -234,4 +229,4 @@ def redact_chunks(chunks: DataFrame, content: str = "content", folder: str = TOK
     def blank(texts):  # noqa: ANN001, ANN202
         return texts.map(lambda t: redacted(t, folder) if t else t, na_action="ignore")
 
-    return chunks.withColumn(content, F.when(_suspect(content), blank(F.col(content))).otherwise(F.col(content)))
+    return chunks.withColumn(content, blank(F.col(content)))

@@ -197,6 +197,21 @@ def test_redaction_keeps_offsets_and_the_rest():
     assert "KHBZ" not in C.redacted(pem) and C.redacted(pem).startswith("x = 1\n") and C.redacted(pem).endswith("\ny = 2")
 
 
+def test_names_of_other_languages_and_long_ones():
+    for text in ['kennwort: "Zx81kQpL02mVb7"', 'contraseña = "Zx81kQpL02mVb7"', 'pw = "Tr0ub4dor&3xq"', "пароль = 'Zx81kQpL02mVb7'", "密码: Zx81kQpL02mVb7", "x" * 90 + '_password = "Zx81kQpL02mVb7"', 'key = "ab_' + "Zx81kQpL02" * 12 + '"']:
+        assert len(C.spans(text)) == 1, text
+
+
+def test_the_subword_measure_decides(monkeypatch):
+    natural = ['password = "international"', "curl -H 'Authorization: Bearer 882E2ZV49aQ71'", "password: configuration-2", "token = description"]
+    random_ = ['password = "Zx81kQpL02mVb7"', "token = 'qhX7RwzKdPvLtN'"]
+    assert [len(C.spans(t)) for t in natural] == [0, 1, 0, 0] and [len(C.spans(t)) for t in random_] == [1, 1]
+    monkeypatch.setattr(C, "is_unnatural", lambda value, folder=None: True)
+    assert sum(len(C.spans(t)) for t in natural) > 1  # without the measure natural words are taken for secrets
+    monkeypatch.setattr(C, "is_unnatural", lambda value, folder=None: False)
+    assert not any(C.spans(t) for t in natural + random_)  # no other path finds a candidate
+
+
 def test_credential_rows(spark):
     text = "a\n" + SECRETS[0] + "\r\nb\n" + SECRETS[1] + "\n" + SECRETS[4] + " " + SECRETS[0]
     rows = [("1", text, "x")] * 2 + [("2", None, "x"), ("3", "", "x"), (None, SECRETS[2], "x"), ("4", "İ" * 5000 + "key " + "z9" * 90_000 + "\n" + SECRETS[0], "x")]
