@@ -80,10 +80,13 @@ def is_literal(value: str, folder: str = TOKENIZERS) -> bool:
     """Whether a value under a credential's name is a literal one: unnatural, and no placeholder or reference.
 
     A reference, to a variable or file say, has at most one digit; of two and more the
-    measure alone decides.
+    measure alone decides. Letters of one case alone are a word, however rare.
     """
+    bare = value.rstrip(".")
     if len(value) < LEAST or " " in value.strip() or not is_unnatural(value, folder) or _PLACEHOLDER.match(value):
         return False
+    if bare.isalpha() and (bare[1:].islower() or bare.isupper()):
+        return False
     return not _REFERENCE.match(value) or sum(c.isdigit() for c in value) > 1
 
 
