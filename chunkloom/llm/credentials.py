@@ -85,7 +85,7 @@ def is_literal(value: str, folder: str = TOKENIZERS) -> bool:
     bare = value.rstrip(".")
     if len(value) < LEAST or " " in value.strip() or not is_unnatural(value, folder) or _PLACEHOLDER.match(value):
         return False
-    if bare.isalpha() and (bare[1:].islower() or bare.isupper()):
+    if bare.isalpha() and (bare.islower() or bare.isupper()):
         return False
     return not _REFERENCE.match(value) or sum(c.isdigit() for c in value) > 1
 
