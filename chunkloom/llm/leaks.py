@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 Q = 10
 #: Consecutive words that make a leak.
 WORDS = 12
+#: q-grams of a text that are looked up at a time, besides the length of the longest item.
+WINDOW = 1 << 15
 #: Characters of item text that one pass over the documents carries; more items take more passes.
 BLOCK_CHARS = 16_000_000
 
@@ -49,23 +51,27 @@ class Items:
     """The q-grams of a block of items, with the bound each item's regions must meet."""
 
     def __init__(self, items: list[tuple], words: int = WORDS, edits: int = 0, q: int = Q) -> None:
-        self.words, self.edits, self.q = words, edits, q
+        self.words, self.edits = words, edits
         self.ids, self.texts, self.bounds = [], [], []
-        codes, owners, places = [], [], []
+        codes, owners, places, shortest = [], [], [], []
         for key, text in items:
             plain = plain_words(text or "")
             starts = [m.start() for m in re.finditer(" ", plain)]
             if len(starts) <= words:
                 continue
-            shortest = min(b - a for a, b in zip(starts, starts[words:], strict=False)) + 1
+            self.ids.append(key)
+            self.texts.append(plain)
+            shortest.append(min(b - a for a, b in zip(starts, starts[words:], strict=False)) + 1)
+        # Short passages take shorter q-grams, so that the bound of the lemma stays above zero.
+        self.q = q = max(1, min([q, *(m // (edits + 1) for m in shortest)]))
+        for k, plain in enumerate(self.texts):
             own = gram_codes(_points(plain), q)
             codes.append(own)
-            owners.append(np.full(len(own), len(self.ids), np.int64))
+            owners.append(np.full(len(own), k, np.int64))
             places.append(np.arange(len(own), dtype=np.int64))
-            self.ids.append(key)
-            self.texts.append(plain)
             # The lemma: m characters with e edits share at least m + 1 - q (e + 1) q-grams.
-            self.bounds.append(max(1, shortest + 1 - q * (edits + 1)))
+            self.bounds.append(max(1, shortest[k] + 1 - q * (edits + 1)))
+        self.longest = max(map(len, self.texts), default=0)
         flat = np.concatenate(codes) if codes else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.codes = flat[order]
@@ -76,21 +82,31 @@ class Items:
         self.filter[(self.codes >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
     def regions(self, letters: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, least diagonal, greatest diagonal) of the bands that share enough q-grams with a text."""
+        """(item, least diagonal, greatest diagonal) of the bands that share enough q-grams with a text.
+
+        The text is taken in windows that overlap by the longest item, in one of which
+        each region lies whole; so what is held doesn't grow with the text. A region may
+        come more than once.
+        """
         codes = gram_codes(letters, self.q)
+        reach = self.longest + self.edits + 1
+        for start in range(0, max(1, len(codes) - reach), WINDOW):
+            yield from self._regions(codes[start : start + WINDOW + reach], start, len(letters))
+
+    def _regions(self, codes: np.ndarray, start: int, length: int) -> Iterator[tuple[int, int, int]]:
         at = np.flatnonzero(self.filter[(codes >> np.uint64(64 - self.bits)).astype(np.int64)])
         if not len(at):
             return
         low = np.searchsorted(self.codes, codes[at], "left")
         count = np.searchsorted(self.codes, codes[at], "right") - low
-        at, low, count = at[count > 0], low[count > 0], count[count > 0]
+        at, low, count = at[count > 0] + start, low[count > 0], count[count > 0]
         if not len(at):
             return
         pick = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         owner, diagonal = self.owners[pick], np.repeat(at, count) - self.places[pick]
         width = 2 * (self.edits + 1)
-        shift = len(letters) + width  # keeps band numbers positive
-        longest = max(map(len, self.texts)) + width
+        shift = length + width  # keeps band numbers positive
+        longest = self.longest + width
         span = (shift + longest) // width + 2
         for half in (0, width // 2):  # each region of edits + 1 diagonals lies whole in one of the two
             key = owner * span + (diagonal + longest + half) // width
@@ -99,22 +115,52 @@ class Items:
                 least = int(band % span) * width - longest - half
                 yield int(band // span), least, least + width - 1
 
-    def aligned(self, item: int, text: str, low: int, high: int) -> bool:
-        """Whether a run of at least ``words`` words of the item stands in ``text`` near the diagonals low to high.
+    def near(self, item: int, letters: np.ndarray, low: int, high: int) -> bool:
+        """Whether ``words`` consecutive words of the item stand in the text near the diagonals low to high with at most ``edits`` characters put in, left out or changed.
 
-        The alignment is over words, inside the band: a word of the item is set
-        against the words of the text whose start differs by the band's diagonals,
-        give or take the edit budget; the run is broken by any other word.
+        A banded alignment of each such passage of the item: its cells are the
+        characters of the passage times the diagonals of the band, widened by the edits.
         """
         plain = self.texts[item]
+        own = _points(plain)
+        starts = [m.start() for m in re.finditer(" ", plain)]
         slack = self.edits
+        first = low - slack
+        band = np.arange(first, high + slack + 1)
+        far = np.iinfo(np.int32).max // 2
+        for a, b in zip(starts, starts[self.words :], strict=False):
+            cost = np.zeros(len(band), np.int32)
+            for k in range(a, b + 1):
+                at = k + band
+                inside = (at >= 0) & (at < len(letters))
+                equal = np.zeros(len(band), bool)
+                equal[inside] = letters[at[inside]] == own[k]
+                step = cost + np.where(inside, ~equal, far)  # the same or another letter
+                left_out = np.append(cost[1:], far) + 1
+                now = np.minimum(step, left_out)
+                # A letter put in costs one a diagonal: the least of all before, by their distance.
+                cost = np.minimum.accumulate(now - np.arange(len(band))) + np.arange(len(band))
+                if cost.min() > slack:
+                    break
+            else:
+                return True
+        return False
+
+    def aligned(self, item: int, text: str, low: int, high: int) -> bool:
+        """Whether a run of at least ``words`` words of the item stands in ``text`` near the diagonals low to high, letter by letter.
+
+        The alignment without edits, over words: a word of the item is set against the
+        words of the text whose start differs by the band's diagonals; the run is broken
+        by any other word.
+        """
+        plain = self.texts[item]
         row: dict[int, int] = {}
         place = 0
         while place < len(plain) - 1:
             end = plain.index(" ", place + 1)
             word = plain[place : end + 1]
             now: dict[int, int] = {}
-            for start in range(max(0, place + low - slack), place + high + slack + 1):
+            for start in range(max(0, place + low), place + high + 1):
                 if text.startswith(word, start):
                     run = now[start + len(word) - 1] = row.get(start, 0) + 1
                     if run >= self.words:
@@ -128,8 +174,9 @@ class Items:
             return []
         plain = plain_words(text)
         found: set[int] = set()
-        for item, low, high in self.regions(_points(plain)):
-            if item not in found and self.aligned(item, plain, low, high):
+        letters = _points(plain)
+        for item, low, high in self.regions(letters):
+            if item not in found and (self.near(item, letters, low, high) if self.edits else self.aligned(item, plain, low, high)):
                 found.add(item)
         return [self.ids[i] for i in sorted(found)]
 
@@ -147,8 +194,8 @@ def _blocks(items: DataFrame, chars: int) -> Iterator[list[tuple]]:
         yield block
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id): the document holds ``words`` consecutive words of the item, without repeats.
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, block_chars: int = BLOCK_CHARS, edits: int = 0) -> DataFrame:
+    """(doc_id, item_id): the document holds ``words`` consecutive words of the item, with at most ``edits`` characters changed, put in or left out, without repeats.
 
     The item set is the stated query set: it goes to the tasks in blocks of at most
     ``block_chars`` characters and all documents stream past each block, so neither
@@ -165,7 +212,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         sent = context.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            own = Items(sent.value, words)
+            own = Items(sent.value, words, edits)
             for batch in batches:
                 docs, found = [], []
                 for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
