@@ -15,6 +15,8 @@ from .vocab import TOKENIZERS, ranks
 
 #: A form is misread if another form of its skeleton is so many times as frequent, and has at least that count.
 RATIO, LEAST = 8, 12
+#: Where the document itself has another form of the skeleton, that one need only be so many times as frequent; forms of fewer letters are left to the first rule.
+NEAR_RATIO, NEAR_LETTERS = 2, 4
 
 # Glyphs that are taken for one another, as (misread for, skeleton), in the order of application.
 _GLYPHS = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("rn", "m"), ("nn", "m"), ("vv", "w"), ("0", "o"), ("5", "s"), ("8", "b"), ("q", "g"), ("c", "e"), ("1", "l"), ("i", "l"), ("|", "l"), ("!", "l"), ("u", "ll"), ("h", "ll"))
@@ -35,7 +37,7 @@ _TITLE_PAGE = re.compile(
     r"(?ix)^\s*(?:[-–—]\s*\d{1,4}\s*[-–—]\s+(?=\S) | \d{1,4}\s*\n | \[\d{1,4}\]\s+ | (?:page|seite|p\.)\s*\d{1,4}\s*\n | (?-i:[ivxlc]{1,7})(?:\s{2,}|\s*\n)) "
     r"| (?:\.{3,}\s*\d{1,4} | \s{2,}\d{1,4} | \s\[\d{1,4}\] | \s{2,}\d{1,4}\s*/\s*\d{1,4} | \s{2,}[-–—]\s*\d{1,4}\s*[-–—] | \s+[-–—]\s\d{1,4}\s[-–—] | (?:\n|\s{2,})\s*(?:page|seite|p\.)\s*\d{1,4}(?:\s*(?:of|von|/)\s*\d{1,4})? | \n\s*\d{1,4}(?:\s*/\s*\d{1,4})? | \n\s*\[\d{1,4}\] | \n\s*[-–—]\s*\d{1,4}\s*[-–—] | (?:\s{2,}|\n)\s*(?-i:[ivxlc]{1,7}))[\s\f]*$"
 )
-_WORD = re.compile(r"(?<![\w~])[^\W_]{2,24}(?![\w~])")
+_WORD = re.compile(r"(?<![\w~])[^\W_]{2,}+(?![\w~])")
 _ENDED = re.compile(r"[.!?:;…。！？\"”»)\]}>|]\s*$")
 _HEAD_WORD = re.compile(r"[A-ZÀ-ÞА-Я0-9][\w.&/-]*$")
 
@@ -58,6 +60,30 @@ def skeleton(form: Column) -> Column:
     return out
 
 
+@lru_cache(1 << 17)
+def _skeleton(form: str) -> str:
+    """``skeleton`` of one lower-case form."""
+    for a, b in _GLYPHS:
+        form = form.replace(a, b)
+    return form
+
+
+def near_forms(parts: list[set[str]], known: frozenset[str]) -> dict[str, str]:
+    """For each form of a document that isn't in the vocabulary the other form of its skeleton that most parts hold, of equal ones the greatest."""
+    held = Counter(w for own in parts for w in own if len(w) >= NEAR_LETTERS)
+    groups: dict[str, list[str]] = {}
+    for w in held:
+        groups.setdefault(_skeleton(w), []).append(w)
+    out = {}
+    for group in groups.values():
+        if len(group) > 1:
+            for w in group:
+                others = [(held[g], g) for g in group if g != w and g.isalpha()]
+                if w not in known and others:
+                    out[w] = max(others)[1]
+    return out
+
+
 def is_page_number(line: str) -> bool:
     """Whether a line is nothing but a page number."""
     if len(line) > 40:
@@ -121,7 +147,7 @@ def _cuts(text: str) -> Iterator[re.Match[str]]:
         return
     for m in _CUT.finditer(text):
         at = m.end()
-        while at < len(text) and at - m.end() < 400:  # past noise lines and blank ones
+        while at < len(text):  # past noise lines and blank ones
             end = text.find("\n", at)
             line = text[at : len(text) if end < 0 else end]
             if line.strip() and not is_page_number(line) and not _head_shaped(line.rstrip("\r\f")):
@@ -149,11 +175,11 @@ def _texts(outputs: DataFrame, output_id: str) -> DataFrame:
     )
 
 
-def _scan(outputs: DataFrame, output_id: str, folder: str) -> DataFrame:
-    """(output_id, part_kind, part_pos, fault, forms): rule faults and suspected forms of each part; forms counted with a null id."""
+def _scan(outputs: DataFrame, output_id: str, folder: str, every: bool = False) -> DataFrame:
+    """(output_id, part_kind, part_pos, fault, form, n): rule faults and suspected forms of each part, with ``every`` of those with a fault as well; counts of forms without a part."""
     rows = _texts(outputs, output_id)
     kind = rows.schema["output_id"].dataType.simpleString()
-    schema = f"output_id {kind}, part_kind string, part_pos int, fault boolean, form string, n bigint"
+    schema = f"output_id {kind}, part_kind string, part_pos int, fault boolean, form string, n bigint, near string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = plain_words(folder=folder)
@@ -162,20 +188,22 @@ def _scan(outputs: DataFrame, output_id: str, folder: str) -> DataFrame:
             counts: Counter[str] = Counter()
             for key, title, contents in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 repeated = repeated_heads(contents)
-                for part, pos, text in [("title", 0, title), *(("section", k, c) for k, c in enumerate(contents))]:
+                texts = [("title", 0, title), *(("section", k, c) for k, c in enumerate(contents))]
+                forms = [words(text) if text else set() for _, _, text in texts]
+                near = near_forms(forms, known)
+                for (part, pos, text), own in zip(texts, forms, strict=True):
                     if not text:
                         continue
-                    own = words(text)
                     counts.update(own)
                     fault = has_broken_word(text) or (bool(_TITLE_PAGE.search(text)) if part == "title" else bool(noise_lines(text, repeated)))
                     if fault:
-                        rows.append((key, part, pos, True, None, None))
-                    else:
-                        rows.extend((key, part, pos, False, w, None) for w in own if w not in known and len(w) > 2)
-            rows.extend((None, None, None, None, w, n) for w, n in counts.items())
+                        rows.append((key, part, pos, True, None, None, None))
+                    if every or not fault:
+                        rows.extend((key, part, pos, fault, w, None, near.get(w)) for w in own if w not in known and len(w) > 2)
+            rows.extend((None, None, None, None, w, n, None) for w, n in counts.items())
             for at in range(0, len(rows), 8192):
                 columns = list(zip(*rows[at : at + 8192], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.int64()), strict=True)], names=["output_id", "part_kind", "part_pos", "fault", "form", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["output_id", "part_kind", "part_pos", "fault", "form", "n", "near"])
 
     return rows.mapInArrow(run, schema)
 
@@ -194,12 +222,21 @@ def misread_forms(counts: DataFrame) -> DataFrame:
     return both.select("form", F.col("top.form").alias("better"))
 
 
+def misread_near(scanned: DataFrame) -> DataFrame:
+    """Rows of ``_scan`` whose form is a misreading of the ``near`` form of its document, by the counts of both in all documents; with ``better``."""
+    counts = scanned.where("part_kind IS NULL").groupBy("form").agg(F.sum("n").alias("count"))
+    rows = scanned.where("near IS NOT NULL").drop("n").join(counts, "form")
+    other = counts.select(F.col("form").alias("near"), F.col("count").alias("near_count"))
+    return rows.join(other, "near").where(F.col("count") * NEAR_RATIO <= F.col("near_count")).withColumn("better", F.col("near"))
+
+
 def faulty_parts(outputs: DataFrame, output_id: str = "output_id", folder: str = TOKENIZERS) -> DataFrame:
     """(output_id, part_kind, part_pos) of the titles and sections with a fault of scanning, without repeats.
 
     One pass finds what rules can tell inside a document and counts the forms of
     all documents; forms outside the public vocabulary are looked up by a join with
-    the misread ones. Null or empty titles, sections and contents give nothing;
+    the misread ones. A form is misread if another one of its skeleton is far more
+    frequent in all documents, or more frequent and used in the same document. Null or empty titles, sections and contents give nothing;
     repeated rows count once in the result.
     """
     from ..session import cut
@@ -209,22 +246,24 @@ def faulty_parts(outputs: DataFrame, output_id: str = "output_id", folder: str =
     wrong = misread_forms(counts).select("form")
     suspects = scanned.where("part_kind IS NOT NULL AND NOT fault").select("output_id", "part_kind", "part_pos", "form")
     by_word = suspects.join(wrong, "form", "left_semi").select("output_id", "part_kind", "part_pos")
-    by_rule = scanned.where("fault").select("output_id", "part_kind", "part_pos")
-    return by_rule.unionByName(by_word).distinct()
+    by_near = misread_near(scanned).where("NOT fault").select("output_id", "part_kind", "part_pos")
+    by_rule = scanned.where("fault AND form IS NULL").select("output_id", "part_kind", "part_pos")
+    return by_rule.unionByName(by_word).unionByName(by_near).distinct()
 
 
 def repaired_parts(outputs: DataFrame, output_id: str = "output_id", folder: str = TOKENIZERS) -> DataFrame:
     """(output_id, part_kind, part_pos, text): every title and section as continuous paragraphs.
 
-    Noise lines fall away in one map, which also joins cut words and mends torn
-    ones. Lines then become rows; a window over the part tells where a paragraph
-    begins (after a blank line, at list items and code), and the lines of a paragraph
-    are joined. Misread forms are replaced where the corpus has a better one: forms
-    are looked up by a join, not in a broadcast table.
+    Noise lines fall away in one map, which also joins cut words and mends torn ones.
+    The misread forms of a part are found on the narrow table of forms and come back
+    as a small map beside its text, which is shuffled once. Lines then become rows; a
+    window over the part tells where a paragraph begins (after a blank line, at list
+    items and headings) and what is code, and the lines of a paragraph are joined. Code,
+    between fences or indented by four blanks, keeps its lines as they are.
     """
     from ..session import cut
 
-    rows = _texts(outputs, output_id).distinct()
+    rows = _texts(outputs, output_id)
     kind = rows.schema["output_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,25 +278,49 @@ def repaired_parts(outputs: DataFrame, output_id: str = "output_id", folder: str
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 1024], strict=True), (batch.schema.field(0).type, pa.string(), pa.int32(), pa.string()), strict=True)], names=["output_id", "part_kind", "part_pos", "text"])
 
     part = ["output_id", "part_kind", "part_pos"]
-    texts = rows.mapInArrow(run, f"output_id {kind}, part_kind string, part_pos int, text string")
-    lines = texts.select(*part, F.posexplode(F.split("text", r"\r?\n")).alias("line", "text"))
+    scanned = cut(_scan(outputs, output_id, folder, every=True))
+    wrong = misread_forms(scanned.where("part_kind IS NULL").select("form", "n"))
+    fixes = scanned.where("form IS NOT NULL AND part_kind IS NOT NULL").select(*part, "form").join(wrong, "form")
+    fixes = fixes.select(*part, "form", "better").unionByName(misread_near(scanned).select(*part, "form", "better"))
+    fixes = fixes.groupBy(*part, "form").agg(F.min("better").alias("better")).groupBy(*part).agg(F.map_from_entries(F.collect_list(F.struct("form", "better"))).alias("fixes"))
+    texts = rows.mapInArrow(run, f"output_id {kind}, part_kind string, part_pos int, text string").groupBy(*part).agg(F.min("text").alias("text"))
+    of_part = texts.output_id.eqNullSafe(fixes.output_id) & (texts.part_kind == fixes.part_kind) & (texts.part_pos == fixes.part_pos)
+    texts = texts.join(fixes, of_part, "left").select(*[texts[c] for c in part], "text", "fixes")
+    lines = texts.select(*part, "fixes", F.posexplode(F.split("text", r"\r?\n")).alias("line", "text"))
     own = Window.partitionBy(*part).orderBy("line")
+    fence = F.col("text").rlike(r"^\s*(?:```|~~~)")
+    lines = lines.withColumn("fences", F.coalesce(F.count_if(fence).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    lines = lines.withColumn("code", fence | (F.col("fences") % 2 == 1) | F.col("text").rlike(r"^(?: {4}|\t)"))
     before = F.lag("text").over(own)
-    starts = before.isNull() | (F.trim("text") == "") | (F.trim(before) == "") | F.col("text").rlike(r"^\s*(?:[-*+#>|]|\d+[.)]\s|```|~~~|    )") | before.rlike(r"^\s*(?:```|~~~|#)")
+    starts = before.isNull() | F.col("code") | F.lag("code").over(own) | (F.trim("text") == "") | (F.trim(before) == "") | F.col("text").rlike(r"^\s*(?:[-*+#>|]|\d+[.)]\s)") | before.rlike(r"^\s*#")
     lines = lines.withColumn("paragraph", F.sum(starts.cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    wrong = cut(misread_forms(_scan(outputs, output_id, folder).where("part_kind IS NULL").select("form", "n")))
-    tokens = lines.select(*part, "line", "paragraph", F.posexplode(F.split("text", r"(?<=\s)|(?=\s)|(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])|(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])")).alias("at", "token"))
-    mended_tokens = tokens.join(wrong, F.lower("token") == F.col("form"), "left")
-    upper = F.substring("token", 1, 1) == F.upper(F.substring("token", 1, 1))
-    token = F.when(F.col("better").isNull(), F.col("token")).when(upper, F.initcap("better")).otherwise(F.col("better"))
-    joined = mended_tokens.groupBy(*part, "paragraph", "line").agg(F.array_sort(F.collect_list(F.struct("at", token.alias("token")))).alias("tokens"))
-    joined = joined.select(*part, "paragraph", "line", F.trim(F.array_join("tokens.token", "")).alias("text"))
-    joined = joined.groupBy(*part, "paragraph").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("rows")).select(*part, "paragraph", F.array_join("rows.text", " ").alias("text"))
+    tokens = F.split("text", r"(?<=\s)|(?=\s)|(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])|(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])")
+
+    def right(token: Column) -> Column:
+        better = F.element_at("fixes", F.lower(token))
+        upper = F.substring(token, 1, 1) != F.lower(F.substring(token, 1, 1))
+        return F.when(better.isNull(), token).when(upper, F.initcap(better)).otherwise(better)
+
+    text = F.when(F.col("code"), F.col("text")).when(F.col("fixes").isNull(), F.trim("text")).otherwise(F.trim(F.array_join(F.transform(tokens, right), "")))
+    joined = lines.groupBy(*part, "paragraph").agg(F.array_sort(F.collect_list(F.struct("line", text.alias("text")))).alias("rows")).select(*part, "paragraph", F.array_join("rows.text", " ").alias("text"))
     return joined.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct("paragraph", "text"))).alias("rows")).select(*part, F.array_join("rows.text", "\n").alias("text"))
 
 
+_FENCED = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
+
+
 def mended(text: str, title: bool = False, repeated: frozenset[str] = frozenset()) -> str:
-    """The text without noise lines, with cut and torn words whole again; line breaks elsewhere stay."""
+    """The text without noise lines, with cut and torn words whole again; line breaks elsewhere and fenced code stay."""
+    if "```" in text or "~~~" in text:
+        out, at = [], 0
+        for m in _FENCED.finditer(text):
+            out += [mended(text[at : m.start()], title, repeated), m[0]]
+            at = m.end()
+        return "".join([*out, mended(text[at:], title, repeated)]) if out else _mended(text, title, repeated)
+    return _mended(text, title, repeated)
+
+
+def _mended(text: str, title: bool, repeated: frozenset[str]) -> str:
     if title:
         text = _TITLE_PAGE.sub("", text)
     else:

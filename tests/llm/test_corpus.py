@@ -46,6 +46,23 @@ def test_repair(spark):
     assert got[(50, "title")] == "Tables" and got[(3, "section")] == CLEAN and not any(k[0] == 51 for k in got)
 
 
+def test_the_document_supports_a_rare_form(spark):
+    word = lambda t: sections(f"Notes on the {t} line of the yard.", f"The Harbourmoor line again.")
+    rows = [(k, None, sections(f"A plain Harbourmoor text {k}."), "c") for k in range(3)] + [(50, None, word("Harb0urmoor"), "c"), (51, None, sections("Notes on the Harb0urmoor line of the yard."), "c")]
+    frame = spark.createDataFrame(rows, OUTPUTS)
+    assert [tuple(r) for r in S.faulty_parts(frame).collect()] == [(50, "section", 0)]  # too rare to tell without its document
+    got = {(r.output_id, r.part_pos): r.text for r in S.repaired_parts(frame).collect()}
+    assert got[(50, 0)] == "Notes on the Harbourmoor line of the yard." and "Harb0urmoor" in got[(51, 0)]
+
+
+def test_repair_keeps_code(spark):
+    code = "```py\ndef f(x):\n  if x-\n  y:\n\n    return 1\n  return 2\n12\n```"
+    text = f"The mani-\nfest was\nmerged:\n\n{code}\n\nand then\nrestored.\n\n    indented  code\n    a = snapsh0t\n\nThe snapsh0t\nagain."
+    rows = [(k, "T", sections(CLEAN), "c") for k in range(20)] + [(60, None, sections(text), "c")] * 2
+    got = {(r.output_id, r.part_kind): r.text for r in S.repaired_parts(spark.createDataFrame(rows, OUTPUTS)).collect()}
+    assert got[(60, "section")] == f"The manifest was merged:\n\n{code}\n\nand then restored.\n\n    indented  code\n    a = snapsh0t\n\nThe snapshot again."
+
+
 FILES = "source_id string, filename string, file_type string, size_bytes int, line_count int, processed_at timestamp, kind string"
 CHUNKS = "source_id string, filename string, content string, start_line int, metadata map<string,string>"
 BODY = "def load(rows):\n    total = 0\n    for r in rows:\n        total += r.size\n    return total\n"
@@ -120,6 +137,46 @@ def test_leaks_against_brute_force(spark):
     assert L.leaks(D, I_.limit(0)).count() == 0 and L.leaks(D.limit(0), I_).count() == 0
 
 
+def distance_within(passage, text):
+    """Least edit distance of the passage and any part of the text."""
+    row = [0] * (len(text) + 1)
+    for k, c in enumerate(passage):
+        now = [k + 1]
+        for j, d in enumerate(text):
+            now.append(min(row[j] + (c != d), row[j + 1] + 1, now[j] + 1))
+        row = now
+    return min(row)
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_leaks_with_edits_against_brute_force(spark, edits):
+    r = random.Random(40 + edits)
+    vocabulary = ["a", "to", "ünder", "漢字", "mill", "seven", "42", "glazier"]
+    say = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(k, say(r.choice([12, 13, 16]))) for k in range(8)]
+    docs = []
+    for d in range(60):
+        inside = list(" ".join(r.choice(items)[1].split()[:13]))
+        for _ in range(r.randrange(0, 5)):
+            at = r.randrange(len(inside))
+            inside[at : at + r.choice([0, 1])] = r.choice(["", "x", "q"])
+        docs.append((d, f"{say(r.randrange(6))} {''.join(inside)} {say(r.randrange(6))}"))
+    passages = {k: [" " + " ".join(t.split()[a : a + 12]) + " " for a in range(len(t.split()) - 11)] for k, t in items}
+    want = {(d, k) for d, t in docs for k, own in passages.items() if min(distance_within(p, L.plain_words(t)) for p in own) <= edits}
+    got = L.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), edits=edits)
+    assert {tuple(x) for x in got.collect()} == want and want
+
+
+def test_regions_in_windows(monkeypatch):
+    r = random.Random(5)
+    say = lambda n: " ".join("".join(r.choice("abcdefg") for _ in range(r.randrange(1, 8))) for _ in range(n))
+    items = [(k, say(30)) for k in range(5)]
+    text = " ".join(say(r.randrange(100)) + " " + items[k % 5][1] for k in (3, 1, 4, 3))
+    whole = L.Items(items).leaked(text)
+    monkeypatch.setattr(L, "WINDOW", 16)
+    assert L.Items(items).leaked(text) == whole == [1, 3, 4]
+
+
 def test_canonical_forms():
     plain = "The café clock, fi 10 №? Aport\n"
     same = ["Ｔhe café clock, fi 10 №? Aport\n", "The café сlосk, fi 10 №? Aport\n", "The c\u200bafé\u00a0clock, ﬁ 10 №? \u0391port\n", "The\u2009cafe\u0301 clo\u00adck,\u3000fi 10 №? Αpοrt\n", "Τhe café clock, fi 10 №? Aport\ufeff\n"]
