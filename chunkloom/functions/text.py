@@ -10,6 +10,10 @@ NAMESPACE_URL = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 NAMESPACE_OID = "6ba7b812-9dad-11d1-80b4-00c04fd430c8"
 
 
+# White space in Unicode's sense.
+BLANKS = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def utrim(text: Column) -> Column:
     """Without the white space, in Unicode's sense, at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

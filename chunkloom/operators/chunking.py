@@ -2,74 +2,99 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import byte_offset, utrim, uwords
+from ..functions.text import BLANKS, byte_offset, utrim
 
 #: Bytes of a hybrid chunk and of its overlap, of a section chunk, of a full-document chunk.
 MAX_CHUNK, OVERLAP, MAX_SECTION, MAX_DOCUMENT = 1500, 200, 3000, 100_000
 
-_TOKEN = "array<struct<s:string,k:string>>"
-
+_BLANKS = re.compile(f"[{BLANKS}]+")
 
-def _tok(text: Column, kind: str) -> Column:
-    return F.struct(text.alias("s"), F.lit(kind).alias("k"))
 
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
 
-def _tokens(text: Column, limit: int) -> Column:
-    """Pieces of a text in order: 'p' may be joined, 'c' closes the chunk before an overlong piece, 'h' is a chunk of its own."""
-    none = F.array().cast(_TOKEN)
-
-    def words(piece: Column) -> Column:
-        blocks = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / limit).cast("int")), lambda i: _tok(F.substring(w, i * limit + 1, F.lit(limit)), "h"))
-        return F.flatten(F.transform(uwords(piece), lambda w: F.when(F.octet_length(w) > limit, blocks(w)).otherwise(F.array(_tok(F.concat(w, F.lit(" ")), "p")))))
 
-    def piece(s: Column) -> Column:
-        return F.when(F.octet_length(s) > limit, F.concat(F.array(_tok(F.lit(""), "c")), words(s))).otherwise(F.array(_tok(s, "p")))
+def _words(text: str) -> list[str]:
+    return [w for w in _BLANKS.split(text) if w]
 
-    def paragraph(p: Column) -> Column:
-        cut = F.split(p, r"\. ")
-        sentences = F.transform(cut, lambda s, i: F.when(i < F.size(cut) - 1, F.concat(s, F.lit(". "))).otherwise(s))
-        whole = F.array(F.concat(p, F.lit("\n\n")))
-        return F.flatten(F.transform(F.when((F.octet_length(p) > limit) & (F.size(cut) > 1), sentences).otherwise(whole), piece))
 
-    paragraphs = F.filter(F.transform(F.split(text, "\n\n"), utrim), lambda p: p != "")
-    return F.coalesce(F.flatten(F.transform(paragraphs, paragraph)), none)
-
-
-def _tail(current: Column, overlap: int) -> Column:
+def _tokens(text: str, limit: int) -> Iterator[tuple[str, str]]:
+    """Pieces of a text in order: 'p' may be joined, 'c' closes the chunk before an overlong piece, 'h' is a chunk of its own."""
+    for paragraph in text.split("\n\n"):
+        paragraph = paragraph.strip(BLANKS)
+        if not paragraph:
+            continue
+        sentences = paragraph.split(". ") if _size(paragraph) > limit else [paragraph]
+        pieces = [f"{s}. " for s in sentences[:-1]] + sentences[-1:] if len(sentences) > 1 else [f"{paragraph}\n\n"]
+        for piece in pieces:
+            if _size(piece) <= limit:
+                yield piece, "p"
+                continue
+            yield "", "c"
+            for word in _words(piece):
+                if _size(word) <= limit:
+                    yield f"{word} ", "p"
+                else:
+                    yield from ((word[at : at + limit], "h") for at in range(0, len(word), limit))
+
+
+def _tail(current: str, overlap: int) -> str:
     """The last words of a chunk that fit the overlap, a blank behind each; nothing of a chunk no longer than it."""
-    last = F.slice(F.reverse(uwords(current)), 1, overlap)
-    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(True).alias("open"))
-
-    def take(a: Column, w: Column) -> Column:
-        more = a["n"] + F.octet_length(w) + 1
-        fits = a["open"] & (more <= overlap)
-        return F.struct(F.when(fits, F.concat(w, F.lit(" "), a["t"])).otherwise(a["t"]).alias("t"), F.when(fits, more).otherwise(a["n"]).alias("n"), fits.alias("open"))
-
-    return F.when(F.octet_length(current) > overlap, F.aggregate(last, start, take)["t"]).otherwise("")
+    if _size(current) <= overlap:
+        return ""
+    last, left = [], overlap
+    for word in reversed(_words(current[-4 * overlap - 4 :] if overlap else "")):
+        left -= _size(word) + 1
+        if left < 0:
+            break
+        last.append(f"{word} ")
+    return "".join(reversed(last))
+
+
+def pack(text: str, limit: int = MAX_CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """The chunks of a text over ``limit`` bytes: one pass over its pieces, whose sizes are added up."""
+    out: list[str] = []
+    held: list[str] = []
+    size = 0
+    for piece, kind in _tokens(text, limit):
+        more = _size(piece)
+        if size and (kind != "p" or size + more > limit):
+            current = "".join(held)
+            out.append(current.strip(BLANKS))
+            rest = _tail(current, overlap)
+            held, size = [rest], _size(rest)
+        if kind == "h":
+            out.append(piece)
+            held, size = [], 0
+        else:
+            held.append(piece)
+            size += more
+    last = "".join(held).strip(BLANKS)
+    return [*out, last] if last else out
 
 
 def packed(text: Column, limit: int = MAX_CHUNK, overlap: int = OVERLAP) -> Column:
     """array<string>: paragraphs, sentences and words packed up to ``limit`` bytes, each chunk led by the last words of the one before.
 
-    A text within the limit is its own single chunk. A chunk may exceed the limit by
-    the overlap; a word over the limit is cut into blocks of that many characters.
+    A text within the limit is its own single chunk and stays in the JVM. A chunk may
+    exceed the limit by the overlap; a word over the limit is cut into blocks of that
+    many characters. Long texts go through Python in Arrow batches, as a fold of
+    strings in the JVM takes time that grows with the square of a text.
     """
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
 
-    def add(a: Column, t: Column) -> Column:
-        full = (a["cur"] != "") & ((t["k"] != "p") | (F.octet_length(a["cur"]) + F.octet_length(t["s"]) > limit))
-        out = F.when(full, F.array_append(a["out"], utrim(a["cur"]))).otherwise(a["out"])
-        rest = F.when(full, _tail(a["cur"], overlap)).otherwise(a["cur"])
-        hard = t["k"] == "h"
-        return F.struct(F.when(hard, F.array_append(out, t["s"])).otherwise(out).alias("out"), F.when(hard, "").otherwise(F.concat(rest, t["s"])).alias("cur"))
-
-    def close(a: Column) -> Column:
-        return F.when(utrim(a["cur"]) != "", F.array_append(a["out"], utrim(a["cur"]))).otherwise(a["out"])
+    @F.pandas_udf("array<string>")
+    def packs(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: pack(t, limit, overlap), na_action="ignore")
 
-    return F.when(F.octet_length(text) <= limit, F.array(text)).otherwise(F.aggregate(_tokens(text, limit), start, add, close))
+    long = F.octet_length(text) > limit
+    return F.when(long, packs(F.when(long, text))).otherwise(F.when(text.isNotNull(), F.array(text)))
 
 
 def packed_json(text: Column, limit: int = MAX_CHUNK) -> Column:
@@ -134,8 +159,9 @@ def hybrid_chunks(files: DataFrame, key: list[str], text: str = "text", limit: i
     """
     content = F.col(text)
     json_like = (F.octet_length(content) > limit) & utrim(content).rlike(r"^[\[{]")
-    pieces = F.when(json_like, F.coalesce(packed_json(content, limit), packed(content, limit, overlap))).otherwise(packed(content, limit, overlap))
-    rows = files.where(content.isNotNull()).select(*key, content.alias("_text"), F.posexplode(pieces).alias("ordinal", "content"))
+    rows = files.where(content.isNotNull()).select(*key, content.alias("_text"), F.when(json_like, packed_json(content, limit)).alias("_json"))
+    other = packed(F.when(F.col("_json").isNull(), F.col("_text")), limit, overlap)
+    rows = rows.select(*key, "_text", F.posexplode(F.coalesce("_json", other)).alias("ordinal", "content"))
     start = byte_offset(F.col("_text"), F.col("content"))
     return rows.select(*key, "ordinal", "content", start.alias("start"), (start + F.octet_length("content")).alias("end"))
 

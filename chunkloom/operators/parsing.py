@@ -1,30 +1,93 @@
-"""Markdown to sections and tables, with windows over lines."""
+"""Markdown to sections and tables, text by text."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import table_likely, utrim, uwords
+from ..functions.text import BLANKS, table_likely, uwords
 
 #: The line that announces a table.
 TABLE_MARK = "<!-- TABLE -->"
 
 
-def _lines(texts: DataFrame, key: list[str], text: str) -> DataFrame:
-    rows = texts.where(F.col(text).isNotNull()).select(*key, F.posexplode(F.split(text, r"\r?\n")).alias("n", "raw"))
-    rows = rows.withColumn("line", utrim(F.col("raw")))
-    own = Window.partitionBy(*key).orderBy("n")
-    upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.col("line") == TABLE_MARK
-    rows = rows.withColumn("tables", F.count_if(mark).over(upto))
-    row = F.col("line").startswith("|") | F.col("line").startswith("---")
-    caption = F.col("line").startswith("Caption:")
-    inner = Window.partitionBy(*key, "tables").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    broken = F.count_if(~(mark | row | caption)).over(inner)
-    kind = F.when(mark, "mark").when((F.col("tables") > 0) & (broken == 0), F.when(caption, "caption").otherwise("row")).when(F.col("line").startswith("#"), "heading").otherwise("text")
-    rows = rows.withColumn("kind", kind)
-    return rows.withColumn("block", F.count_if(F.col("kind").isin("mark", "heading")).over(upto)).withColumn("heads", F.count_if(F.col("kind") == "heading").over(upto))
+_NEW_LINE = re.compile(r"\r?\n")
+
+
+def _kinds(text: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, line without outer blanks, line) of every line: mark, caption or row of an announced table, heading or text."""
+    in_table = False
+    for raw in _NEW_LINE.split(text):
+        line = raw.strip(BLANKS)
+        if line == TABLE_MARK:
+            in_table = True
+            yield "mark", line, raw
+            continue
+        caption = line.startswith("Caption:")
+        in_table = in_table and (caption or line.startswith("|") or line.startswith("---"))
+        yield ("caption" if caption else "row") if in_table else "heading" if line.startswith("#") else "text", line, raw
+
+
+def sections_of(text: str) -> list[tuple[str, int, str]]:
+    """(heading, level, content) of the sections of a Markdown text."""
+    found: list[tuple[str, int, str]] = []
+    heading, level, held = "", 1, []
+
+    def close() -> None:
+        content = "\n\n".join(held).strip(BLANKS)
+        if content:
+            found.append((heading, level, content))
+        held.clear()
+
+    for kind, line, _ in _kinds(text):
+        if kind == "text":
+            held.append(line)
+        elif kind in ("mark", "heading"):
+            close()
+            if kind == "heading":
+                bare = line.lstrip("#")
+                heading, level = bare.strip(BLANKS), min(6, len(line) - len(bare))
+    close()
+    whole = text.strip(BLANKS)
+    return found or ([("", 1, whole)] if whole else [])
+
+
+def tables_of(text: str) -> list[tuple[str, str]]:
+    """(caption, markdown) of the announced tables of a text that have rows."""
+    found: list[tuple[str, list[str]]] = []
+    for kind, line, raw in _kinds(text):
+        if kind == "mark":
+            found.append(("", []))
+        elif kind == "caption":
+            found[-1] = (re.sub("^(?:Caption:)+", "", line).strip(BLANKS), found[-1][1])
+        elif kind == "row":
+            found[-1][1].append(raw)
+    return [(caption, "\n".join(rows)) for caption, rows in found if rows]
+
+
+def _mapped(texts: DataFrame, key: list[str], text: str, parse: Callable[[str], list[tuple]], fields: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+    """(key..., pos, fields...): what ``parse`` makes of each text, a map in which texts and keys stay in their row; null texts give nothing."""
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("_text"), *key)
+    names = [*key, "pos", *[n for n, *_ in fields]]
+    schema = ", ".join([f"`{k}` {dict(rows.dtypes)[k]}" for k in key] + ["pos int"] + [f"{n} {t}" for n, _, t in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, pos, values = [], [], []
+            for k, value in enumerate(batch.column(0).to_pylist()):
+                made = parse(value)
+                at += [k] * len(made)
+                pos += range(len(made))
+                values += made
+            keys = [batch.column(1 + k).take(pa.array(at, pa.int32())) for k in range(len(key))]
+            columns = [pa.array([v[k] for v in values], t) for k, (_, t, _) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(pos, pa.int32()), *columns], names=names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def markdown_sections(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -34,25 +97,12 @@ def markdown_sections(texts: DataFrame, key: list[str], text: str = "text") -> D
     empty one. Lines are trimmed and joined by blank lines. A text that gives no
     section at all is one section, a blank one gives none.
     """
-    rows = _lines(texts, key, text)
-    lines = F.array_sort(F.collect_list(F.struct("n", "line")))
-    bodies = rows.where("kind = 'text'").groupBy(*key, "heads", "block").agg(utrim(F.array_join(lines["line"], "\n\n")).alias("content")).where("content <> ''")
-    heads = rows.where("kind = 'heading'").select(
-        *key, "heads", utrim(F.regexp_replace("line", "^#+", "")).alias("heading"), F.least(F.lit(6), F.length(F.regexp_extract("line", "^#+", 0))).alias("level")
-    )
-    named = bodies.join(heads, [*key, "heads"], "left").select(*key, "block", F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("level", F.lit(1)).alias("level"), "content")
-    bare = texts.where(F.col(text).isNotNull()).select(*key, utrim(F.col(text)).alias("content")).where("content <> ''").join(named.select(*key).distinct(), key, "left_anti")
-    every = named.unionByName(bare.select(*key, F.lit(0).cast("bigint").alias("block"), F.lit("").alias("heading"), F.lit(1).alias("level"), "content"))
-    return every.withColumn("pos", F.row_number().over(Window.partitionBy(*key).orderBy("block")) - 1).select(*key, "pos", "heading", "level", "content")
+    return _mapped(texts, key, text, sections_of, [("heading", pa.string(), "string"), ("level", pa.int32(), "int"), ("content", pa.string(), "string")])
 
 
 def markdown_tables(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """(key..., pos, caption, markdown): one row per announced table with rows; the last caption line before the rows end holds."""
-    rows = _lines(texts, key, text).where("kind IN ('caption', 'row')")
-    lines = F.array_sort(F.collect_list(F.when(F.col("kind") == "row", F.struct("n", "raw"))))
-    caption = F.max_by(F.when(F.col("kind") == "caption", utrim(F.regexp_replace("line", "^(?:Caption:)+", ""))), F.when(F.col("kind") == "caption", F.col("n")))
-    found = rows.groupBy(*key, "tables").agg(F.coalesce(caption, F.lit("")).alias("caption"), lines.alias("rows")).where(F.size("rows") > 0)
-    return found.select(*key, (F.row_number().over(Window.partitionBy(*key).orderBy("tables")) - 1).alias("pos"), "caption", F.array_join(F.col("rows.raw"), "\n").alias("markdown"))
+    return _mapped(texts, key, text, tables_of, [("caption", pa.string(), "string"), ("markdown", pa.string(), "string")])
 
 
 def sufficient(outputs: DataFrame, key: list[str]) -> DataFrame:
