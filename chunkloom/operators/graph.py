@@ -168,33 +168,33 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, group: str = "source_id", ke
     return nodes.select(group, key).distinct().join(out, key, "left").groupBy(group).agg(F.count("*").alias("chunk_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("relationship_count"))
 
 
-def shortest_path(edges: DataFrame, start: object, goal: object, max_steps: int = 200) -> DataFrame:
+def shortest_path(edges: DataFrame, start: object, goal: object, max_steps: int | None = None) -> DataFrame:
     """(step, node) of a shortest path over undirected edges; of several parents the least is taken; no rows if there is none.
 
-    One join of the frontier per step; reached nodes are kept as written tables,
-    the driver sees only whether the goal was reached.
+    One join of the frontier per step. Each step is a table of its own, written once;
+    the driver sees only whether the goal was reached, and the path at the end. With
+    ``max_steps`` a longer path is an error.
     """
     both = cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).where("a <> b").distinct())
     spark = edges.sparkSession
     kind = dict(both.dtypes)["a"]
-    schema = f"node {kind}, parent {kind}, step int"
-    seen = spark.createDataFrame([(start, None, 0)], schema)
-    step = 0
-    while seen.where(F.col("node") == F.lit(goal)).isEmpty():
-        step += 1
-        frontier = seen.where(F.col("step") == step - 1).select(F.col("node").alias("a"))
-        found = both.join(frontier, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")).join(seen.select("node"), "node", "left_anti")
-        fresh = cut(found.select("node", "parent", F.lit(step).alias("step")))
+    steps = [spark.createDataFrame([(start, None)], f"node {kind}, parent {kind}")]
+    while steps[-1].where(F.col("node") == F.lit(goal)).isEmpty():
+        if max_steps is not None and len(steps) > max_steps:
+            raise RuntimeError(f"shortest_path: more than {max_steps} steps")
+        found = both.join(steps[-1].select(F.col("node").alias("a")), "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        # A node next to the frontier was reached in the two steps before, if it was reached at all.
+        for before in steps[-2:]:
+            found = found.join(before.select("node"), "node", "left_anti")
+        fresh = cut(found)
         if fresh.isEmpty():
             return spark.createDataFrame([], f"step int, node {kind}")
-        if step >= max_steps:
-            raise RuntimeError(f"shortest_path: more than {max_steps} steps")
-        seen = cut(seen.unionByName(fresh))
+        steps.append(fresh)
     path, at = [], goal
-    for k in range(step, -1, -1):
+    for k in range(len(steps) - 1, -1, -1):
         path.append((k, at))
         if k:
-            at = seen.where(F.col("node") == F.lit(at)).first()["parent"]
+            at = steps[k].where(F.col("node") == F.lit(at)).first()["parent"]
     return spark.createDataFrame(path, f"step int, node {kind}")
 
 

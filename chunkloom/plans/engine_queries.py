@@ -263,7 +263,13 @@ def _stats(documents: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("chunks"), F.floor(F.sum(F.octet_length("content")) / F.count("*")).alias("avg_bytes"))
 
 
-@_query()
+@_query("""WITH RECURSIVE b AS (SELECT batch_id, CAST('[' || string_agg(payload, ',' ORDER BY delivery_id) || ']' AS JSON) AS j, '[' || string_agg(payload, ',' ORDER BY delivery_id) || ']' AS text FROM chunk_events WHERE payload IS NOT NULL GROUP BY batch_id),
+p AS (SELECT batch_id, CAST(i AS BIGINT) AS i, strlen(CAST(j -> CAST(i - 1 AS INTEGER) AS VARCHAR)) AS n FROM (SELECT *, unnest(range(1, CAST(json_array_length(j) AS BIGINT) + 1)) AS i FROM b WHERE strlen(text) > 1500)),
+f AS (SELECT batch_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS items, 2 AS size, 0 AS bytes, CAST([] AS BIGINT[]) AS out FROM b WHERE strlen(text) > 1500
+  UNION ALL SELECT batch_id, i, CASE WHEN full_ THEN 1 ELSE items + 1 END, CASE WHEN full_ THEN 2 ELSE size END + n + 2, CASE WHEN full_ THEN n ELSE bytes + n END, CASE WHEN full_ THEN list_append(out, bytes + items + 1) ELSE out END
+  FROM (SELECT f.batch_id, p.i, p.n, f.items, f.size, f.bytes, f.out, f.items > 0 AND f.size + p.n + 2 > 1500 AS full_ FROM f JOIN p ON p.batch_id = f.batch_id AND p.i = f.i + 1)),
+d AS (SELECT batch_id, list_append(out, bytes + items + 1) AS out FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY i DESC) AS r FROM f) WHERE r = 1 UNION ALL SELECT batch_id, [CAST(strlen(text) AS BIGINT)] FROM b WHERE strlen(text) <= 1500)
+SELECT batch_id, CAST(o - 1 AS INTEGER) AS ordinal, CAST(out[o] AS INTEGER) AS bytes FROM (SELECT *, unnest(range(1, len(out) + 1)) AS o FROM d)""")
 def ch_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON payloads of a batch as one array, packed."""
     rows = table(spark, sf_dir, "chunk_events", ["batch_id", "delivery_id", "payload"]).where("payload IS NOT NULL")
@@ -794,11 +800,13 @@ def vs_knn_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""WITH n AS (SELECT DISTINCT chunk_id, source_id, filename, source_id || '|' || chunk_id || '|' || filename AS id FROM chunk_data)
-SELECT source_id, count(*) AS chunks FROM n WHERE NOT (source_id = 'atlas-monorepo' AND id LIKE '%.py') GROUP BY source_id""")
+SELECT source_id, count(*) AS chunks FROM n WHERE NOT (source_id = 'atlas-monorepo' AND ends_with(id, (SELECT '|' || max(filename) FROM n WHERE source_id = 'atlas-monorepo'))) GROUP BY source_id""")
 def gr_delete_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes left after deleting those of a source whose composite id ends in a path."""
     nodes = _chunks(spark, sf_dir).withColumn("id", N.composite_id(F.col("source_id"), F.col("chunk_id"), F.col("filename")))
-    gone = nodes.where((F.col("source_id") == "atlas-monorepo") & F.col("id").endswith(".py"))
+    own = nodes.where("source_id = 'atlas-monorepo'")
+    path = own.agg(F.max("filename").alias("path"))
+    gone = own.join(F.broadcast(path), F.col("id").endswith(F.concat(F.lit("|"), F.col("path")))).select("id")  # the path is one row
     left, _ = graph.detached(nodes, nodes.select(F.col("id").alias("src"), F.col("id").alias("dst")), gone)
     return left.groupBy("source_id").agg(F.count("*").alias("chunks"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -21,6 +22,7 @@ def session(app: str = "chunkloom", cores: str = "*", **conf: str) -> SparkSessi
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": os.environ.get("CHUNKLOOM_DRIVER_MEMORY", "6g"),
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -45,9 +47,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset a local session gets a temporary one; on a cluster it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not named and not re.fullmatch(r"local(?:\[[^\]]*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="chunkloom-"))
     return named or context._jsc.sc().getCheckpointDir().get()

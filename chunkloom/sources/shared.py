@@ -29,6 +29,10 @@ class SharedFolder:
         """Names of the files, in order."""
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path("")) if s.isFile())
 
+    def folders(self) -> list[str]:
+        """Names of the folders, in order."""
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path("")) if s.isDirectory())
+
     def read(self, name: str) -> str | None:
         """The text of a file, none if there is no such file."""
         if not self._fs.exists(self._path(name)):

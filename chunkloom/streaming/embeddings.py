@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.events import embedding_rows, with_embeddings
-from ..sources.store import VersionedTable
+from ..sources.store import BucketedTable, VersionedTable
 
 
 def message_stream(spark: SparkSession, folder: str, per_trigger: int = 100) -> DataFrame:
@@ -14,18 +14,24 @@ def message_stream(spark: SparkSession, folder: str, per_trigger: int = 100) ->
     return spark.readStream.format("text").option("maxFilesPerTrigger", per_trigger).load(folder)
 
 
-def apply_embeddings(messages: DataFrame, nodes: VersionedTable, checkpoint: str, dead_letters: str | None = None) -> StreamingQuery:
+def apply_embeddings(messages: DataFrame, nodes: VersionedTable | BucketedTable, checkpoint: str, dead_letters: str | None = None) -> StreamingQuery:
     """Merge every micro-batch into ``nodes``; a batch that is repeated after a failure gives the same version again.
 
-    Messages whose node isn't there yet are skipped. Unreadable ones go to
-    ``dead_letters`` if it is named, and are skipped as well.
+    Of a table in buckets only those are rewritten that hold a node of the batch.
+    Messages whose node isn't there yet are skipped. Unreadable ones go to a folder per
+    batch in ``dead_letters`` if it is named, where a repeated batch replaces itself.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         batch.persist()
-        nodes.write(with_embeddings(nodes.read(), embedding_rows(batch)), tag=f"batch-{number}")
+        rows = embedding_rows(batch)
+        if isinstance(nodes, BucketedTable):
+            nodes.update(rows, with_embeddings, tag=f"batch-{number}")
+        else:
+            nodes.write(with_embeddings(nodes.read(), rows), tag=f"batch-{number}")
         if dead_letters:
-            batch.where("from_json(value, 'chunks array<struct<id:string>>') IS NULL OR from_json(value, 'chunks array<struct<id:string>>').chunks IS NULL").write.mode("append").text(dead_letters)
+            read = "from_json(value, 'chunks array<struct<id:string>>')"
+            batch.where(f"{read} IS NULL OR {read}.chunks IS NULL").write.mode("overwrite").text(f"{dead_letters}/batch={number}")
         batch.unpersist()
 
     return messages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

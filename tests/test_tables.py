@@ -179,6 +179,24 @@ def test_stream_equals_batch(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "dead")).collect()] == ["{broken"]
 
 
+def test_buckets_that_are_not_touched_stay(spark, tmp_path):
+    from chunkloom.sources.store import BucketedTable
+
+    store = BucketedTable(spark, str(tmp_path / "t"), "id", 8)
+    store.write(spark.createDataFrame([(str(k), None, None) for k in range(40)], "id string, embedding array<float>, model string"))
+    before = store._pointer()["buckets"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.txt").write_text(json.dumps({"headers": {"event_id": "e"}, "chunks": [{"id": "7", "embedding": [1.0]}, {"id": "none", "embedding": [1.0]}], "model": "m"}) + "\n{broken\n")
+    for _ in range(2):  # the second start finds nothing new
+        apply_embeddings(message_stream(spark, str(tmp_path / "in")), store, str(tmp_path / "cp"), str(tmp_path / "dead")).awaitTermination()
+    after = store._pointer()["buckets"]
+    assert store.version == 2 and 1 <= sum(before[b] != after[b] for b in before) <= 2
+    assert {r.id for r in store.read().where("embedding IS NOT NULL").collect()} == {"7"} and store.read().count() == 40
+    rows = spark.createDataFrame([("e", 0, "9", [2.0], "m")], "event_id string, pos int, id string, embedding array<float>, model string")
+    assert store.update(rows, events.with_embeddings, tag="batch-0") == 2  # the tag of the present version
+    assert [r.value for r in spark.read.text(str(tmp_path / "dead")).collect()] == ["{broken"]
+
+
 def test_windowed_requests(spark):
     rows = spark.createDataFrame([("2025-01-01 00:00:05", "c", "p"), ("2025-01-01 00:00:50", "c", "p")], "t string, client string, path string").withColumn("t", F.to_timestamp("t"))
     assert max(r.requests for r in windowed_requests(rows, "t", "client", "path").collect()) == 2
