@@ -12,10 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vocab import TOKENIZERS, ranks
-
-#: The public pre-token pattern of the vocabulary (fixed value).
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+from .vocab import PRE_TOKEN, TOKENIZERS, ranks
 
 #: Pre-tokens a worker remembers; a full cache is emptied, which costs time and changes nothing.
 CACHED = 400_000

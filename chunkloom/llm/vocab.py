@@ -9,6 +9,9 @@ from functools import lru_cache
 #: Folder of the vocabulary files unless a caller names another one.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
+#: The public pre-token pattern of the vocabulary (fixed value).
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 @lru_cache(4)
 def ranks(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> dict[bytes, int]:
@@ -22,6 +25,4 @@ def encoding(name: str = "byte_bpe_50k", folder: str = TOKENIZERS):
     """A tiktoken encoding of the vocabulary, built once a worker."""
     import tiktoken
 
-    # Fixed value: the public pre-token pattern of this vocabulary.
-    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks(name, folder), special_tokens={})
+    return tiktoken.Encoding(name, pat_str=PRE_TOKEN, mergeable_ranks=ranks(name, folder), special_tokens={})
