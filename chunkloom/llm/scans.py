@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, small
 from .vocab import TOKENIZERS, ranks
 
 #: A form is misread if another form of its skeleton is so many times as frequent, and has at least that count.
@@ -224,10 +225,13 @@ def misread_forms(counts: DataFrame) -> DataFrame:
 
 def misread_near(scanned: DataFrame) -> DataFrame:
     """Rows of ``_scan`` whose form is a misreading of the ``near`` form of its document, by the counts of both in all documents; with ``better``."""
-    counts = scanned.where("part_kind IS NULL").groupBy("form").agg(F.sum("n").alias("count"))
-    rows = scanned.where("near IS NOT NULL").drop("n").join(counts, "form")
+    rows = scanned.where("near IS NOT NULL").drop("n")
+    pairs = rows.select("form", "near").distinct()
+    forms = small(cut(pairs.select(F.explode(F.array("form", "near")).alias("form")).distinct()))
+    counts = cut(scanned.where("part_kind IS NULL").join(forms, "form", "left_semi").groupBy("form").agg(F.sum("n").alias("count")))
     other = counts.select(F.col("form").alias("near"), F.col("count").alias("near_count"))
-    return rows.join(other, "near").where(F.col("count") * NEAR_RATIO <= F.col("near_count")).withColumn("better", F.col("near"))
+    wrong = pairs.join(counts, "form").join(other, "near").where(F.col("count") * NEAR_RATIO <= F.col("near_count")).select("form", "near")
+    return rows.join(small(cut(wrong)), ["form", "near"], "left_semi").withColumn("better", F.col("near"))
 
 
 def faulty_parts(outputs: DataFrame, output_id: str = "output_id", folder: str = TOKENIZERS) -> DataFrame:
@@ -239,11 +243,9 @@ def faulty_parts(outputs: DataFrame, output_id: str = "output_id", folder: str =
     frequent in all documents, or more frequent and used in the same document. Null or empty titles, sections and contents give nothing;
     repeated rows count once in the result.
     """
-    from ..session import cut
-
     scanned = cut(_scan(outputs, output_id, folder))
     counts = scanned.where("part_kind IS NULL").select("form", "n")
-    wrong = misread_forms(counts).select("form")
+    wrong = small(cut(misread_forms(counts).select("form")))
     suspects = scanned.where("part_kind IS NOT NULL AND NOT fault").select("output_id", "part_kind", "part_pos", "form")
     by_word = suspects.join(wrong, "form", "left_semi").select("output_id", "part_kind", "part_pos")
     by_near = misread_near(scanned).where("NOT fault").select("output_id", "part_kind", "part_pos")
@@ -261,8 +263,6 @@ def repaired_parts(outputs: DataFrame, output_id: str = "output_id", folder: str
     items and headings) and what is code, and the lines of a paragraph are joined. Code,
     between fences or indented by four blanks, keeps its lines as they are.
     """
-    from ..session import cut
-
     rows = _texts(outputs, output_id)
     kind = rows.schema["output_id"].dataType.simpleString()
 
@@ -279,7 +279,7 @@ def repaired_parts(outputs: DataFrame, output_id: str = "output_id", folder: str
 
     part = ["output_id", "part_kind", "part_pos"]
     scanned = cut(_scan(outputs, output_id, folder, every=True))
-    wrong = misread_forms(scanned.where("part_kind IS NULL").select("form", "n"))
+    wrong = small(cut(misread_forms(scanned.where("part_kind IS NULL").select("form", "n"))))
     fixes = scanned.where("form IS NOT NULL AND part_kind IS NOT NULL").select(*part, "form").join(wrong, "form")
     fixes = fixes.select(*part, "form", "better").unionByName(misread_near(scanned).select(*part, "form", "better"))
     fixes = fixes.groupBy(*part, "form").agg(F.min("better").alias("better")).groupBy(*part).agg(F.map_from_entries(F.collect_list(F.struct("form", "better"))).alias("fixes"))
