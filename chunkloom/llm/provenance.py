@@ -9,11 +9,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import cut
+from .scans import plain_words
+from .vocab import TOKENIZERS
 
 #: Tokens of a shingle, rows of a band and bands of a signature; a pair of similarity 0.8 shares a band with probability 0.9998.
 SHINGLE, ROWS, BANDS = 5, 4, 16
@@ -26,22 +28,24 @@ LEAST_SHINGLES, LEAST_MEMBERS, SHARE = 12, 3, 0.6
 #: Lines at the top of a file in which a banner counts.
 HEAD = 12
 
+#: Share of files with a telling path from which a line of heads is a banner, the share expected of any line, and how many standard deviations lie between.
+BANNER_SHARE, ANY_SHARE, DEVIATIONS = 0.15, 0.05, 3.0
+
+# Phrases of banners that tell on a file without a family, in several languages.
 _GENERATED = re.compile(
-    r"(?i)@generated\b|<auto-?generated|\bcode generated\b|\bauto(?:matically)?[ -]?generated\b|\bgenerated (?:by|from|with|on|using|file)\b|\bdo not (?:edit|modify)\b|\bedits? (?:are|will be) (?:overwritten|lost)"
-    r"|\b(?:manual )?changes? will be (?:lost|overwritten)|maschinell erzeugt|automatisch (?:generiert|erzeugt|erstellt)|nicht (?:bearbeiten|ändern)|généré (?:automatiquement|par)|ne pas (?:modifier|éditer)|generado (?:automáticamente|por)|no (?:editar|modificar)"
+    r"(?i)@generated\b|<auto-?generated|\bcode generated\b|\bauto(?:matically)?[ -]?generated\b|\bgenerated (?:by|from|with|on|using|file)\b|\bdo not (?:edit|modify)\b|\b(?:edits?|(?:manual )?changes?) (?:are|will be) (?:overwritten|lost)\b"
+    r"|maschinell erzeugt|automatisch (?:generiert|erzeugt|erstellt)|nicht (?:bearbeiten|ändern)|généré (?:automatiquement|par)|ne pas (?:modifier|éditer)|generado (?:automáticamente|por)|no (?:editar|modificar)"
     r"|сгенерирован|не редактировать|自動生成|编辑しない|自动生成|请勿(?:编辑|修改)"
 )
 _BY_HAND = re.compile(r"(?i)by hand|hand-?written|do not regenerate|not generated")
-_VENDORED = re.compile(
-    r"(?i)\bbundled copy\b|\bcopied (?:unchanged|verbatim|as is|without changes)|\bvendored\b|\bthird[- ]party (?:copy|code|source)|\bupstream (?:tree|project|at|repo\w*|source)\b|\bsend patches upstream\b|\bimported by the sync\b"
-    r"|\bredistributions? (?:permitted|of source|and use)|\breleased under the \S+ [\w ]*licen[cs]e|\blicensed under the\b.*\blicen[cs]e\b|\(c\) the \S+ authors|\bcopyright (?:\(c\) )?\d{4}(?:-\d{4})?,? (?:the )?\S+ (?:contributors|authors|project)\b"
-    r"|\blibrary by its community\b|^\W*[\w.-]+ library, (?:19|20)\d\d\W*$|^\W*[\w-]+\.[\w.]+ \| v\d+\.\d+"
-)
+_VENDORED = re.compile(r"(?i)\bbundled copy\b|\bcopied (?:unchanged|verbatim|as is|without changes)|\bvendored\b|\bthird[- ]party (?:copy|code|source)|\bupstream (?:tree|project|at|repo\w*|source)\b|\breleased under the \S+ [\w ]*licen[cs]e|\blicensed under the\b.*\blicen[cs]e\b|\(c\) the \S+ authors|\bredistributions? (?:permitted|of source|and use)|\bcopyright (?:\(c\) )?\d{4}(?:-\d{4})?,? (?:the )?\S+ (?:contributors|authors|project)\b")
 _FOREIGN_FOLDER = re.compile(r"(?i)(?:^|/)(?:vendors?|vendored|third[_-]?party|3rd[_-]?party|externals?|extern|deps|node_modules|bower_components|jspm_packages|pods|carthage|site-packages|godeps|bundled|contrib)/|/[a-z][\w.]*-\d+\.\d+(?:\.\d+)?/")
 _TOOL_NAME = re.compile(
     r"(?i)(?:^|/)(?:generated|autogen|__generated__|gen-src)/|[._-](?:pb|pb2|pb2_grpc|g|gen|generated|designer|autogen)\.[a-z]+$|[._](?:pb|grpc)\.[a-z]+\.[a-z]+$|(?:^|/)zz_generated|_pb2?\.[a-z]+$"
     r"|(?:^|/)(?:[\w-]+[.-])?lock\.(?:json|ya?ml)$|\.lock$|(?:^|/)(?:package-lock\.json|pnpm-lock\.yaml|npm-shrinkwrap\.json|go\.sum)$|[.-](?:min|bundle|chunk|packed)\.[a-z]+$|\.[0-9a-f]{7,20}\.(?:js|css|mjs)$|\.(?:js|css)\.map$"
 )
+_NO_BANNER = re.compile(r"^\s*#(?:!|\s*(?:include|define|if|end|pragma)\b)")
+_HEAD_TOKEN = re.compile(r"[^\W_](?:[\w./:-]*\w)?|[^\w\s]")
 _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|--|<!--|;|\"\"\"|%|')")
 _QUOTED = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _STRING = re.compile(r"\"[^\"]*\"|'[^']*'")
@@ -179,6 +183,28 @@ def signature(found: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def head_lines(text: str, known: frozenset[str]) -> list[str]:
+    """Forms of the comment lines at the top of a text: numbers and names masked, other words in lower case.
+
+    A word with a digit is a number, one with a dot, slash or other sign within it is a
+    name. Of a line mostly of vocabulary words there is a second form in which all
+    other words are names, too. Lines of fewer than three words have none.
+    """
+    found = []
+    for line in text.split("\n", HEAD)[:HEAD]:
+        if not _COMMENT.match(line) or _NO_BANNER.match(line):
+            continue
+        tokens = [t if not t[0].isalnum() else "N" if any(c.isdigit() for c in t) else "I" if not t.isalpha() else t.lower() for t in _HEAD_TOKEN.findall(line.strip().strip("/*#-<>! \t\r;%\"'"))]
+        words = [t for t in tokens if t.isalpha() and t not in "IN"]
+        if len([t for t in tokens if t[0].isalnum()]) < 3 or not words:
+            continue
+        found.append(" ".join(tokens))
+        strange = {w for w in words if len(w) > 2 and w not in known}
+        if strange and 2 * len(strange) <= len(words):
+            found.append(" ".join("I" if t in strange else t for t in tokens))
+    return found
+
+
 def shape(text: str, share: float) -> str | None:
     """'blob' or 'minified' where the form of the text says so."""
     lines = text.split("\n")
@@ -208,12 +234,13 @@ def evidence(text: str, head: bool, share: float) -> str | None:
     return shape(text, share)
 
 
-def chunk_features(chunks: DataFrame) -> DataFrame:
-    """One row per chunk: own evidence, whether it is literals, digest of the bare text, form and 64-bit id of its set of shingles (null for too few)."""
-    schema = "source_id string, filename string, own string, literal boolean, bare binary, shape bigint, form string"
-    kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.int64(), pa.string())
+def chunk_features(chunks: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
+    """One row per chunk: own evidence, whether it is literals, digest of the bare text, form and 64-bit id of its set of shingles (null for too few), ids of its head lines."""
+    schema = "source_id string, filename string, own string, literal boolean, bare binary, shape bigint, form string, lines array<bigint>"
+    kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = plain_words(folder=folder)
         for batch in batches:
             given = list(zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True))
             for some in _portions(given, 1 << 20):
@@ -225,8 +252,10 @@ def chunk_features(chunks: DataFrame) -> DataFrame:
                     of = None if found is None else int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
                     bare = " ".join(bare.split())
                     digest = hashlib.blake2b(bare.encode("utf-8", "replace"), digest_size=16).digest() if text.count("\n") >= 15 and len(bare) > 300 else None
-                    rows.append((source, name, evidence(text, index == "0" or not start or start == 1, share), share > 0.8, digest, of, None if of is None else form))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["source_id", "filename", "own", "literal", "bare", "shape", "form"])
+                    head = index == "0" or not start or start == 1
+                    lines = [int.from_bytes(hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for x in head_lines(text, known)] if head else []
+                    rows.append((source, name, evidence(text, head, share), share > 0.8, digest, of, None if of is None else form, lines))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["source_id", "filename", "own", "literal", "bare", "shape", "form", "lines"])
 
     index = F.coalesce(F.get(F.map_values(F.map_filter("metadata", lambda k, _: k == "chunk_index")), F.lit(0)), F.lit(""))
     rows = chunks.where("content IS NOT NULL AND filename IS NOT NULL").select("source_id", "filename", "content", F.col("start_line").cast("int").alias("start_line"), index.alias("chunk_index"))
@@ -336,11 +365,34 @@ def families(features: DataFrame, hot: int = HOT) -> DataFrame:
     return reps.join(found, "shape", "left").select("shape", F.coalesce("root", "shape").alias("family"))
 
 
+def path_kind(filename: Column) -> Column:
+    """vendored or generated where the path of a file says so."""
+    return F.when(filename.rlike(_FOREIGN_FOLDER.pattern), "vendored").when(filename.rlike(_TOOL_NAME.pattern), "generated")
+
+
+def banner_families(lines: DataFrame) -> DataFrame:
+    """(line, kind) of the head lines that are banners, from (source_id, filename, line), one row per file and line.
+
+    A line is a family of files, whatever language it is in. Paths are the labels: if
+    far more of its files have a telling path than of any line, the line is a
+    banner, of the kind that most of those paths have; a vendored one must stand in
+    several repositories. All files are counted; families and labels are one aggregate.
+    """
+    kind = path_kind(F.col("filename"))
+    stats = lines.groupBy("line").agg(
+        F.count("*").alias("n"), F.count_if(kind == "generated").alias("generated"), F.count_if(kind == "vendored").alias("vendored"), (F.min("source_id") != F.max("source_id")).alias("several")
+    )
+    told = F.col("generated") + F.col("vendored")
+    sure = (told >= BANNER_SHARE * F.col("n")) & (told - ANY_SHARE * F.col("n") >= DEVIATIONS * F.sqrt(ANY_SHARE * (1 - ANY_SHARE) * F.col("n")))
+    of = F.when(F.col("generated") >= F.col("vendored"), "generated").when(F.col("several"), "vendored")
+    return stats.where(sure).select("line", of.alias("kind")).where("kind IS NOT NULL")
+
+
 def not_handwritten(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """(source_id, filename, kind) of code and configuration files that were generated, minified, vendored or are blobs.
 
     Evidence of a file: its path, its bytes per line, the banner or the shape of its
-    chunks. Evidence of its family, the chunks of similar masked shingles: literals
+    chunks. Evidence of the files with the same head line: ``banner_families``. Evidence of its family, the chunks of similar masked shingles: literals
     only means blob; where most members are known to be generated inside one
     repository, or vendored across several, the rest is too; the same bare text in
     several repositories is a copy. A family of mixed or no evidence tells nothing,
@@ -359,7 +411,7 @@ def not_handwritten(files: DataFrame, chunks: DataFrame) -> DataFrame:
     features = chunk_features(chunks)
     features = cut(features.join(wanted, F.col("source_id").eqNullSafe(F.col("of")) & (F.col("filename") == F.col("name")), "left_semi"))
     family = families(features)
-    known = features.where("shape IS NOT NULL").drop("form").join(family, "shape")
+    known = features.where("shape IS NOT NULL").drop("form", "lines").join(family, "shape")
     stats = known.groupBy("family").agg(
         F.count("*").alias("n"), (F.min("source_id") != F.max("source_id")).alias("several"), F.min(F.col("literal").cast("int")).alias("literal"),
         *[F.count_if(F.col("own") == k).alias(k) for k in ("generated", "vendored", "minified", "blob")],
@@ -373,8 +425,10 @@ def not_handwritten(files: DataFrame, chunks: DataFrame) -> DataFrame:
     copies = features.where("bare IS NOT NULL").groupBy("bare").agg(F.min("source_id").alias("a"), F.max("source_id").alias("b")).where("a <> b").select("bare")
     by_copy = features.join(copies, "bare").select(*key, F.lit("vendored").alias("kind"))
     by_text = features.where("own IS NOT NULL").select(*key, F.col("own").alias("kind"))
-    told = by_text.unionByName(by_family).unionByName(by_copy).groupBy(*key).agg(F.max("kind").alias("told"))
-    path = F.when(F.col("filename").rlike(_FOREIGN_FOLDER.pattern), "vendored").when(F.col("filename").rlike(_TOOL_NAME.pattern), "generated")
+    lines = features.where(F.size("lines") > 0).select(*key, F.explode("lines").alias("line")).distinct()
+    by_line = lines.join(banner_families(lines), "line").select(*key, "kind")
+    told = by_text.unionByName(by_family).unionByName(by_line).unionByName(by_copy).groupBy(*key).agg(F.max("kind").alias("told"))
+    path = path_kind(F.col("filename"))
     wide = F.when(F.col("width") > 250, "minified")
     told = told.select(F.col("source_id").alias("of"), F.col("filename").alias("name"), "told")
     same = F.col("source_id").eqNullSafe(F.col("of")) & (F.col("filename") == F.col("name"))
