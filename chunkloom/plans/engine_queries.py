@@ -32,16 +32,26 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _case(expression: str, values: dict[str, str], otherwise: str = "NULL") -> str:
-    return f"CASE {expression} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + f" ELSE {otherwise} END"
-
-
 _BASE = "regexp_extract(filename, '[^/]*$')"
 _EXT = f"lower(regexp_extract({_BASE}, '^.+\\.([^.]*)$', 1))"
 _TRIM = r"regexp_replace({0}, '^[\t-\r \x{{85}}\p{{Z}}]+|[\t-\r \x{{85}}\p{{Z}}]+$', '', 'g')"
 _CHUNKS = "(SELECT DISTINCT chunk_id, source_id, filename, content, start_line, end_line FROM chunk_data)"
 
 
+# What the SQL checks expect of an extension, and the relation types; written here so that they don't follow the engine's tables.
+_LANGUAGE_SQL = "CASE WHEN ext IN ('py') THEN 'python' " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in exts.split())}) THEN '{name}'" for name, exts in {
+    "rust": "rs", "javascript": "js jsx mjs cjs", "typescript": "ts tsx mts cts", "go": "go", "java": "java", "c": "c", "cpp": "h hpp hxx cpp cc cxx", "c_sharp": "cs", "ruby": "rb", "php": "php", "swift": "swift", "kotlin": "kt kts",
+    "scala": "scala sc", "bash": "sh bash zsh", "html": "html htm", "css": "css scss less", "markdown": "md markdown"}.items()) + " END"
+_DISPLAY_SQL = "CASE last WHEN 'rs' THEN 'Rust' WHEN 'py' THEN 'Python' WHEN 'js' THEN 'JavaScript' WHEN 'ts' THEN 'TypeScript' WHEN 'go' THEN 'Go' WHEN 'java' THEN 'Java' WHEN 'cpp' THEN 'C++' WHEN 'c' THEN 'C' WHEN 'h' THEN 'C' WHEN 'hpp' THEN 'C++' WHEN 'rb' THEN 'Ruby' WHEN 'php' THEN 'PHP' WHEN 'swift' THEN 'Swift' WHEN 'kt' THEN 'Kotlin' WHEN 'scala' THEN 'Scala' END"
+_MIME_SQL = "CASE WHEN ext = 'pdf' THEN 'application/pdf' WHEN ext IN ('png', 'webp', 'bmp', 'gif') THEN 'image/' || ext WHEN ext IN ('jpg', 'jpeg') THEN 'image/jpeg' WHEN ext IN ('tif', 'tiff') THEN 'image/tiff' ELSE 'application/octet-stream' END"
+_DOCUMENT_SQL = "CASE WHEN ext IN ('pdf', 'docx', 'doc', 'rtf', 'html', 'markdown') THEN ext WHEN ext = 'htm' THEN 'html' WHEN ext = 'md' THEN 'markdown' WHEN ext = 'txt' THEN 'text' ELSE 'unknown' END"
+_RELATION_SQL = """FunctionCalls CALLS code, ApiCalls API_CALLS code, ClassInherits INHERITS code, FileImports IMPORTS code, ClassContainsMethod CONTAINS_METHOD code, FunctionReferencesVariable REFERENCES code, DefinedIn DEFINED_IN code,
+Implements IMPLEMENTS code, Tests TESTS code, Instantiates INSTANTIATES code, TypeReference TYPE_REF code, Decorates DECORATES code, ReferencedIn REFERENCED_IN document, DocumentReferencesDoc LINKS_TO document, HyperlinkReference HYPERLINKS_TO web,
+CanonicalUrl CANONICAL_OF web, ThreadReply REPLIES_TO conversation, MentionReference MENTIONS conversation, TopicContinuation CONTINUES_TOPIC conversation, ForeignKeyRelation FOREIGN_KEY schema, ApiEndpointUsesModel USES_MODEL schema,
+ActionItemFromDecision ACTION_FROM_DECISION transcript, QaPair ANSWERS transcript, SpeakerTurnSequence FOLLOWED_BY transcript, NextChunk NEXT_CHUNK hierarchy, ParentChild PARENT_OF hierarchy, Sibling SIBLING_OF hierarchy, Configures CONFIGURES structural,
+DependsOn DEPENDS_ON structural, SameSource SAME_SOURCE structural"""
+
+
 def _trim(x: str) -> str:
     return _TRIM.format(x)
 
@@ -57,7 +67,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scans and classifiers -----------------------------------------------------------------------
 
 
-@_query(f"SELECT DISTINCT source_id, filename, {_EXT} AS ext, CASE WHEN {_EXT} IN {N.DOCUMENT_ROUTE} THEN 'document' ELSE 'hybrid' END AS route, {_case(_EXT, N.DOCUMENTS, chr(39) + 'unknown' + chr(39))} AS doc_type FROM file_metadata")
+@_query(f"SELECT source_id, filename, ext, CASE WHEN ext IN ('pdf', 'docx', 'pptx', 'doc', 'ppt', 'rtf', 'epub', 'md', 'markdown') THEN 'document' ELSE 'hybrid' END AS route, {_DOCUMENT_SQL} AS doc_type FROM (SELECT DISTINCT source_id, filename, {_EXT} AS ext FROM file_metadata)")
 def sc_route_by_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Route and document type of every file."""
     f = F.col("filename")
@@ -66,7 +76,7 @@ def sc_route_by_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""
 SELECT split_part(filename, '/', 1) AS folder, count(*) AS files, sum(size_bytes) AS bytes FROM file_metadata
-WHERE len(list_filter(string_split(filename, '/'), lambda s: s LIKE '.%' OR s IN {N.PRUNED})) = 0 AND size_bytes <= 5242880 GROUP BY 1""")
+WHERE len(list_filter(string_split(filename, '/'), lambda s: s LIKE '.%' OR s IN ('node_modules', '__pycache__', 'target', 'dist', 'build'))) = 0 AND size_bytes <= 5242880 GROUP BY 1""")
 def sc_tree_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that a scan keeps: no hidden or pruned folder, at most 5 MiB."""
     files = table(spark, sf_dir, "file_metadata", ["filename", "size_bytes"]).where(F.col("size_bytes") <= 5 * 1024 * 1024).where(N.kept_path(F.col("filename")))
@@ -110,8 +120,8 @@ def sc_scan_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""
-SELECT DISTINCT source_id, filename, {_case(_EXT, N.LANGUAGES)} AS lang, {_case("lower(string_split(filename, '.')[-1])", N.DISPLAY)} AS display, {_case(_EXT, N.MIME, "'application/octet-stream'")} AS mime,
-  CASE WHEN {_case(_EXT, N.LANGUAGES)} IS NOT NULL THEN 'code:File' WHEN filename LIKE 'http%' THEN 'web:PageOverview' ELSE 'doc:DocumentOverview' END AS chunk_type FROM file_metadata""")
+SELECT source_id, filename, lang, {_DISPLAY_SQL} AS display, {_MIME_SQL} AS mime, CASE WHEN lang IS NOT NULL THEN 'code:File' WHEN filename LIKE 'http%' THEN 'web:PageOverview' ELSE 'doc:DocumentOverview' END AS chunk_type
+FROM (SELECT *, {_LANGUAGE_SQL} AS lang FROM (SELECT DISTINCT source_id, filename, {_EXT} AS ext, lower(string_split(filename, '.')[-1]) AS last FROM file_metadata))""")
 def pr_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language, display name, MIME type and chunk type of every file."""
     f = F.col("filename")
@@ -169,7 +179,7 @@ def pr_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", F.array_contains("found", "aws_access_key").alias("has_key_id"), F.array_contains("found", "private_key").alias("has_private_key"))
 
 
-@_query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', upper('{a}'))" for a, b, c in N.RELATIONS) + ") v(type, label, category, bare)")
+@_query(f"SELECT parts[1] AS type, parts[2] AS label, parts[3] AS category, upper(parts[1]) AS bare FROM (SELECT string_split(trim(r), ' ') AS parts FROM (SELECT unnest(string_split(replace('{_RELATION_SQL}', chr(10), ' '), ',')) AS r))")
 def pr_relation_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relation types with label, category and bare name."""
     return spark.createDataFrame(N.RELATIONS, "type string, label string, category string").withColumn("bare", N.relation_label(F.concat("type", F.lit(" -!"))))
@@ -891,7 +901,7 @@ def wn_event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- events --------------------------------------------------------------------------------------
 
 
-@_query(f"""SELECT chunk_id, CASE WHEN coalesce(filename, '') = '' THEN 'file_path cannot be empty' WHEN {_case(_EXT, N.LANGUAGES)} IS NULL THEN 'language cannot be empty' WHEN coalesce(content, '') = '' THEN 'content cannot be empty' WHEN strlen(content) > 51200 THEN 'content exceeds 50KB limit'
+@_query(f"""SELECT chunk_id, CASE WHEN coalesce(filename, '') = '' THEN 'file_path cannot be empty' WHEN {_LANGUAGE_SQL.replace('ext IN', _EXT + ' IN')} IS NULL THEN 'language cannot be empty' WHEN coalesce(content, '') = '' THEN 'content cannot be empty' WHEN strlen(content) > 51200 THEN 'content exceeds 50KB limit'
   WHEN coalesce(start_line, 0) = 0 THEN 'start_line must be positive (1-based)' WHEN coalesce(end_line, 0) = 0 THEN 'end_line must be positive (1-based)' WHEN start_line > end_line THEN 'start_line cannot be greater than end_line'
   WHEN start_line % 7 = 0 THEN 'commit_id must be 40 characters (SHA-1)' WHEN start_line % 5 = 0 THEN 'commit_id must be hexadecimal' WHEN start_line % 3 = 0 THEN 'chunk_index must be less than total_chunks' END AS problem FROM {_CHUNKS}""")
 def ev_validate_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -976,7 +986,16 @@ def ev_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("id").cast("bigint").alias("doc_id"), F.col("group_id").cast("bigint").alias("n_chars"), "chunk_type", "pii_detected", F.col("embedding_dimension").alias("dimension"))
 
 
-@_query()
+def _field_sql(name: str, value: str, first: bool = False) -> str:
+    return f"coalesce('{'' if first else ','}\"{name}\":' || CAST(to_json({value}) AS VARCHAR), '')"
+
+
+
+@_query(f"""WITH c AS (SELECT *, {_EXT} AS ext FROM {_CHUNKS}), l AS (SELECT *, {_LANGUAGE_SQL} AS language FROM c),
+t AS (SELECT *, CASE WHEN language IS NOT NULL THEN 'code:File' WHEN filename LIKE 'http%' THEN 'web:PageOverview' ELSE 'doc:DocumentOverview' END AS chunk_type FROM l),
+v AS (SELECT chunk_id AS key, '{{"headers":{{"event_id":' || to_json(chunk_id) || ',"event_type":"CHUNK_RAW","source_service":"chunkloom"' || {_field_sql('correlation_id', 'source_id')} || '}},"metadata":{{"retry_count":0,"user_id":"system"}}' || {_field_sql('source_id', 'source_id')}
+  || ',"chunks":[{{"id":' || to_json(chunk_id) || {_field_sql('file_id', 'filename')} || {_field_sql('chunk_type', 'chunk_type')} || {_field_sql('content', 'content')} || {_field_sql('language', 'language')} || {_field_sql('start_line', 'start_line')} || {_field_sql('end_line', 'end_line')} || '}}]}}' AS value FROM t)
+SELECT key, strlen(value) >= 10240 AS too_large, sha256(value) AS hash FROM v""")
 def ev_chunk_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk messages with their size check."""
     rows = _chunks(spark, sf_dir, "content", "start_line", "end_line").select(
