@@ -28,8 +28,9 @@ LEAST_SHINGLES, LEAST_MEMBERS, SHARE = 12, 3, 0.6
 #: Lines at the top of a file in which a banner counts.
 HEAD = 12
 
-#: Share of files with a telling path from which a line of heads is a banner, the share expected of any line, and how many standard deviations lie between.
-BANNER_SHARE, ANY_SHARE, DEVIATIONS = 0.15, 0.05, 3.0
+#: Share and number of files with a telling path from which a line of heads is a banner, the share expected of any line, and how many
+#: standard deviations lie between: a corpus has very many lines, so a few files alike by chance must not be enough.
+BANNER_SHARE, BANNER_FILES, ANY_SHARE, DEVIATIONS = 0.15, 5, 0.1, 6.0
 
 # Phrases of banners that tell on a file without a family, in several languages.
 _GENERATED = re.compile(
@@ -383,7 +384,7 @@ def banner_families(lines: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if(kind == "generated").alias("generated"), F.count_if(kind == "vendored").alias("vendored"), (F.min("source_id") != F.max("source_id")).alias("several")
     )
     told = F.col("generated") + F.col("vendored")
-    sure = (told >= BANNER_SHARE * F.col("n")) & (told - ANY_SHARE * F.col("n") >= DEVIATIONS * F.sqrt(ANY_SHARE * (1 - ANY_SHARE) * F.col("n")))
+    sure = (told >= BANNER_FILES) & (told >= BANNER_SHARE * F.col("n")) & (told - ANY_SHARE * F.col("n") >= DEVIATIONS * F.sqrt(ANY_SHARE * (1 - ANY_SHARE) * F.col("n")))
     of = F.when(F.col("generated") >= F.col("vendored"), "generated").when(F.col("several"), "vendored")
     return stats.where(sure).select("line", of.alias("kind")).where("kind IS NOT NULL")
 

@@ -105,13 +105,13 @@ def test_families_and_copies(spark):
 def test_head_lines_are_banners_by_the_paths_of_their_files(spark, monkeypatch):
     t = datetime(2025, 1, 1)
     strange = "// Tämä tiedosto on koneen tekemä, älä koske (build {})\n"  # no phrase of any list
-    rows = [(f"r{k % 3}", f"gen/generated/a{k}.rs", strange.format(k) + BODY + f"x{k} = 1\n") for k in range(3)] + [("r4", "src/plain.rs", strange.format(77) + BODY + "y = 2\n")]
-    rows += [(f"r{k % 3}", f"{'vendor' if k < 3 else 'lib'}/tool{k}/m.rs", "# Keep in step with the mother project of tinygrid\n" + BODY + f"z{k} = {k}\n") for k in range(6)]
+    rows = [(f"r{k % 3}", f"gen/generated/a{k}.rs", strange.format(k) + BODY + f"x{k} = 1\n") for k in range(12)] + [("r4", "src/plain.rs", strange.format(77) + BODY + "y = 2\n")]
+    rows += [(f"r{k % 3}", f"{'vendor' if k < 12 else 'lib'}/tool{k}/m.rs", "# Keep in step with the mother project of tinygrid\n" + BODY + f"z{k} = {k}\n") for k in range(24)]
     rows += [("r5", f"src/h{k}.rs", "# Part of the house rules of the team\n" + BODY + f"w{k} = 5\n") for k in range(9)] + [("r5", "vendor/h9.rs", "# Part of the house rules of the team\n" + BODY)]
     files = spark.createDataFrame([(s, f, "code", len(x), x.count("\n") + 1, t, "") for s, f, x in rows], FILES)
     chunks = spark.createDataFrame([(s, f, x, 1, {"chunk_index": "0"}) for s, f, x in rows], CHUNKS)
     got = {x.filename: x.kind for x in V.not_handwritten(files, chunks).collect()}
-    assert got == {f"gen/generated/a{k}.rs": "generated" for k in range(3)} | {"src/plain.rs": "generated", "vendor/h9.rs": "vendored"} | {f"{'vendor' if k < 3 else 'lib'}/tool{k}/m.rs": "vendored" for k in range(6)}
+    assert got == {f"gen/generated/a{k}.rs": "generated" for k in range(12)} | {"src/plain.rs": "generated", "vendor/h9.rs": "vendored"} | {f"{'vendor' if k < 12 else 'lib'}/tool{k}/m.rs": "vendored" for k in range(24)}
     whole = V.banner_families
     monkeypatch.setattr(V, "banner_families", lambda lines: whole(lines).where("false"))
     assert "src/plain.rs" not in {x.filename for x in V.not_handwritten(files, chunks).collect()}
