@@ -84,11 +84,11 @@ def cut(data: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
 
 
 def oversized(chunks: DataFrame, outputs: DataFrame, chunk_limit: int = CHUNK_LIMIT, section_limit: int = SECTION_LIMIT) -> DataFrame:
-    """(item_kind, item_id, item_pos, content, start_line, end_line, bound) of the items over their limit, each once.
+    """(item_kind, item_id, item_pos, content, start_line, end_line, bound) of the items over their limit.
 
-    Sizes are compared before a text leaves its scan. Repeated rows count once: one
-    row for every (item_kind, item_id, item_pos), the first by content among
-    different ones. Null contents and arrays give nothing.
+    Sizes are compared before a text leaves its scan. A repeated row gives its items
+    again, with the same pieces, so queries take distinct rows. Null contents and
+    arrays give nothing.
     """
     from_chunks = chunks.where(F.octet_length("content") > chunk_limit).select(
         F.lit("chunk").alias("item_kind"), F.col("chunk_id").cast("string").alias("item_id"), F.lit(0).alias("item_pos"), "content", "start_line", "end_line", F.lit(chunk_limit).alias("bound")

@@ -177,7 +177,7 @@ def _texts(outputs: DataFrame, output_id: str) -> DataFrame:
 
 
 def _scan(outputs: DataFrame, output_id: str, folder: str, every: bool = False) -> DataFrame:
-    """(output_id, part_kind, part_pos, fault, form, n): rule faults and suspected forms of each part, with ``every`` of those with a fault as well; counts of forms without a part."""
+    """(output_id, part_kind, part_pos, fault, form, n): rule faults and suspected forms of each part, with ``every`` only the forms, of all parts; counts of forms without a part."""
     rows = _texts(outputs, output_id)
     kind = rows.schema["output_id"].dataType.simpleString()
     schema = f"output_id {kind}, part_kind string, part_pos int, fault boolean, form string, n bigint, near string"
@@ -188,7 +188,7 @@ def _scan(outputs: DataFrame, output_id: str, folder: str, every: bool = False)
             rows: list[tuple] = []
             counts: Counter[str] = Counter()
             for key, title, contents in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                repeated = repeated_heads(contents)
+                repeated = frozenset() if every else repeated_heads(contents)
                 texts = [("title", 0, title), *(("section", k, c) for k, c in enumerate(contents))]
                 forms = [words(text) if text else set() for _, _, text in texts]
                 near = near_forms(forms, known)
@@ -196,7 +196,7 @@ def _scan(outputs: DataFrame, output_id: str, folder: str, every: bool = False)
                     if not text:
                         continue
                     counts.update(own)
-                    fault = has_broken_word(text) or (bool(_TITLE_PAGE.search(text)) if part == "title" else bool(noise_lines(text, repeated)))
+                    fault = not every and (has_broken_word(text) or (bool(_TITLE_PAGE.search(text)) if part == "title" else bool(noise_lines(text, repeated))))
                     if fault:
                         rows.append((key, part, pos, True, None, None, None))
                     if every or not fault:
