@@ -277,17 +277,18 @@ def repaired_parts(outputs: DataFrame, output_id: str = "output_id", folder: str
             for at in range(0, len(out), 1024):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 1024], strict=True), (batch.schema.field(0).type, pa.string(), pa.int32(), pa.string()), strict=True)], names=["output_id", "part_kind", "part_pos", "text"])
 
-    part = ["output_id", "part_kind", "part_pos"]
+    # One struct is the key of a part in every step, so that its text is shuffled once; nulls in it are equal.
+    key = F.struct("output_id", "part_kind", "part_pos").alias("part")
+    part = ["part"]
     scanned = cut(_scan(outputs, output_id, folder, every=True))
     wrong = small(cut(misread_forms(scanned.where("part_kind IS NULL").select("form", "n"))))
-    fixes = scanned.where("form IS NOT NULL AND part_kind IS NOT NULL").select(*part, "form").join(wrong, "form")
-    fixes = fixes.select(*part, "form", "better").unionByName(misread_near(scanned).select(*part, "form", "better"))
-    fixes = fixes.groupBy(*part, "form").agg(F.min("better").alias("better")).groupBy(*part).agg(F.map_from_entries(F.collect_list(F.struct("form", "better"))).alias("fixes"))
-    texts = rows.mapInArrow(run, f"output_id {kind}, part_kind string, part_pos int, text string").groupBy(*part).agg(F.min("text").alias("text"))
-    of_part = texts.output_id.eqNullSafe(fixes.output_id) & (texts.part_kind == fixes.part_kind) & (texts.part_pos == fixes.part_pos)
-    texts = texts.join(fixes, of_part, "left").select(*[texts[c] for c in part], "text", "fixes")
-    lines = texts.select(*part, "fixes", F.posexplode(F.split("text", r"\r?\n")).alias("line", "text"))
-    own = Window.partitionBy(*part).orderBy("line")
+    fixes = scanned.where("form IS NOT NULL AND part_kind IS NOT NULL").select(key, "form").join(wrong, "form")
+    fixes = fixes.select("part", "form", "better").unionByName(misread_near(scanned).select(key, "form", "better"))
+    fixes = fixes.groupBy("part", "form").agg(F.min("better").alias("better")).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("form", "better"))).alias("fixes"))
+    texts = rows.mapInArrow(run, f"output_id {kind}, part_kind string, part_pos int, text string").select(key, "text")
+    texts = texts.groupBy("part").agg(F.min("text").alias("text")).join(fixes, "part", "left")
+    lines = texts.select("part", "fixes", F.posexplode(F.split("text", r"\r?\n")).alias("line", "text"))
+    own = Window.partitionBy("part").orderBy("line")
     fence = F.col("text").rlike(r"^\s*(?:```|~~~)")
     lines = lines.withColumn("fences", F.coalesce(F.count_if(fence).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     lines = lines.withColumn("code", fence | (F.col("fences") % 2 == 1) | F.col("text").rlike(r"^(?: {4}|\t)"))
@@ -303,7 +304,7 @@ def repaired_parts(outputs: DataFrame, output_id: str = "output_id", folder: str
 
     text = F.when(F.col("code"), F.col("text")).when(F.col("fixes").isNull(), F.trim("text")).otherwise(F.trim(F.array_join(F.transform(tokens, right), "")))
     joined = lines.groupBy(*part, "paragraph").agg(F.array_sort(F.collect_list(F.struct("line", text.alias("text")))).alias("rows")).select(*part, "paragraph", F.array_join("rows.text", " ").alias("text"))
-    return joined.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct("paragraph", "text"))).alias("rows")).select(*part, F.array_join("rows.text", "\n").alias("text"))
+    return joined.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct("paragraph", "text"))).alias("rows")).select("part.*", F.array_join("rows.text", "\n").alias("text"))
 
 
 _FENCED = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
