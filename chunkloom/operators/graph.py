@@ -310,4 +310,5 @@ def containing(chunks: DataFrame, files: DataFrame, names_at_once: int = NAMES_A
     group = ["source_id", "block", "salt"]
     rows = wanted.unionByName(scanned).repartition(*group).sortWithinPartitions(*group, "is_text")
     hits = rows.mapInArrow(_scan_for_names, "chunk_id string, source_id string, filename string, name string")
-    return hits.join(files.distinct(), ["source_id", "name"]).where("target <> filename").select("chunk_id", "target").distinct()
+    # Repeats go before names become files, as a common name stands for many of them; afterwards nothing is shuffled.
+    return hits.distinct().join(files.select("source_id", "name", "target").distinct(), ["source_id", "name"]).where("target <> filename").select("chunk_id", "target")
