@@ -50,7 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where that is unset a local session gets a temporary one; on a cluster it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if not named and not re.fullmatch(r"local(?:\[[^\]]*\])?", context.master):
+    if not named and not re.match(r"local(?:\[|$)", context.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="chunkloom-"))
